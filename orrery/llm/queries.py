@@ -40,8 +40,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of files that a commit names, with its counts, lift and odds ratio."""
-    p = cooccurrence.pairs(table(spark, d, "commits"))
-    return p.withColumns({c: F.round(c, 6) for c in ("lift", "odds_ratio")})
+    return cooccurrence.pairs(table(spark, d, "commits"))
 
 
 @query

@@ -39,7 +39,7 @@ grouped AS (SELECT symbol_id, name, signature, min(symbol_id) OVER w AS first_id
 
 _WEIGHTS = """
 WITH once AS (SELECT id, arg_min(coalesce(tokens, []), indexed_at) AS tokens FROM bm25_docs WHERE field = 'body' GROUP BY id),
-stats AS (SELECT count(*)::DOUBLE AS n, avg(len(tokens)) AS avg_len FROM once),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(coalesce(len(tokens), 0)) AS avg_len FROM once),
 tf AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(tokens)::DOUBLE AS dl, unnest(tokens) AS term FROM once) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (
@@ -50,8 +50,8 @@ w AS (
 SQL = {
     "p1_rank": _RANKED + "SELECT pack_id, rel, round(pr, 9) AS reference_percentile, round(pq, 9) AS query_percentile, demotion, position FROM ranked",
     "p1_found": _RANKED + "SELECT pack_id, rel FROM ranked WHERE position = 1",
-    "p2_pairs": _PAIRS + """SELECT repo, rel_a, rel_b, n_ab, n_a, n_b, n_commits, round(n_ab::DOUBLE * n_commits / (n_a::DOUBLE * n_b), 6) AS lift,
-      round((n_ab + 0.5::DOUBLE) * (n_commits - n_a - n_b + n_ab + 0.5::DOUBLE) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)), 6) AS odds_ratio FROM pairs""",
+    "p2_pairs": _PAIRS + """SELECT repo, rel_a, rel_b, n_ab, n_a, n_b, n_commits, n_ab::DOUBLE * n_commits / (n_a::DOUBLE * n_b) AS lift,
+      (n_ab + 0.5::DOUBLE) * (n_commits - n_a - n_b + n_ab + 0.5::DOUBLE) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)) AS odds_ratio FROM pairs""",
     "p2_found": _PAIRS + "SELECT repo, rel_a, rel_b FROM pairs WHERE n_ab >= 5 AND n_ab * n_commits >= 4 * n_a * n_b",
     "p4_found": rf"""
 WITH once AS (SELECT DISTINCT section_id, body FROM sections WHERE body IS NOT NULL),
