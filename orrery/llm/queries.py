@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import cooccurrence, copies, leximin, relevance, split
+from orrery.llm import cooccurrence, copies, credentials, leximin, relevance, split
 from orrery.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,17 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return relevance.top_term(relevance.term_weights(table(spark, d, "bm25_docs").filter("field = 'body'")))
+
+
+# 3: credentials embedded in source code
+
+
+@query
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """(pack_id, content, n_redacted): every pack with its credentials replaced."""
+    return credentials.redacted(table(spark, d, "packs"), "pack_id", "content")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credentials(table(spark, d, "packs"), "pack_id", "content").select("pack_id", "line_no").distinct()
