@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from orrery.llm import cooccurrence, copies, credentials, leximin, relevance, split
+from orrery.llm import cooccurrence, copies, credentials, language, leximin, mixing, packing, relevance, split
+from orrery.llm import sizes as sizing
+from orrery.operators.skew import cut
 from orrery.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +118,93 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.credentials(table(spark, d, "packs"), "pack_id", "content").select("pack_id", "line_no").distinct()
+
+
+# 7: filling fixed-capacity containers
+
+
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    capacity = table(spark, d, "size_limits").filter("limit_name = 'document_container'").first()["max_tokens"]
+    sizes = cut(sizing.token_counts(table(spark, d, "documents").select("doc_id", "text")))
+    return packing.pack(sizes, "doc_id", "n_tokens", capacity), capacity
+
+
+@query
+def p7_parts(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, part_no, n_parts, start, end, container_id): where each document's tokens are."""
+    return _packed(spark, d)[0]
+
+
+@query
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    packed, capacity = _packed(spark, d)
+    return packing.containers(packed, capacity)
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)[0].filter("n_parts > 1 and part_no = 1").select("doc_id")
+
+
+# 8: mixing sources to target weights
+
+
+def _mixed(spark: SparkSession, d: str, of_corpus: float | None) -> tuple[DataFrame, dict, dict]:
+    """The selection, the natural sizes and the weights; the budget is that share of all named sources' tokens."""
+    goals = table(spark, d, "mix_targets").collect()
+    targets, repeats = {r["source"]: r["target_share"] for r in goals}, {r["source"]: r["max_repeats"] for r in goals}
+    documents = table(spark, d, "documents").select("doc_id", mixing.normal_source(F.col("source")).alias("source"), "text")
+    sized = cut(sizing.token_counts(documents.filter(F.col("source").isin(*targets))))
+    sizes = mixing.source_sizes(sized, "source", "n_tokens", list(targets))
+    budget, _, weights = mixing.plan(sizes, targets, repeats, of_corpus and of_corpus * sum(sizes.values()))
+    chosen = mixing.select(sized, "doc_id", "source", "n_tokens", {k: budget * w for k, w in weights.items()}, sizes, repeats)
+    return chosen, sizes, targets
+
+
+def _shares(spark: SparkSession, d: str, of_corpus: float | None) -> DataFrame:
+    chosen, sizes, targets = _mixed(spark, d, of_corpus)
+    got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
+    got = got.withColumn("_all", F.sum("tokens").over(Window.partitionBy(F.lit(1))))  # one row per target
+    natural = max(1, sum(sizes.values()))
+    rows = spark.createDataFrame([(k, float(t), sizes.get(k, 0) / natural) for k, t in targets.items()], "source string, target_share double, natural_share double")
+    shares = rows.join(got, "source", "left")
+    return shares.select("source", "target_share", "natural_share", F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n_tokens, repeats) of the largest selection that can meet the targets."""
+    return _mixed(spark, d, None)[0]
+
+
+@query
+def p8_mix_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _shares(spark, d, None)
+
+
+@query
+def p8_half_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached with a budget of half of all tokens, where limits keep some sources below their target."""
+    return _shares(spark, d, 0.5)
+
+
+# 9: missing or wrong document language labels
+
+
+@query
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, language, share, confidence) of each language in a document's prose."""
+    documents = table(spark, d, "documents")
+    return language.languages(documents, language.profiles_of(documents))
+
+
+@query
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.language_segments(documents, language.profiles_of(documents))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.mislabelled(language.languages(documents, language.profiles_of(documents)), documents)
