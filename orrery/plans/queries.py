@@ -1,15 +1,435 @@
-"""The queries of the engine over the tables of a directory."""
+"""The queries of the engine over the tables of a directory, each over its whole tables.
+
+Files are ``documents`` (key doc_id, grouped by repo), histories are ``commits``, outlines come from the texts or from
+``symbols``, fields from ``bm25_docs``, sections from ``sections`` and packs from ``packs`` and ``explain_rows``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.functions import text as T
+from orrery.functions.glob import matches
+from orrery.operators import baseline, bm25, budget, cochange, detect, evaluate, health, lookup, outline, rank, rot, sections, select
+from orrery.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "rank_with_query"
+ABOUT = "release notes for the token counting queue"
+MODULES = {"core": ["core/**", "pkg/core/**"], "checks": ["checks/**"], "web": ["web/**", "client/**"]}
+GROUP, FILE = ["repo"], "doc_id"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("repo", "doc_id", "rel", "text")
+
+
+def about_tokens(spark: SparkSession, about: str) -> list[str]:
+    """Search tokens of a query, by the same function as those of texts."""
+    return spark.range(1).select(T.search_tokens(F.lit(about)).alias("t")).first()["t"]
+
+
+def any_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return outline.symbols(files(spark, d), ["repo", "doc_id"], rules="any")
+
+
+def round6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# text
+
+
+@query
+def token_units(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.other_units(t).cast("bigint").alias("other_units"), T.cjk_chars(t).cast("bigint").alias("cjk_chars"), T.approx_tokens(t).alias("tokens"))
+
+
+@query
+def token_budget_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("source").agg(F.sum(T.approx_tokens(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query
+def word_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return rank.word_counts(files(spark, d), ["doc_id"]).groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query
+def stem_vocab(spark: SparkSession, d: str) -> DataFrame:
+    parts = files(spark, d).select(F.explode(T.search_parts(F.col("text"))).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return parts.select("part", T.stem(F.col("part")).alias("stem"), "n")
+
+
+# outlines
+
+
+@query
+def outline_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return outline.symbols(files(spark, d), ["doc_id"])
+
+
+@query
+def import_lines(spark: SparkSession, d: str) -> DataFrame:
+    return outline.imports(files(spark, d), ["doc_id"]).select("doc_id", "specifier", "line").distinct()
+
+
+@query
+def import_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Imports with the file of the same repository that they name."""
+    f = files(spark, d).filter("rel is not null").groupBy("repo", "rel").agg(F.min("text").alias("text"))
+    return outline.resolve(outline.imports(f, ["repo", "rel"]), f, GROUP)
+
+
+# ranking
+
+
+def _scores(spark: SparkSession, d: str, scorers: list[DataFrame]) -> DataFrame:
+    f, s = files(spark, d), any_symbols(spark, d)
+    refs = rank.reference_scores(f, s, rank.word_counts(f, ["repo", "doc_id"]), GROUP, FILE, rank.odd_references(f, s, GROUP, FILE))
+    return rank.scored(refs.join(f.select("repo", "doc_id", "rel"), ["repo", "doc_id"]), GROUP, FILE, "rel", scorers)
+
+
+def _about(spark: SparkSession, d: str) -> DataFrame:
+    docs = files(spark, d).select("doc_id", T.search_tokens(F.col("text")).alias("tokens"))
+    return bm25.bm25(docs, about_tokens(spark, ABOUT), "doc_id")
+
+
+@query
+def reference_rank(spark: SparkSession, d: str) -> DataFrame:
+    return rank.ranked(_scores(spark, d, []), GROUP, FILE).select("repo", "doc_id", "score", "demotion", "rank")
+
+
+@query
+def rank_with_query(spark: SparkSession, d: str) -> DataFrame:
+    """Every file's rank by references and by what the query asks for, with the parts of its score."""
+    asked = bm25.contribution(_about(spark, d)).join(files(spark, d).select("doc_id", "repo"), "doc_id")
+    return round6(rank.ranked(_scores(spark, d, [asked]).withColumn("score", F.round("score", 9)), GROUP, FILE).drop("rel"), "score", "reference", "scorers")
+
+
+@query
+def rank_explain(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 files of each repository with the parts of their scores."""
+    asked = bm25.contribution(_about(spark, d)).join(files(spark, d).select("doc_id", "repo"), "doc_id")
+    return round6(rank.top(_scores(spark, d, [asked]).withColumn("score", F.round("score", 9)), GROUP, FILE, 20).drop("rel"), "score", "reference", "scorers")
+
+
+@query
+def elsewhere_top20(spark: SparkSession, d: str) -> DataFrame:
+    own = files(spark, d).filter(matches(F.col("rel"), MODULES["core"]))
+    return rank.elsewhere(_scores(spark, d, []), own, ["repo", "doc_id"], GROUP, FILE).select("repo", "doc_id", "score", "rank")
+
+
+@query
+def diff_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Callers of each repository's design notes, as if those had changed."""
+    f = files(spark, d)
+    seeds = table(spark, d, "documents").filter("source = 'design'").select("repo", "doc_id")
+    return round6(select.expansion(rank.word_counts(f, ["repo", "doc_id"]), any_symbols(spark, d), seeds, f, GROUP, FILE, "rel"), "score")
+
+
+# relevance
+
+
+@query
+def bm25_body(spark: SparkSession, d: str) -> DataFrame:
+    return round6(_about(spark, d), "score")
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "bm25_docs").groupBy("id", "field").agg(F.min_by("tokens", F.struct("indexed_at", "tokens")).alias("tokens"))
+    return bm25.bm25(docs, ["baseline", "record", "path", "return", "value"], "id", field="field")
+
+
+@query
+def bm25_fields(spark: SparkSession, d: str) -> DataFrame:
+    return round6(_fields(spark, d), "score")
+
+
+@query
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top(_fields(spark, d).withColumn("score", F.round("score", 6)), [], "id", 20)
+
+
+@query
+def query_contribution(spark: SparkSession, d: str) -> DataFrame:
+    return round6(bm25.contribution(_fields(spark, d)), "contribution")
+
+
+# budgets
+
+
+def _blocks(spark: SparkSession, d: str, most: int) -> DataFrame:
+    """The files of each repository by length, shortest key first among equals, as blocks."""
+    f = files(spark, d)
+    scores = f.select("repo", "doc_id", F.length("text").cast("double").alias("score"))
+    block = F.concat(F.lit("### "), F.coalesce("rel", F.lit("?")), F.lit("\n\n```\n"), F.regexp_replace("text", r"\s+\z", ""), F.lit("\n```\n\n"))
+    sized = f.select("repo", "doc_id", T.other_units(block).cast("bigint").alias("other"), T.cjk_chars(block).cast("bigint").alias("cjk"))
+    return rank.top(scores, GROUP, FILE, most).drop("score").join(sized, ["repo", "doc_id"])
+
+
+@query
+def repomap_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """How far an outline of each repository's files reaches in 800 tokens."""
+    s = any_symbols(spark, d)
+    line = F.concat(F.lit("- L"), F.col("line").cast("string"), F.lit(" "), "kind", F.lit(" `"), "name", "signature", F.lit("`\n"))
+    text = s.withColumn("_l", line).groupBy("repo", "doc_id").agg(F.sum(T.other_units(F.col("_l"))).alias("other"), F.sum(T.cjk_chars(F.col("_l"))).alias("cjk"), F.count(F.lit(1)).cast("double").alias("score"))
+    return budget.prefix_cut(rank.top(text, GROUP, FILE, 800), GROUP, 800).select("repo", "doc_id", "rank", "tokens")
+
+
+@query
+def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
+    return budget.greedy_fit(_blocks(spark, d, 1 << 30), GROUP, 3000, header=(40, 0), reserve=50)
+
+
+@query
+def pack_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """Packs led by each repository's rules and repository maps."""
+    marks = table(spark, d, "documents").select("repo", "doc_id", F.coalesce(F.col("source").isin("rules", "repo_map"), F.lit(False)).alias("is_seed"), F.length("text").alias("_n"))
+    order = marks.select("repo", "doc_id", "is_seed", (F.when(F.col("is_seed"), 1e12).otherwise(0.0) + F.col("_n")).alias("score"))
+    sized = _blocks(spark, d, 1 << 30).drop("rank")
+    blocks = rank.top(order, GROUP, FILE, 1 << 30).select("repo", "doc_id", "is_seed", "rank").join(sized, ["repo", "doc_id"])
+    return budget.seeded_fit(blocks, GROUP, 3000, header=(40, 0))
+
+
+# baskets
+
+
+def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    h = cochange.window_commits(table(spark, d, "commits"))
+    return h, h.filter(matches(F.col("rel"), MODULES["core"])).select("repo", "rel").distinct()
+
+
+@query
+def cochange_gate(spark: SparkSession, d: str) -> DataFrame:
+    return cochange.deep_enough(table(spark, d, "commits").filter("rel is not null"))
+
+
+@query
+def cochange_window(spark: SparkSession, d: str) -> DataFrame:
+    h = cochange.window_commits(table(spark, d, "commits"))
+    return h.groupBy("repo").agg(F.countDistinct("sha").alias("n_commits"), F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def cochange_sums(spark: SparkSession, d: str) -> DataFrame:
+    return cochange.seed_sums(*_history(spark, d))
+
+
+@query
+def cochange_score(spark: SparkSession, d: str) -> DataFrame:
+    h, seeds = _history(spark, d)
+    return round6(cochange.cochange_scores(cochange.seed_sums(h, seeds), seeds), "contribution")
+
+
+@query
+def cochange_outside(spark: SparkSession, d: str) -> DataFrame:
+    h, seeds = _history(spark, d)
+    return cochange.outside(cochange.seed_sums(h, seeds), seeds, None, exclude=["docs/**", "migrations"])
+
+
+@query
+def cochange_baskets(spark: SparkSession, d: str) -> DataFrame:
+    """The same on orders: parts that were ordered with parts of one brand."""
+    baskets = table(spark, d, "lineitem").select(F.lit("orders").alias("repo"), F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("rel")).distinct()
+    seeds = table(spark, d, "part").filter("p_brand = 'Brand#11'").select(F.lit("orders").alias("repo"), F.col("p_partkey").alias("rel"))
+    return cochange.seed_sums(baskets, seeds).select("rel", "together")
+
+
+# health
+
+
+@query
+def duplicate_definitions(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "symbols").withColumn("path", F.concat_ws("/", "repo", "rel"))
+    return health.duplicates(s, path="path").select("name", "n_files", F.array_join("files", ",").alias("files"))
+
+
+def _referenced(spark: SparkSession, d: str) -> DataFrame:
+    return health.referenced(rank.word_counts(files(spark, d), ["repo", "doc_id"]), any_symbols(spark, d), GROUP, FILE)
+
+
+@query
+def referenced(spark: SparkSession, d: str) -> DataFrame:
+    return _referenced(spark, d)
+
+
+@query
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    f = files(spark, d).withColumn("rel", F.coalesce("rel", F.lit("")))
+    return health.orphans(f, any_symbols(spark, d), _referenced(spark, d), GROUP, FILE, "rel", ["tools/**"]).select("repo", "doc_id")
+
+
+@query
+def uncovered(spark: SparkSession, d: str) -> DataFrame:
+    return health.uncovered(files(spark, d), MODULES).select("doc_id", "rel")
+
+
+@query
+def constraint_only_in(spark: SparkSession, d: str) -> DataFrame:
+    return health.only_in(table(spark, d, "symbols"), "sortQuota", ["core/**", "lib/**"]).select("symbol_id", "repo", "rel", "line").distinct()
+
+
+@query
+def constraint_imports(spark: SparkSession, d: str) -> DataFrame:
+    found = outline.imports(files(spark, d), ["doc_id", "rel"])
+    return health.must_not_import(found, ["**/*.py", "**/*.js"], ["**/token", "build/**", "../*.js"]).select("doc_id", "specifier", "line").distinct()
+
+
+@query
+def constraint_forbid_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return health.forbid_pattern(files(spark, d), ["doc_id"], r"set -euo pipefail|return nil, err", ["**/*.go", "**/*.md"])
+
+
+@query
+def secrets_scan(spark: SparkSession, d: str) -> DataFrame:
+    return health.secret_lines(table(spark, d, "packs").filter("pack_id is not null"), ["pack_id"], "content").distinct()
+
+
+@query
+def rule_length(spark: SparkSession, d: str) -> DataFrame:
+    return health.long_texts(files(spark, d), ["doc_id"], 60)
+
+
+@query
+def stale_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Repository maps that are older than the newest file of their repository."""
+    docs = table(spark, d, "documents")
+    built = docs.filter("source = 'repo_map' and updated_at is not null").select("repo", "doc_id", "updated_at")
+    return health.stale(docs.filter("source = 'code'").withColumnRenamed("updated_at", "changed"), built, GROUP, "changed", "updated_at").groupBy("repo").agg(F.max("changed_at").alias("changed_at"))
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    packs = table(spark, d, "packs").filter("pack_id is not null")
+    hits = health.secret_lines(packs, ["pack_id"], "content").distinct()
+    at = F.concat(F.lit("pack "), F.col("pack_id").cast("string"))
+    secrets = hits.select(F.lit("fail").alias("level"), F.lit("secrets").alias("name"), F.concat(at, F.lit(":"), F.col("line").cast("string"), F.lit(" looks like a secret")).alias("detail"), at.alias("file"), "line", F.lit(None).cast("string").alias("subject"))
+    missing = packs.filter("tokens is null").select("pack_id").distinct().select(F.lit("warn").alias("level"), F.lit("tokens").alias("name"), F.concat(at, F.lit(" has no token count")).alias("detail"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("subject"))
+    return secrets.unionByName(missing)
+
+
+@query
+def baseline_entries(spark: SparkSession, d: str) -> DataFrame:
+    return baseline.entries(_results(spark, d))
+
+
+@query
+def baseline_ratchet(spark: SparkSession, d: str) -> DataFrame:
+    """Results against a baseline that knows every secret above line 60."""
+    results = _results(spark, d)
+    return baseline.apply(results, baseline.entries(results.filter("line < 60")))
+
+
+@query
+def check_summary(spark: SparkSession, d: str) -> DataFrame:
+    results = _results(spark, d)
+    return baseline.apply(results, baseline.entries(results.filter("line < 60"))).groupBy("name", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+# rule documents
+
+
+@query
+def fence_strip(spark: SparkSession, d: str) -> DataFrame:
+    kept = F.filter(rot.strip_fences(F.col("text")), lambda l: l != "")
+    return files(spark, d).select("doc_id", F.size(kept).cast("bigint").alias("n_lines"), F.length(F.array_join(kept, "")).cast("bigint").alias("n_chars"))
+
+
+@query
+def section_scope(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of each document stand under a heading called Overview."""
+    return files(spark, d).select("doc_id", F.size(rot.section_lines(T.lines(F.col("text")), "overview")).cast("bigint").alias("n_lines")).filter("n_lines > 0")
+
+
+@query
+def backtick_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = rot.backticks(files(spark, d), ["doc_id"])
+    return spans.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(rot.is_path_candidate(F.col("text")).cast("bigint")).alias("n_paths"))
+
+
+# sections
+
+
+@query
+def section_split(spark: SparkSession, d: str) -> DataFrame:
+    s = sections.split_sections(table(spark, d, "documents").filter("source in ('readme', 'design')"), "doc_id", "text")
+    return s.select("doc_id", "section_ord", "heading", F.length("body").cast("bigint").alias("n_chars"))
+
+
+@query
+def section_search(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "sections").select("section_id", "heading", "body").distinct()
+    return sections.search(s, "token", ["section_id"], 5).select("section_id", "score")
+
+
+@query
+def section_budget(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "sections").select("section_id", "heading", "body").distinct()
+    return sections.within_budget(sections.search(s, "token", ["section_id"], 20), ["section_id"], 4000).select("section_id", "rank", "tokens")
+
+
+# lookup, evaluation, detection
+
+
+@query
+def symbol_search(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.find_symbols(table(spark, d, "symbols").select("symbol_id", "repo", "rel", "kind", "name").distinct(), "SORTquota").select("symbol_id", "name")
+
+
+@query
+def symbol_refs30(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.reference_lines(files(spark, d), "return", ["doc_id"], ["doc_id"])
+
+
+def _evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks: the packs with a question, each expecting the file that its ranking put first; a pack without one has none."""
+    packs = table(spark, d, "packs").filter("about is not null").select("pack_id", "profile").distinct()
+    rows = table(spark, d, "explain_rows").groupBy("pack_id", "rel").agg(F.max(F.coalesce("final_score", F.lit(-1.0))).alias("s"), F.max(F.coalesce("included", F.lit(False))).alias("included"))
+    first = rows.groupBy("pack_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "rel")).alias("b")).select("pack_id", F.col("b.rel").alias("expect_file"))
+    tasks = packs.select("pack_id").join(first, "pack_id", "left").select(F.col("pack_id").alias("id"), "expect_file")
+    items = rows.join(packs, "pack_id").groupBy("profile", "rel").agg(F.lit(True).alias("in_outline"), F.max("included").alias("included"))
+    return tasks, items
+
+
+@query
+def eval_cells(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.cells(["light", "mid"], *_evaluated(spark, d))
+
+
+@query
+def eval_rates(spark: SparkSession, d: str) -> DataFrame:
+    return round6(evaluate.rates(evaluate.cells(["light", "mid"], *_evaluated(spark, d))), "outline_rate", "content_rate")
+
+
+@query
+def eval_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.matrix(["light", "mid"], ["small", "large"], _evaluated(spark, d)[0]).groupBy("profile", "model").agg(F.count(F.lit(1)).alias("n_calls"))
+
+
+@query
+def graded_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Sections as answers: which ones say what was expected."""
+    s = table(spark, d, "sections").select("section_id", "repo", "body").distinct()
+    graded = s.withColumn("passed", evaluate.passed(F.col("body"), F.array(F.lit("Token"), F.lit("snapshot")))).withColumn("profile", F.col("repo")).withColumn("model", F.lit("text"))
+    return evaluate.pass_rates(graded).select("profile", "n", F.round("rate", 6).alias("rate"))
+
+
+@query
+def module_detect(spark: SparkSession, d: str) -> DataFrame:
+    return detect.modules(table(spark, d, "commits").filter("rel is not null").select("repo", "rel").distinct(), GROUP)
+
+
+@query
+def module_match_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each module; a module that matches none has rotted."""
+    f = files(spark, d)
+    return f.agg(*[F.sum(matches(F.col("rel"), g).cast("bigint")).alias(m) for m, g in MODULES.items()]).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, MODULES)), F.array(*MODULES))).alias("module", "n_files"))
