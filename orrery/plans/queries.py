@@ -131,9 +131,9 @@ def elsewhere_top20(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def diff_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Callers of each repository's design notes, as if those had changed."""
+    """Callers of each repository's TypeScript and Rust files, as if those had changed."""
     f = files(spark, d)
-    seeds = table(spark, d, "documents").filter("source = 'design'").select("repo", "doc_id")
+    seeds = f.filter(matches(F.col("rel"), ["**/*.ts", "**/*.rs"])).select("repo", "doc_id")
     return round6(select.expansion(rank.word_counts(f, ["repo", "doc_id"]), any_symbols(spark, d), seeds, f, GROUP, FILE, "rel"), "score")
 
 
@@ -276,7 +276,7 @@ def uncovered(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def constraint_only_in(spark: SparkSession, d: str) -> DataFrame:
-    return health.only_in(table(spark, d, "symbols"), "sortQuota", ["core/**", "lib/**"]).select("symbol_id", "repo", "rel", "line").distinct()
+    return health.only_in(table(spark, d, "symbols"), "StorePanel", ["core/**", "lib/**"]).select("symbol_id", "repo", "rel", "line").distinct()
 
 
 @query
@@ -305,7 +305,7 @@ def stale_maps(spark: SparkSession, d: str) -> DataFrame:
     """Repository maps that are older than the newest file of their repository."""
     docs = table(spark, d, "documents")
     built = docs.filter("source = 'repo_map' and updated_at is not null").select("repo", "doc_id", "updated_at")
-    return health.stale(docs.filter("source = 'code'").withColumnRenamed("updated_at", "changed"), built, GROUP, "changed", "updated_at").groupBy("repo").agg(F.max("changed_at").alias("changed_at"))
+    return health.stale(docs.filter("source = 'code'").withColumnRenamed("updated_at", "changed"), built, GROUP, "changed", "updated_at").groupBy("repo").agg(F.unix_micros(F.max("changed_at")).alias("changed_at"))
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +382,7 @@ def section_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.find_symbols(table(spark, d, "symbols").select("symbol_id", "repo", "rel", "kind", "name").distinct(), "SORTquota").select("symbol_id", "name")
+    return lookup.find_symbols(table(spark, d, "symbols").select("symbol_id", "repo", "rel", "kind", "name").distinct(), "PANEL").select("symbol_id", "name")
 
 
 @query

@@ -1 +1,285 @@
-SQL: dict[str, str] = {}
+"""SQL that DuckDB runs over the same tables, written from the definition of each query."""
+
+from orrery.functions.text import STEM_EXCEPTIONS, STOPWORDS
+from orrery.operators.outline import RULES
+
+_CJK = r"\x{1100}-\x{11ff}\x{3040}-\x{30ff}\x{3130}-\x{318f}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{a960}-\x{a97f}\x{ac00}-\x{d7a3}\x{d7b0}-\x{d7ff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}\x{20000}-\x{2fffd}"
+_SEARCH = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}"
+_TEST = r"(^|/)(tests?|__tests__)/|(^|/)(test_[^/]*|conftest)\.py$|\.(test|spec)\.[jt]sx?$"
+_CORE, _CHECKS, _WEB = "^(core|pkg/core)(/.*)?$", "^checks(/.*)?$", "^(web|client)(/.*)?$"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _other(t: str) -> str:
+    rest = f"regexp_replace({t}, '[{_CJK}]', '', 'g')"
+    return rf"(length({rest}) + length(regexp_replace({rest}, '[^\x{{10000}}-\x{{10ffff}}]', '', 'g')))"
+
+
+def _cjk(t: str) -> str:
+    return f"length(regexp_replace({t}, '[^{_CJK}]', '', 'g'))"
+
+
+def _tokens(other: str, cjk: str) -> str:
+    return f"(ceil(({other}) / 4.0::DOUBLE) + ceil(({cjk}) * 0.95::DOUBLE))::BIGINT"
+
+
+def _stem(t: str) -> str:
+    bare = lambda n: f"left({t}, length({t}) - {n})"
+
+    def fold(b: str) -> str:
+        doubled = f"(right({b}, 1) IN ('b','d','g','m','n','p','r','t') AND right({b}, 1) = left(right({b}, 2), 1) AND length({b}) >= 2)"
+        return f"CASE WHEN {doubled} THEN CASE WHEN length({b}) - 1 >= 3 THEN left({b}, length({b}) - 1) ELSE {t} END WHEN length({b}) >= 4 THEN {b} ELSE {t} END"
+
+    return f"""CASE WHEN length({t}) < 4 OR {t} IN ({', '.join(map(_q, STEM_EXCEPTIONS))}) THEN {t}
+      WHEN length({t}) > 4 AND ({t} LIKE '%ies' OR {t} LIKE '%ied') THEN {bare(3)} || 'y'
+      WHEN length({t}) > 4 AND regexp_matches({t}, '(sses|xes|zes|ches|shes)$') THEN {bare(2)}
+      WHEN length({t}) > 4 AND {t} LIKE '%ing' THEN {fold(bare(3))}
+      WHEN length({t}) > 4 AND {t} LIKE '%ed' AND {t} NOT LIKE '%eed' THEN {fold(bare(2))}
+      WHEN {t} LIKE '%s' AND NOT regexp_matches({t}, '[suio]s$') THEN {bare(1)} ELSE {t} END"""
+
+
+_PARTS = rf"""
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{_SEARCH}]+|[A-Za-z0-9]+')) AS run FROM documents),
+parts AS (
+  SELECT doc_id, part FROM (
+    SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(run, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), ' ')) AS piece, lower(piece) AS part
+    FROM runs WHERE regexp_matches(run, '^[A-Za-z0-9]'))
+  WHERE length(part) >= 2 AND part NOT IN ({', '.join(map(_q, STOPWORDS))})
+  UNION ALL
+  SELECT doc_id, unnest(CASE WHEN length(run) = 1 THEN [run] ELSE list_transform(range(1, length(run)), lambda i: substring(run, i, 2)) END) FROM runs WHERE NOT regexp_matches(run, '^[A-Za-z0-9]'))
+"""
+
+_ASKED = rf"""
+terms AS (SELECT unnest(['release', 'note', 'token', 'count', 'queue']) AS term),
+lens AS (SELECT d.doc_id, d.repo, count(p.part) AS dl FROM documents d LEFT JOIN parts p USING (doc_id) GROUP BY ALL),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avg_len FROM lens),
+tf AS (SELECT doc_id, {_stem('part')} AS term, count(*)::DOUBLE AS tf FROM parts GROUP BY ALL),
+hit AS (SELECT tf.* FROM tf JOIN terms USING (term)),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM hit GROUP BY term),
+asked AS (
+  SELECT doc_id, sum(greatest(0, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (dl / avg_len)))) AS score
+  FROM hit JOIN df USING (term) JOIN lens USING (doc_id), stats GROUP BY doc_id)
+"""
+
+_LINES = "lines AS (SELECT doc_id, repo, rel, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"
+
+
+def _outline(rules: dict, by_ext: bool) -> str:
+    """A branch per rule; the first that matches a line counts, and the first 50 of a text."""
+    ext = {"js": ("ts", "tsx", "js", "jsx", "mjs", "cjs"), "py": ("py", "php"), "go": ("go",), "rs": ("rs",), "jvm": ("java", "kt", "cs", "swift"), "rb": ("rb",), "c": ("c", "h", "cc", "cpp", "hpp")}
+    cases = []
+    for lang, set_ in rules.items():
+        for pattern, kind, signed in set_:
+            when = f"regexp_matches(line, {_q(pattern)})" + (rf" AND regexp_matches(rel, '[^/]\.({'|'.join(ext[lang])})$')" if by_ext else "")
+            sig = rf"regexp_replace(regexp_extract(line, {_q(pattern)}, 2), '^\s+|\s+$', '', 'g')" if signed else "''"
+            cases.append(f"WHEN {when} THEN {{'kind': '{kind}', 'name': regexp_extract(line, {_q(pattern)}, 1), 'signature': {sig}}}")
+    return f"""{_LINES},
+marked AS (SELECT doc_id, repo, n, line, CASE {' '.join(cases)} END AS s FROM lines),
+symbols_of AS (
+  SELECT doc_id, repo, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS ord, s.kind AS kind, s.name AS name, s.signature AS signature, n::INT AS line, NOT regexp_matches(line, '^\\s') AS top_level
+  FROM marked WHERE s IS NOT NULL QUALIFY ord < 50)
+""".replace("'^\\\\s'", r"'^\s'")
+
+
+_GENERIC = "(length(name) < 4 OR lower(name) IN ('main','init','test','setup','index','data','name','type','value','get','set','run','new','update','create','delete','read','write'))"
+_WORDS = "w AS (SELECT repo, doc_id, word, count(*) AS n FROM (SELECT repo, doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents) GROUP BY ALL)"
+_REFERENCE = f"""{_outline(RULES, False)}, {_WORDS},
+names AS (SELECT repo, doc_id, name, count(*) AS times FROM symbols_of WHERE NOT {_GENERIC} GROUP BY ALL),
+refs AS (SELECT names.repo, names.doc_id, sum(least(w.n, 20) * times) AS refs FROM names JOIN w ON w.repo = names.repo AND w.word = names.name AND w.doc_id <> names.doc_id GROUP BY ALL),
+own AS (SELECT doc_id, count(*) AS own FROM symbols_of GROUP BY ALL),
+reference AS (
+  SELECT d.repo, d.doc_id, coalesce(refs, 0)::DOUBLE + least(coalesce(own, 0), 10) * 0.5::DOUBLE AS reference, CASE WHEN regexp_matches(coalesce(rel, ''), {_q(_TEST)}) THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS demotion
+  FROM documents d LEFT JOIN refs USING (doc_id) LEFT JOIN own USING (doc_id))
+"""
+_WITH_QUERY = f"""
+WITH {_PARTS}, {_ASKED}, {_REFERENCE},
+norm AS (SELECT repo, doc_id, demotion, CASE WHEN max(reference) OVER (PARTITION BY repo) > 0 THEN reference / max(reference) OVER (PARTITION BY repo) ELSE reference END AS reference FROM reference),
+parts_of AS (SELECT repo, doc_id, reference, coalesce(score / (SELECT max(score) FROM asked) * 2, 0)::DOUBLE AS scorers, demotion FROM norm LEFT JOIN asked USING (doc_id)),
+final AS (SELECT *, round((reference + scorers) * demotion, 9) AS score FROM parts_of),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, doc_id) AS rank FROM final)
+SELECT repo, doc_id, round(score, 6) AS score, round(reference, 6) AS reference, round(scorers, 6) AS scorers, demotion, rank FROM ranked
+"""
+
+_FIELDS = """
+WITH once AS (SELECT id, field, arg_min(coalesce(tokens, []), indexed_at) AS tokens FROM bm25_docs GROUP BY ALL),
+params AS (SELECT * FROM (VALUES ('path', 3.0::DOUBLE, 0.5::DOUBLE), ('symbols', 2.0::DOUBLE, 0.5::DOUBLE), ('body', 1.0::DOUBLE, 0.75::DOUBLE)) t(field, weight, b)),
+lens AS (SELECT id, field, tokens, coalesce(len(tokens), 0)::DOUBLE AS dl FROM once),
+stats AS (SELECT field, count(*)::DOUBLE AS n, avg(dl) AS avg_len FROM lens GROUP BY field),
+tf AS (SELECT id, field, term, count(*)::DOUBLE AS tf FROM (SELECT id, field, unnest(tokens) AS term FROM lens) WHERE term IN ('baseline', 'record', 'path', 'return', 'value') GROUP BY ALL),
+df AS (SELECT field, term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
+scores AS (
+  SELECT id, sum(weight * greatest(0, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (1 - b + b * (dl / avg_len)))) AS score
+  FROM tf JOIN df USING (field, term) JOIN lens USING (id, field) JOIN stats USING (field) JOIN params USING (field) GROUP BY id)
+"""
+
+_BLOCKS = rf"""
+texts AS (SELECT repo, doc_id, '### ' || coalesce(rel, '?') || chr(10) || chr(10) || '```' || chr(10) || regexp_replace(text, '\s+$', '') || chr(10) || '```' || chr(10) || chr(10) AS block, length(text) AS n_text, coalesce(source IN ('rules', 'repo_map'), false) AS is_seed FROM documents),
+blocks AS (SELECT repo, doc_id, is_seed, n_text, {_other('block')} AS other, {_cjk('block')} AS cjk FROM texts)
+"""
+
+
+def _greedy(where: str, header: int, budget: int, reserve: int, rows: str) -> str:
+    fits = _tokens("a.o + x.other", "a.c + x.cjk")
+    return f"""
+listed AS (SELECT repo, list({{'rank': rank, 'other': other, 'cjk': cjk}} ORDER BY rank) AS items FROM {rows} WHERE {where} GROUP BY repo),
+walk AS (
+  WITH RECURSIVE r(repo, i, o, c, rank, included) AS (
+    SELECT repo, 0, {header}::BIGINT, 0::BIGINT, 0::BIGINT, false FROM listed
+    UNION ALL
+    SELECT repo, i + 1, CASE WHEN fits THEN no ELSE o END, CASE WHEN fits THEN nc ELSE c END, k, fits FROM (
+      SELECT r.repo, r.i, r.o, r.c, r.o + items[i + 1].other AS no, r.c + items[i + 1].cjk AS nc, items[i + 1].rank AS k, {_tokens('r.o + items[i + 1].other', 'r.c + items[i + 1].cjk')} + {reserve} <= {budget} AS fits
+      FROM r JOIN listed ON listed.repo = r.repo AND i < len(items)))
+  SELECT repo, rank, included FROM r WHERE i > 0)
+"""
+
+
+_RANKED_BLOCKS = "rows AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_text::DOUBLE DESC, doc_id) AS rank FROM blocks)"
+_SEEDED_ROWS = "rows AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY is_seed DESC, n_text DESC, doc_id) AS rank FROM blocks)"
+
+_HISTORY = """
+once AS (SELECT repo, sha, rel, min(commit_ord) AS commit_ord FROM commits WHERE commit_ord < 500 AND rel IS NOT NULL GROUP BY ALL),
+h AS (SELECT * FROM once QUALIFY count(*) OVER (PARTITION BY repo, sha) <= 50)
+"""
+_SUMS = f"""{_HISTORY},
+seeds AS (SELECT DISTINCT repo, rel FROM h WHERE regexp_matches(rel, '{_CORE}')),
+sums AS (SELECT f.repo, f.rel, count(*) AS together FROM h f JOIN h s ON s.repo = f.repo AND s.sha = f.sha AND s.rel <> f.rel JOIN seeds ON seeds.repo = s.repo AND seeds.rel = s.rel GROUP BY ALL)
+"""
+
+_SECRET = "regexp_matches(line, '-----BEGIN ([A-Z]+ )*PRIVATE KEY-----') OR regexp_matches(line, 'AKIA[0-9A-Z]{16}') OR regexp_matches(line, 'ghp_[A-Za-z0-9]{36}') OR regexp_matches(line, '(?i)(api[_-]?key|secret|token|password)\\s*[:=]\\s*[\"''][^\"''\\s]{12,}[\"'']')"
+_SECRETS = f"""
+pack_lines AS (SELECT pack_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS n FROM packs),
+hits AS (SELECT DISTINCT pack_id, n AS line FROM pack_lines WHERE {_SECRET})
+"""
+_RESULTS = f"""{_SECRETS},
+results AS (
+  SELECT 'fail' AS level, 'secrets' AS name, 'pack ' || pack_id || ':' || line || ' looks like a secret' AS detail, 'pack ' || pack_id AS file, line, NULL::VARCHAR AS subject FROM hits
+  UNION ALL
+  SELECT 'warn', 'tokens', 'pack ' || pack_id || ' has no token count', NULL, NULL, NULL FROM (SELECT DISTINCT pack_id FROM packs WHERE tokens IS NULL)),
+applied AS (
+  SELECT CASE WHEN level = 'fail' AND line < 60 THEN 'warn' ELSE level END AS level, name, CASE WHEN level = 'fail' AND line < 60 THEN detail || ' [baseline: known violation — run with --no-baseline to fail it again]' ELSE detail END AS detail, file, line, subject
+  FROM results)
+"""
+
+_SPANS = r"""
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+fences AS (SELECT *, regexp_matches(line, '^\s*```') AS fence, sum(regexp_matches(line, '^\s*```')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS opened FROM lines),
+kept AS (SELECT doc_id, n, CASE WHEN fence OR opened % 2 = 1 THEN '' ELSE line END AS line FROM fences)
+"""
+_SECTION = "once AS (SELECT DISTINCT section_id, heading, body FROM sections), scored AS (SELECT *, (5 * coalesce((length(heading) - length(replace(lower(heading), 'token', ''))) / 5, 0) + coalesce((length(body) - length(replace(lower(body), 'token', ''))) / 5, 0))::BIGINT AS score FROM once)"
+_TASKS = """
+tasks_of AS (SELECT DISTINCT pack_id, profile FROM packs WHERE about IS NOT NULL),
+files_of AS (SELECT pack_id, rel, max(coalesce(final_score, -1)) AS s, max(coalesce(included, false)) AS included FROM explain_rows GROUP BY ALL),
+best AS (SELECT pack_id, rel FROM files_of QUALIFY row_number() OVER (PARTITION BY pack_id ORDER BY s DESC, rel) = 1),
+tasks AS (SELECT pack_id AS id, rel AS expect_file FROM tasks_of LEFT JOIN best USING (pack_id)),
+items AS (SELECT profile, rel, max(included) AS included FROM files_of JOIN tasks_of USING (pack_id) GROUP BY ALL),
+cells AS (
+  SELECT p.profile, id, CASE WHEN expect_file IS NOT NULL THEN items.rel IS NOT NULL END AS outline_hit, CASE WHEN expect_file IS NOT NULL THEN coalesce(included, false) END AS content_hit
+  FROM tasks CROSS JOIN (VALUES ('light'), ('mid')) p(profile) LEFT JOIN items ON items.profile = p.profile AND items.rel = expect_file)
+"""
+_IMPORTS = r"""
+lines AS (SELECT doc_id, rel, regexp_extract(rel, '[^/](\.[^./]*)$', 1) AS ext, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n FROM documents),
+found AS (
+  SELECT doc_id, rel, n AS line, unnest(list_concat(regexp_extract_all(line, '(?:^|[^A-Za-z0-9_])from\s+["'']([^"'']+)["'']', 1), regexp_extract_all(line, '(?:^|[^A-Za-z0-9_])import\s+["'']([^"'']+)["'']', 1),
+    regexp_extract_all(line, '(?:^|[^A-Za-z0-9_])require\(\s*["'']([^"'']+)["'']\s*\)', 1), regexp_extract_all(line, '(?:^|[^A-Za-z0-9_])import\(\s*["'']([^"'']+)["'']\s*\)', 1))) AS specifier
+  FROM lines WHERE ext IN ('.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs')
+  UNION ALL
+  SELECT doc_id, rel, n, unnest(CASE WHEN regexp_matches(line, '^\s*from\s+\.*[\w.]*\s+import\b') THEN [regexp_extract(line, '^\s*from\s+(\.*[\w.]*)\s+import\b', 1)]
+    WHEN regexp_matches(line, '^\s*import\s+.+$') THEN list_filter(list_transform(string_split(regexp_extract(line, '^\s*import\s+(.+)$', 1), ','), lambda p: trim(regexp_split_to_array(trim(p), '\s+as\s+')[1])), lambda p: p <> '') ELSE [] END)
+  FROM lines WHERE ext = '.py'
+  UNION ALL
+  SELECT doc_id, rel, n, CASE WHEN regexp_matches(line, '^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);') THEN trim(regexp_extract(line, '^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);', 1)) ELSE regexp_extract(line, '^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_]\w*)\s*;', 1) END
+  FROM lines WHERE ext = '.rs' AND regexp_matches(line, '^\s*(?:pub(?:\([^)]*\))?\s+)?(?:use\s+[^;]+;|mod\s+[A-Za-z_]\w*\s*;)')
+  UNION ALL
+  SELECT doc_id, rel, n, regexp_extract(line, '^\s*import\s+(?:\w+\s+)?"([^"]+)"', 1) FROM lines WHERE ext = '.go' AND regexp_matches(line, '^\s*import\s+(?:\w+\s+)?"([^"]+)"'))
+"""
+
+SQL: dict[str, str] = {
+    "token_units": f"SELECT doc_id, {_other('text')} AS other_units, {_cjk('text')} AS cjk_chars, {_tokens(_other('text'), _cjk('text'))} AS tokens FROM documents",
+    "token_budget_by_source": f"SELECT source, sum({_tokens(_other('text'), _cjk('text'))})::BIGINT AS tokens, count(*) AS n_docs FROM documents GROUP BY source",
+    "word_tokens": f"WITH {_WORDS} SELECT word, sum(n)::BIGINT AS n, count(*) AS n_docs FROM w GROUP BY word",
+    "stem_vocab": f"WITH {_PARTS} SELECT part, {_stem('part')} AS stem, count(*) AS n FROM parts GROUP BY part",
+    "outline_symbols": f"WITH {_outline(RULES, True)} SELECT doc_id, ord, kind, name, signature, line, top_level FROM symbols_of",
+    "import_lines": f"WITH {_IMPORTS} SELECT DISTINCT doc_id, specifier, line FROM found",
+    "reference_rank": f"WITH {_REFERENCE} SELECT repo, doc_id, reference * demotion AS score, demotion, row_number() OVER (PARTITION BY repo ORDER BY reference * demotion DESC, doc_id) AS rank FROM reference",
+    "rank_with_query": _WITH_QUERY,
+    "rank_explain": _WITH_QUERY + " WHERE rank <= 20",
+    "elsewhere_top20": f"WITH {_REFERENCE} SELECT repo, doc_id, reference * demotion AS score, row_number() OVER (PARTITION BY repo ORDER BY reference * demotion DESC, doc_id) AS rank FROM reference WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(coalesce(rel, ''), '{_CORE}')) QUALIFY rank <= 20",
+    "diff_expansion": rf"""WITH {_outline(RULES, False)}, {_WORDS},
+seeds AS (SELECT doc_id FROM documents WHERE regexp_matches(rel, '\.(ts|rs)$')),
+names AS (SELECT DISTINCT repo, name FROM symbols_of WHERE doc_id IN (SELECT doc_id FROM seeds) AND NOT {_GENERIC}),
+n AS (SELECT w.repo, w.doc_id, sum(w.n) AS n FROM w JOIN names ON names.repo = w.repo AND names.name = w.word WHERE w.doc_id NOT IN (SELECT doc_id FROM seeds) GROUP BY ALL),
+s AS (SELECT n.repo, n.doc_id, round(n * CASE WHEN regexp_matches(coalesce(rel, ''), {_q(_TEST)}) THEN 0.2::DOUBLE ELSE 1 END, 6) AS score FROM n JOIN documents USING (doc_id))
+SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""",
+    "bm25_body": f"WITH {_PARTS}, {_ASKED} SELECT doc_id, round(score, 6) AS score FROM asked",
+    "bm25_fields": _FIELDS + "SELECT id, round(score, 6) AS score FROM scores",
+    "bm25_topk": _FIELDS + "SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM scores QUALIFY rank <= 20",
+    "query_contribution": _FIELDS + "SELECT id, round(score / (SELECT max(score) FROM scores) * 2, 6) AS contribution FROM scores",
+    "repomap_prefix": f"""WITH {_outline(RULES, False)},
+l AS (SELECT repo, doc_id, '- L' || line || ' ' || kind || ' `' || name || signature || '`' || chr(10) AS t FROM symbols_of),
+b AS (SELECT repo, doc_id, sum({_other('t')})::BIGINT AS other, sum({_cjk('t')})::BIGINT AS cjk, count(*) AS n FROM l GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, doc_id) AS rank FROM b),
+t AS (SELECT repo, doc_id, rank, {_tokens('sum(other) OVER w', 'sum(cjk) OVER w')} AS tokens FROM r WINDOW w AS (PARTITION BY repo ORDER BY rank))
+SELECT * FROM t WHERE tokens <= 800""",
+    "pack_greedy": f"WITH RECURSIVE {_BLOCKS}, {_RANKED_BLOCKS}, {_greedy('true', 40, 3000, 50, 'rows')} SELECT repo, rank, included FROM walk",
+    "pack_seeded": f"""WITH RECURSIVE {_BLOCKS}, {_SEEDED_ROWS},
+seed AS (SELECT repo, {_tokens('sum(other) + 40', 'sum(cjk)')} > 3000 AS degraded FROM rows WHERE is_seed GROUP BY repo),
+marked AS (SELECT rows.*, coalesce(degraded, false) AS degraded FROM rows LEFT JOIN seed USING (repo)),
+{_greedy('NOT degraded OR NOT is_seed OR rank = 1', 40, 3000, 0, 'marked')}
+SELECT repo, rank, is_seed, coalesce(included, false) AS included, degraded FROM marked LEFT JOIN walk USING (repo, rank)""",
+    "cochange_gate": "SELECT repo, count(DISTINCT sha) AS n_commits, count(DISTINCT sha) >= 50 AS available FROM commits WHERE rel IS NOT NULL GROUP BY repo",
+    "cochange_window": f"WITH {_HISTORY} SELECT repo, count(DISTINCT sha) AS n_commits, count(*) AS n_files FROM h GROUP BY repo",
+    "cochange_sums": f"WITH {_SUMS} SELECT * FROM sums",
+    "cochange_score": f"WITH {_SUMS} SELECT repo, rel, round(together::DOUBLE / max(together) OVER (PARTITION BY repo), 6) AS contribution FROM sums",
+    "cochange_outside": rf"""WITH {_SUMS} SELECT repo, rel, together, row_number() OVER (PARTITION BY repo ORDER BY together DESC, rel) AS rank FROM sums
+WHERE NOT regexp_matches(rel, '{_CORE}') AND NOT regexp_matches(rel, '^(docs|migrations)(/|$)') AND NOT regexp_matches(rel, '(^|/)(\.[^/]*|node_modules|dist|build|out|target|vendor|__pycache__|venv|coverage)(/|$)') QUALIFY rank <= 5""",
+    "cochange_baskets": """WITH b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11')
+SELECT f.l_partkey AS rel, count(*) AS together FROM b f JOIN b o ON o.l_orderkey = f.l_orderkey AND o.l_partkey <> f.l_partkey JOIN s ON s.p_partkey = o.l_partkey GROUP BY ALL""",
+    "duplicate_definitions": rf"""WITH s AS (SELECT DISTINCT repo || '/' || rel AS path, name, regexp_replace(signature, '\s+', '', 'g') AS sig FROM symbols WHERE top_level AND length(name) >= 4 AND NOT regexp_matches(name, '^__.+__$') AND NOT regexp_matches(repo || '/' || rel, {_q(_TEST)})),
+g AS (SELECT name, sig FROM s WHERE sig <> '' GROUP BY ALL HAVING count(*) >= 2), f AS (SELECT DISTINCT name, path FROM s JOIN g USING (name, sig))
+SELECT name, count(*) AS n_files, string_agg(path, ',' ORDER BY path) AS files FROM f GROUP BY name""",
+    "referenced": f"WITH {_outline(RULES, False)}, {_WORDS} SELECT DISTINCT s.repo, s.doc_id FROM symbols_of s JOIN w ON w.repo = s.repo AND w.word = s.name AND w.doc_id <> s.doc_id WHERE length(name) >= 4",
+    "orphans": rf"""WITH {_outline(RULES, False)}, {_WORDS}, r AS (SELECT DISTINCT s.doc_id FROM symbols_of s JOIN w ON w.repo = s.repo AND w.word = s.name AND w.doc_id <> s.doc_id WHERE length(name) >= 4)
+SELECT repo, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM symbols_of) AND doc_id NOT IN (SELECT doc_id FROM r) AND NOT regexp_matches(coalesce(rel, ''), {_q(_TEST)}) AND NOT regexp_matches(coalesce(rel, ''), '^tools(/|$)')
+AND regexp_extract(coalesce(rel, ''), '([^/]*?)(\.[^./]+)?$', 1) NOT IN ('main', 'index', 'cli', 'app', '__main__', 'server', 'worker', 'setup', 'conftest', 'page', 'layout', 'route', 'middleware')""",
+    "uncovered": f"SELECT doc_id, rel FROM documents WHERE rel IS NOT NULL AND NOT regexp_matches(rel, '{_CORE}|{_CHECKS}|{_WEB}')",
+    "constraint_only_in": "SELECT DISTINCT symbol_id, repo, rel, line FROM symbols WHERE name = 'StorePanel' AND NOT regexp_matches(rel, '^(core|lib)(/|$)')",
+    "constraint_imports": rf"""WITH {_IMPORTS} SELECT DISTINCT doc_id, specifier, line FROM found
+WHERE regexp_matches(rel, '\.(py|js)$') AND (regexp_matches(specifier, '(^|/)token$|^build(/|$)|^\.\./[^/]*\.js$') OR regexp_matches(replace(specifier, '.', '/'), '(^|/)token$|^build(/|$)'))""",
+    "constraint_forbid_pattern": f"WITH {_LINES} SELECT doc_id, n::INT AS line FROM lines WHERE regexp_matches(rel, '\\.(go|md)$') AND regexp_matches(line, 'set -euo pipefail|return nil, err')",
+    "secrets_scan": f"WITH {_SECRETS} SELECT pack_id, line FROM hits",
+    "rule_length": "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE len(string_split(text, chr(10))) > 60",
+    "stale_maps": "WITH newest AS (SELECT repo, max(updated_at) AS changed_at FROM documents WHERE source = 'code' GROUP BY repo) SELECT DISTINCT repo, epoch_us(changed_at) AS changed_at FROM newest JOIN documents d USING (repo) WHERE d.source = 'repo_map' AND changed_at > d.updated_at",
+    "baseline_entries": f"WITH {_RESULTS} SELECT name AS \"check\", file, line, NULL::VARCHAR AS subject, CASE WHEN file IS NULL THEN detail END AS identifier FROM results",
+    "baseline_ratchet": f"WITH {_RESULTS} SELECT * FROM applied",
+    "check_summary": f"WITH {_RESULTS} SELECT name, level, count(*) AS n FROM applied GROUP BY ALL",
+    "fence_strip": f"WITH {_SPANS} SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, sum(length(line))::BIGINT AS n_chars FROM kept GROUP BY doc_id",
+    "section_scope": rf"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN lower(regexp_replace(regexp_replace(line, '^#{{1,6}}\s+', ''), '\s+$', '')) = 'overview' END AS here FROM lines),
+s AS (SELECT doc_id, here, last_value(here IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS inside FROM h)
+SELECT doc_id, count(*) AS n_lines FROM s WHERE here IS NULL AND inside GROUP BY doc_id""",
+    "backtick_spans": rf"""WITH {_SPANS}, spans AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '`([^`]+)`', 1)) AS s FROM kept)
+SELECT doc_id, n::INT AS line, count(*) AS n_spans, sum((NOT regexp_matches(s, '\s') AND NOT regexp_matches(s, '(?i)^[a-z]+://') AND NOT regexp_matches(s, '[<>]') AND (contains(s, '/') OR regexp_matches(s,
+  '[^/]\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|cs|rb|php|swift|c|h|cc|cpp|hpp|json|yaml|yml|md|toml|lock|txt|cfg|ini|env|sh|sql)$')))::INT)::BIGINT AS n_paths FROM spans GROUP BY ALL""",
+    "section_split": r"""WITH parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(^|\n)## ', '\1' || chr(1) || '## ', 'g'), chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM documents WHERE source IN ('readme', 'design')),
+s AS (SELECT doc_id, unnest(p) AS body, (generate_subscripts(p, 1) - 1)::INT AS section_ord FROM parts)
+SELECT doc_id, section_ord, regexp_replace(regexp_extract(body, '^## ([^\n]*)', 1), '^\s+|\s+$', '', 'g') AS heading, length(body) AS n_chars FROM s""",
+    "section_search": f"WITH {_SECTION} SELECT section_id, score FROM scored WHERE score > 0 ORDER BY score DESC, section_id LIMIT 5",
+    "section_budget": f"""WITH {_SECTION}, top AS (SELECT section_id, body, row_number() OVER (ORDER BY score DESC, section_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20),
+t AS (SELECT section_id, rank, {_tokens(f"sum({_other('body')}) OVER (ORDER BY rank)", f"sum({_cjk('body')}) OVER (ORDER BY rank)")} AS tokens FROM top) SELECT * FROM t WHERE tokens <= 4000""",
+    "symbol_search": "SELECT DISTINCT symbol_id, name FROM symbols WHERE contains(lower(name), 'panel')",
+    "symbol_refs30": f"WITH {_LINES} SELECT doc_id, n::INT AS line, left(trim(line, ' '), 120) AS line_text FROM lines WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])return([^A-Za-z0-9_]|$)') ORDER BY doc_id, n LIMIT 30",
+    "eval_cells": f"WITH {_TASKS} SELECT * FROM cells",
+    "eval_rates": f"WITH {_TASKS} SELECT profile, count(content_hit) AS n, round(coalesce(avg(outline_hit::INT), 0), 6) AS outline_rate, round(coalesce(avg(content_hit::INT), 0), 6) AS content_rate FROM cells GROUP BY profile",
+    "eval_matrix": f"WITH {_TASKS} SELECT p AS profile, m AS model, count(*) AS n_calls FROM tasks, (SELECT unnest(['light', 'mid']) AS p), (SELECT unnest(['small', 'large']) AS m) GROUP BY ALL",
+    "graded_answers": "WITH once AS (SELECT DISTINCT section_id, repo, body FROM sections) SELECT repo AS profile, count(*) AS n, round(avg((contains(lower(coalesce(body, '')), 'token') OR contains(lower(coalesce(body, '')), 'snapshot'))::INT), 6) AS rate FROM once GROUP BY repo",
+    "module_detect": r"""WITH f AS (SELECT DISTINCT repo, rel FROM commits WHERE rel IS NOT NULL),
+d AS (SELECT repo, CASE WHEN regexp_matches(rel, '^(services|apps|packages|crates|src|lib)/[^/]+/') THEN regexp_extract(rel, '^[^/]+/[^/]+') WHEN contains(rel, '/') THEN regexp_extract(rel, '^[^/]+') END AS dir FROM f),
+c AS (SELECT repo, dir, count(*) AS n FROM d WHERE dir IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, dir) AS k FROM c QUALIFY k <= 8),
+m AS (SELECT repo, regexp_replace(regexp_extract(dir, '[^/]*$'), '[^A-Za-z0-9_-]', '-', 'g') AS module, dir, n, k FROM t)
+SELECT repo, module, dir || '/**' AS glob, n AS n_files FROM m QUALIFY row_number() OVER (PARTITION BY repo, module ORDER BY k) = 1""",
+    "module_match_counts": f"SELECT unnest(['core', 'checks', 'web']) AS module, unnest([count(*) FILTER (regexp_matches(rel, '{_CORE}')), count(*) FILTER (regexp_matches(rel, '{_CHECKS}')), count(*) FILTER (regexp_matches(rel, '{_WEB}'))]) AS n_files FROM documents",
+}
