@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Code point ranges that count as CJK in sizes.
@@ -23,14 +23,23 @@ TEST_PATH = r"(^|/)(tests?|__tests__)/|(^|/)(test_[^/]*|conftest)\.py\z|\.(test|
 WHITE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _beyond_ascii(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x00-\x7f]+", "")
+
+
 def cjk_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{CJK_SIZES}]", ""))
+    """Code points that count as CJK; texts of ASCII only aren't searched."""
+    return F.when(_ascii(text), 0).otherwise(F.length(F.regexp_replace(_beyond_ascii(text), f"[^{CJK_SIZES}]+", "")))
 
 
 def other_units(text: Column) -> Column:
     """UTF-16 units of the code points that don't count as CJK."""
-    rest = F.regexp_replace(text, f"[{CJK_SIZES}]", "")
-    return F.length(rest) + F.length(F.regexp_replace(rest, r"[^\x{10000}-\x{10ffff}]", ""))
+    astral = F.length(F.regexp_replace(_beyond_ascii(text), r"[^\x{10000}-\x{1ffff}\x{2fffe}-\x{10ffff}]+", ""))
+    return F.when(_ascii(text), F.length(text)).otherwise(F.length(text) - cjk_chars(text) + astral)
 
 
 def units_to_tokens(other: Column, cjk: Column) -> Column:
@@ -87,17 +96,33 @@ def stem(token: Column) -> Column:
 
 
 def search_parts(text: Column) -> Column:
-    """Search tokens before stemming: bigrams of CJK runs, lower-case parts of compound words without stop words."""
-    runs = F.regexp_extract_all(text, F.lit(rf"([{CJK_SEARCH}]+|[A-Za-z0-9]+)"), F.lit(1))
+    """Runs that search tokens come from: bigrams of CJK runs and parts of compound words, in their own case.
+
+    Compound words are parted in the whole text at once, which is the same as in each word; texts without CJK need no
+    function per run.
+    """
+    spaced = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    latin = F.regexp_extract_all(spaced, F.lit("([A-Za-z0-9]+)"), F.lit(1))
     bigrams = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
-    latin = lambda r: F.filter(F.transform(camel_parts(r), F.lower), lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS))
-    piece = lambda r: F.when(r.rlike("^[A-Za-z0-9]"), latin(r)).when(F.length(r) == 1, F.array(r)).otherwise(bigrams(r))
-    return F.flatten(F.transform(runs, piece))
+    piece = lambda r: F.when(r.rlike("^[A-Za-z0-9]") | (F.length(r) == 1), F.array(r)).otherwise(bigrams(r))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(spaced, F.lit(rf"([{CJK_SEARCH}]+|[A-Za-z0-9]+)"), F.lit(1)), piece))
+    return F.when(~_ascii(text) & text.rlike(f"[{CJK_SEARCH}]"), mixed).otherwise(latin)
+
+
+def is_search_part(part: Column) -> Column:
+    """Whether a lower-case part is searched for: CJK, or two letters or more and no stop word."""
+    return ~part.rlike("^[a-z0-9]") | ((F.length(part) >= 2) & ~part.isin(*STOPWORDS))
 
 
 def search_tokens(text: Column) -> Column:
-    """Tokens that queries and texts are matched by; each is stemmed, bigrams stay as they are."""
-    return F.transform(search_parts(text), stem)
+    """Tokens that queries and texts are matched by, as an array; parts are lower-cased, filtered and stemmed."""
+    return F.transform(F.filter(F.transform(search_parts(text), F.lower), is_search_part), stem)
+
+
+def exploded_parts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, part): a row for each part that is searched for. For large texts: the filters are compiled, not called."""
+    rows = texts.select(*keys, F.explode(search_parts(F.col(text))).alias("_p")).select(*keys, F.lower("_p").alias("part"))
+    return rows.filter(is_search_part(F.col("part")))
 
 
 def count_substring(haystack: Column, needle: str) -> Column:

@@ -2,51 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.text import exploded_parts, stem
+from orrery.operators.skew import cut
+
 K1 = 1.2
 #: weight and b of each field
 FIELDS = {"path": (3.0, 0.5), "symbols": (2.0, 0.5), "body": (1.0, 0.75)}
 QUERY_WEIGHT = 2.0
 
 
-def _times(term: str) -> Column:
-    return F.size(F.filter("_kept", lambda x: x == term)).cast("double")
-
-
 def bm25(docs: DataFrame, terms: Sequence[str], key: str, tokens: str = "tokens", field: str | None = None, fields: Mapping[str, tuple[float, float]] = FIELDS, b: float = 0.75, k1: float = K1) -> DataFrame:
     """(key, score) of the documents that hold a query term, or with ``field`` their weighted sum over the fields.
 
     ``docs`` has one row per key (and field) with an array of tokens. Query terms count once each. Documents without
-    tokens count in N and the average length. Without documents or terms the result is empty. Only tokens that are
-    query terms are counted, before any shuffle; a document's terms are counted in its own row. The statistics are one
-    number per field and term and come to the driver, bounded by the query.
+    tokens count in N and the average length. Without documents or terms the result is empty.
     """
     terms = list(dict.fromkeys(terms))
-    by = [F.col(field)] if field else [F.lit("")]
-    one = fields if field else {"": (1.0, b)}
-    kept = F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isin(*terms))
-    rows = docs.select(key, by[0].alias("_f"), F.size(F.coalesce(tokens, F.array().cast("array<string>"))).alias("_len"), kept.alias("_kept")).filter(F.col("_f").isin(*one))
-    count = [F.sum(F.array_contains("_kept", t).cast("bigint")).alias(f"d{i}") for i, t in enumerate(terms)]
-    stats = {r["_f"]: r for r in rows.groupBy("_f").agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *count).collect()} if terms else {}
-    total = F.lit(0.0)
-    for i, t in enumerate(terms):
-        part = F.lit(0.0)
-        for name, (weight, b_) in one.items():
+    rows = docs.select(key, (F.col(field) if field else F.lit("")).alias("_f"), F.coalesce(tokens, F.array().cast("array<string>")).alias("_t"))
+    counted = [F.size(F.filter("_t", _is(t))).alias(f"_n{i}") for i, t in enumerate(terms)]
+    return _score(rows.select(key, "_f", F.size("_t").alias("_len"), *counted), terms, key, fields if field else {"": (1.0, b)}, k1)
+
+
+def bm25_texts(texts: DataFrame, terms: Sequence[str], key: str, text: str, b: float = 0.75, k1: float = K1) -> DataFrame:
+    """``bm25`` of the search tokens of unique keys' texts. Only (key, length, counts of the terms) leave a text's task."""
+    terms = list(dict.fromkeys(terms))
+    # a stem is its part without the end, but for a final y: other parts needn't be stemmed
+    near = F.lit(False)
+    for t in terms:
+        near = near | F.col("part").startswith(t[:-1])
+    parts = exploded_parts(texts, [key], text).select(key, F.when(near, stem(F.col("part"))).alias("_s"))
+    counts = [F.count(F.when(F.col("_s") == t, 1)).cast("int").alias(f"_n{i}") for i, t in enumerate(terms)]
+    sized = cut(parts.groupBy(key).agg(F.count(F.lit(1)).alias("_len"), *counts))
+    none = texts.select(key).join(sized.select(key), key, "left_anti").select(key, F.lit(0).cast("bigint").alias("_len"), *[F.lit(0).alias(f"_n{i}") for i in range(len(terms))])
+    return _score(sized.unionByName(none).withColumn("_f", F.lit("")), terms, key, {"": (1.0, b)}, k1)
+
+
+def _is(term: str) -> Callable[[Column], Column]:
+    return lambda t: t == term
+
+
+def _score(counts: DataFrame, terms: list[str], key: str, fields: Mapping[str, tuple[float, float]], k1: float) -> DataFrame:
+    """Scores from (key, _f, _len, _n0...): a few numbers per document, written once, as the statistics come first.
+
+    The statistics are one number per field and term and come to the driver, bounded by the query.
+    """
+    rows = cut(counts.filter(F.col("_f").isin(*fields)))
+    found = [F.sum((F.col(f"_n{i}") > 0).cast("bigint")).alias(f"d{i}") for i in range(len(terms))]
+    stats = {r["_f"]: r for r in rows.groupBy("_f").agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *found).collect()} if terms else {}
+    total, any_ = F.lit(0.0), F.lit(False)
+    for i in range(len(terms)):
+        part, tf = F.lit(0.0), F.col(f"_n{i}").cast("double")
+        for name, (weight, b) in fields.items():
             if name not in stats:
                 continue
             n, d, avg = stats[name]["n"], stats[name][f"d{i}"] or 0, stats[name]["avg"] or 0.0
-            tf = _times(t)
-            idf = F.greatest(F.lit(0.0), F.log((F.lit(float(n - d)) + 0.5) / (F.lit(float(d)) + 0.5) + 1.0))
-            length = F.lit(b_) * (F.col("_len") / F.lit(avg)) if avg > 0 else F.lit(0.0)
-            value = F.lit(weight) * (idf * (tf * F.lit(k1 + 1)) / (tf + F.lit(k1) * (F.lit(1 - b_) + length)))
+            idf = max(0.0, math.log((n - d + 0.5) / (d + 0.5) + 1))
+            length = F.lit(b) * (F.col("_len") / F.lit(avg)) if avg > 0 else F.lit(0.0)
+            value = F.lit(weight) * (F.lit(idf) * (tf * F.lit(k1 + 1)) / (tf + F.lit(k1) * (F.lit(1 - b) + length)))
             part = F.when((F.col("_f") == name) & (tf > 0), value).otherwise(part)
-        total = total + part
-    hits = rows.filter(F.size("_kept") > 0).select(key, total.alias("_s"))
-    return hits.groupBy(key).agg(F.sum("_s").alias("score"))
+        total, any_ = total + part, any_ | (tf > 0)
+    return rows.filter(any_).select(key, total.alias("_s")).groupBy(key).agg(F.sum("_s").alias("score"))
 
 
 def contribution(scores: DataFrame, weight: float = QUERY_WEIGHT) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from orrery.functions import text as T
 from orrery.functions.glob import matches
 from orrery.operators import baseline, bm25, budget, cochange, detect, evaluate, health, lookup, outline, rank, rot, sections, select
-from orrery.tables import table
+from orrery.operators.skew import cut
+from orrery.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "rank_with_query"
@@ -29,7 +30,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("repo", "doc_id", "rel", "text")
+    return spread(table(spark, d, "documents").select("repo", "doc_id", "rel", "source", "text"))
 
 
 def about_tokens(spark: SparkSession, about: str) -> list[str]:
@@ -51,12 +52,12 @@ def round6(df: DataFrame, *columns: str) -> DataFrame:
 @query
 def token_units(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", T.other_units(t).cast("bigint").alias("other_units"), T.cjk_chars(t).cast("bigint").alias("cjk_chars"), T.approx_tokens(t).alias("tokens"))
+    return files(spark, d).select("doc_id", T.other_units(t).cast("bigint").alias("other_units"), T.cjk_chars(t).cast("bigint").alias("cjk_chars"), T.approx_tokens(t).alias("tokens"))
 
 
 @query
 def token_budget_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("source").agg(F.sum(T.approx_tokens(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
+    return files(spark, d).groupBy("source").agg(F.sum(T.approx_tokens(F.col("text"))).alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
 
 
 @query
@@ -66,7 +67,7 @@ def word_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stem_vocab(spark: SparkSession, d: str) -> DataFrame:
-    parts = files(spark, d).select(F.explode(T.search_parts(F.col("text"))).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parts = T.exploded_parts(files(spark, d), [], "text").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     return parts.select("part", T.stem(F.col("part")).alias("stem"), "n")
 
 
@@ -94,14 +95,13 @@ def import_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str, scorers: list[DataFrame]) -> DataFrame:
-    f, s = files(spark, d), any_symbols(spark, d)
+    f, s = files(spark, d), cut(any_symbols(spark, d))
     refs = rank.reference_scores(f, s, rank.word_counts(f, ["repo", "doc_id"]), GROUP, FILE, rank.odd_references(f, s, GROUP, FILE))
     return rank.scored(refs.join(f.select("repo", "doc_id", "rel"), ["repo", "doc_id"]), GROUP, FILE, "rel", scorers)
 
 
 def _about(spark: SparkSession, d: str) -> DataFrame:
-    docs = files(spark, d).select("doc_id", T.search_tokens(F.col("text")).alias("tokens"))
-    return bm25.bm25(docs, about_tokens(spark, ABOUT), "doc_id")
+    return bm25.bm25_texts(files(spark, d), about_tokens(spark, ABOUT), "doc_id", "text")
 
 
 @query
@@ -292,7 +292,7 @@ def constraint_forbid_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def secrets_scan(spark: SparkSession, d: str) -> DataFrame:
-    return health.secret_lines(table(spark, d, "packs").filter("pack_id is not null"), ["pack_id"], "content").distinct()
+    return health.secret_lines(spread(table(spark, d, "packs").filter("pack_id is not null").select("pack_id", "content")), ["pack_id"], "content").distinct()
 
 
 @query
