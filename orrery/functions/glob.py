@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def to_regex(glob: str) -> str:
-    """A regular expression for the whole path, valid in Python, Java and RE2.
+    """A regular expression for the whole path, for Java and RE2.
 
     ``*`` and ``?`` stay in a segment, ``**`` as a whole segment spans any number of them, ``[...]`` and ``{a,b}`` as
     usual; names may start with a dot. A backslash takes the next character literally.
@@ -57,6 +58,11 @@ def to_regex(glob: str) -> str:
     return "^(?:" + "".join(out) + r")\z"
 
 
+def compiled(glob: str) -> re.Pattern:
+    """The glob for use in Python."""
+    return re.compile(to_regex(glob).removesuffix(r"\z") + r"\Z")
+
+
 def is_glob(text: str) -> bool:
     return any(c in text for c in "*?[]")
 

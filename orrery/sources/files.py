@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.functions.glob import to_regex
+from orrery.functions.glob import compiled
 from orrery.operators.cochange import IGNORED_DIRS
 
 MAX_BYTES = 512 * 1024
@@ -23,8 +22,8 @@ def walk(root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), ma
     Names that start with a dot, folders that are never looked into, links, files above ``max_bytes`` and what an
     exclude glob matches (a folder with all it holds) are left out; folders that can't be read count as empty.
     """
-    out_re = [re.compile(to_regex(g)) for g in exclude]
-    in_re = [re.compile(to_regex(g)) for g in include]
+    out_re = [compiled(g) for g in exclude]
+    in_re = [compiled(g) for g in include]
     found, todo = [], [""]
     while todo:
         folder = todo.pop()
