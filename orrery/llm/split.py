@@ -4,7 +4,7 @@ A text is first rewritten so that its length is its size: every CJK code point i
 every other code point outside the basic plane by one, so ``length / 4`` is at least the size in tokens
 (``ceil(o / 4) + ceil(0.95 * c)``). One regular expression then consumes the rewritten text piece by piece: bounded
 quantifiers, alternatives ordered from the strongest boundary to the weakest, single characters as the last. The
-overlap is looked back for from each piece's offset. Removing the pads gives the pieces.
+overlap is looked back for from each piece's start, in the two pieces before it. Removing the pads gives the pieces.
 """
 
 from __future__ import annotations
@@ -12,31 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Code point ranges that count as CJK in sizes.
-CJK = (r"\x{1100}-\x{11ff}\x{3040}-\x{30ff}\x{3130}-\x{318f}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{a960}-\x{a97f}"
-       r"\x{ac00}-\x{d7a3}\x{d7b0}-\x{d7ff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}\x{20000}-\x{2fffd}")
-CJK_TOKENS = 0.95
+from orrery.functions.text import CJK_SIZES, approx_tokens
+from orrery.operators.skew import partitions
+
 # Noncharacters, so that no text has them: the pad, and what stands for a text's own ones.
 PAD, ESC = "\ufdd2", "\ufdd1"
 
 
-def tokens(text: Column) -> Column:
-    """``ceil(o / 4) + ceil(0.95 * c)``; 0 for the empty text, null for null."""
-    cjk = F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
-    units = F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10ffff}]", ""))
-    astral_cjk = F.length(F.regexp_replace(text, r"[^\x{20000}-\x{2fffd}]", ""))
-    other = units - cjk - astral_cjk
-    return (F.ceil(other / F.lit(4.0)) + F.ceil(cjk * F.lit(CJK_TOKENS))).cast("int")
-
-
 def _pad(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, ESC, ESC + "\ufdd3"), PAD, ESC + "\ufdd4")
-    out = F.regexp_replace(out, rf"[{CJK}]", "$0" + PAD * 3)
-    return F.regexp_replace(out, r"[\x{10000}-\x{1ffff}\x{2fffe}-\x{10ffff}]", "$0" + PAD)
+    out = F.regexp_replace(out, rf"[{CJK_SIZES}]", "$0" + PAD * 3)
+    out = F.regexp_replace(out, r"[\x{10000}-\x{1ffff}\x{2fffe}-\x{10ffff}]", "$0" + PAD)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(out)
 
 
 def _unpad(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, PAD, ""), ESC + "\ufdd4", PAD), ESC + "\ufdd3", ESC)
+    out = F.replace(F.replace(F.replace(text, F.lit(PAD), F.lit("")), F.lit(ESC + "\ufdd4"), F.lit(PAD)), F.lit(ESC + "\ufdd3"), F.lit(ESC))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(out)
 
 
 #: A cut may not part a code point from what belongs to it, nor \r from \n.
@@ -53,15 +45,19 @@ BOUNDARIES = [
 
 def cutter(room: int) -> str:
     """The expression that consumes at most ``room`` padded characters at a time."""
-    parts = [rf"[\s\S]{{1,{room}}}\z"]
+    parts = [rf"[\s\S]{{1,{room}}}+\z"]
     parts += [rf"[\s\S]{{{max(1, int(room * share))},{room}}}{_WHOLE}{look}" for look, share in BOUNDARIES]
     return "|".join([*parts, rf"[\s\S]{{1,{room}}}{_WHOLE}", rf"[\s\S]{{1,{room}}}"])
 
 
-def lookback(room: int) -> str:
-    """The expression for the overlap at the end of the text before a piece: from a line or word start, else any."""
-    whole = r"(?![\x{fdd2}-\x{fdd4}])"
-    return rf"(?:(?<=\n)|(?<=\s)|(?<![\s\S])|){whole}[\s\S]{{1,{room}}}\z"
+#: The end of the text before a piece from its first word or line start on.
+LOOKBACK = r"^\S*\s+(\S[\s\S]*)\z"
+
+
+def _settled(df: DataFrame, keys: list[str], column: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: it comes from a generator, so that the optimizer can't copy its
+    expression into each of the places, and into functions called per element, that use it."""
+    return df.select(*keys, F.explode(F.array(F.struct(column))).alias("_x")).select(*keys, "_x.*")
 
 
 def pieces(items: DataFrame, key: str, body: str, max_tokens: int, overlap_tokens: int) -> DataFrame:
@@ -74,16 +70,19 @@ def pieces(items: DataFrame, key: str, body: str, max_tokens: int, overlap_token
     """
     if not 0 <= overlap_tokens < max_tokens:
         raise ValueError("the overlap must be smaller than the limit")
-    once = items.filter(F.col(key).isNotNull() & F.col(body).isNotNull()).groupBy(key).agg(F.min(body).alias("_b"))
-    fits = tokens(F.col("_b")) <= max_tokens
+    some = items.filter(F.col(key).isNotNull() & F.col(body).isNotNull()).select(key, F.col(body).alias("_b"))
+    once = some.repartition(partitions(items.sparkSession), key).groupBy(key).agg(F.min("_b").alias("_b"))
     room, back = 4 * (max_tokens - overlap_tokens), 4 * overlap_tokens
-    cores = F.when(fits, F.array(_pad(F.col("_b")))).otherwise(F.regexp_extract_all(_pad(F.col("_b")), F.lit(cutter(room)), F.lit(0)))
-    rows = once.select(key, cores.alias("_cores"), _pad(F.col("_b")).alias("_p"))
-    # each core's offset in the padded text: the sum of the lengths before it
-    ends = F.aggregate("_cores", F.array(F.lit(0)), lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + F.length(c))))
-    rows = rows.withColumn("_ends", ends).select(key, "_p", "_ends", F.size("_cores").alias("n_pieces"), F.posexplode("_cores").alias("_i", "_core"))
-    start = F.col("_ends")[F.col("_i")]
-    before = F.substring(F.col("_p"), F.greatest(start - back, F.lit(0)) + 1, F.least(start, F.lit(back)))
-    tail = F.when((F.col("_i") > 0) & F.lit(back > 0), F.regexp_extract(before, lookback(max(1, back)), 0)).otherwise("")
-    out = rows.select(key, (F.col("_i") + 1).cast("int").alias("piece_no"), F.col("n_pieces").cast("int"), _unpad(tail).alias("overlap"), _unpad(F.concat(tail, F.col("_core"))).alias("text"))
-    return out.withColumn("tokens", tokens(F.col("text")))
+    sized = _settled(once, [key, "_b"], (approx_tokens(F.col("_b")) <= max_tokens).alias("_fits"))
+    sized = _settled(sized, [key, "_fits"], F.when(~F.col("_fits"), _pad(F.col("_b"))).otherwise(F.col("_b")).alias("_p"))
+    cores = F.when(F.col("_fits"), F.array("_p")).otherwise(F.regexp_extract_all("_p", F.lit(cutter(room)), F.lit(0)))
+    rows = _settled(sized, [key, "_fits"], cores.alias("_cores"))
+    # looking back from each core: the end of the two before it
+    with_before = F.transform("_cores", lambda c, i: F.struct(c.alias("core"), F.when(i > 0, F.right(F.concat(F.when(i > 1, F.get("_cores", i - 2)).otherwise(""), F.get("_cores", i - 1)), F.lit(back))).otherwise("").alias("before")))
+    rows = rows.select(key, "_fits", with_before.alias("_parts"), F.size("_cores").alias("n_pieces"))
+    rows = rows.select(key, "_fits", "n_pieces", F.posexplode("_parts").alias("_i", "_part")).select("*", F.col("_part.core").alias("_core"), F.regexp_replace("_part.before", r"^[\x{fdd2}-\x{fdd4}]+", "").alias("_before"))
+    word = F.regexp_extract("_before", LOOKBACK, 1)
+    tail = F.when(F.length(word) * 2 >= F.length("_before"), word).otherwise(F.col("_before"))
+    plain = lambda c: F.when(F.col("_fits"), c).otherwise(_unpad(c))
+    out = rows.select(key, (F.col("_i") + 1).cast("int").alias("piece_no"), F.col("n_pieces").cast("int"), plain(tail).alias("overlap"), plain(F.concat(tail, F.col("_core"))).alias("text"))
+    return out.withColumn("tokens", approx_tokens(F.col("text")).cast("int"))
