@@ -56,7 +56,7 @@ HEADS = [
     ("token", "|".join(a for a, _ in TOKENS), True),
     ("armor", r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY", False),
     ("url", r"""://[^ \t\r\n/@"'<>:]*:[^ \t\r\n/"'<>]*@""", False),
-    ("named", r"(?i:(?:pass|pwd|pw|secret|token|key|cred)[^\n:=>]*[:=>])", False),
+    ("named", r"(?i:(?:pass|pwd|pw|secret|token|key|cred)[^\n:=>|?,)]*[:=>|?,)])", False),
     ("said", r"(?i:login[ \t]|bearer[ \t]|basic[ \t]|token[ \t])|-u[ \t]|--[a-z-]*[ =]", True),
     ("mention", "(?i:" + "|".join(w.encode().decode("latin-1") for w in PASSWORD_WORDS) + ")", False),
     ("joined", r"""["'][ \t]*\+[ \t]*["']""", False),
@@ -70,7 +70,8 @@ _NAME = r"(?<![\w$])(?P<k>(?=[\w$-]{0,63}(?i:pass|pwd|pw|secret|token|key|cred))
 _QUOTED = r"""[bru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n]){1,4096})(?P=q)"""
 _TYPE = r"(?:\s*:\s*&?(?:'?static\s+)?[A-Za-z_][\w<>\[\], |.]{0,40}?|\s+(?:string|str|String))?"
 _LOOKUP = r"""(?:[^"'`\n=]{0,120}?(?:\|\||\?\?|\?:|\bor\b)\s*|[\w.$:]{0,40}(?:environ\.get|getenv|get_env|env|ENV\.fetch|lookup)\(\s*["'][\w.-]{1,64}["']\s*(?:,|\)\s*(?:\|\||\?\?|\?:|\bor\b))\s*)?"""
-QUOTED_RE = re.compile(_NAME + r"""["'\]]{0,3}""" + _TYPE + r"\s*(?::=|=>|\?\?=|\|\|=|=(?!=)|:(?![:=]))\s*" + _LOOKUP + _QUOTED)
+QUOTED_RE = re.compile(_NAME + r"""["'\]]{0,3}""" + _TYPE + r"\s*(?::=|=>|\?\?=?|\|\|=?|\?:|=(?!=)|:(?![:=]))\s*" + _LOOKUP + _QUOTED)
+ENV_RE = re.compile(r"""(?:environ\.get|getenv|get_env|\benv|ENV\.fetch|lookup)\(\s*["']""" + _NAME + r"""["']\s*(?:,|\)\s*(?:\|\||\?\?|\?:|\bor\b))\s*""" + _QUOTED)
 BARE_RE = re.compile(_NAME + r"""["'\]]{0,3}[ \t]*(?:=(?![=>])|:(?![:=]))[ \t]*(?P<v>[^\s"'`<>,;(){}\[\]]{8,4096})(?P<after>[,;]?(?=\s|$|["'`&]))""")
 DEFAULT_RE = re.compile(r"\$\{" + _NAME + r":[-=](?P<v>[^}\s\"']{1,4096})\}")
 XML_ATTRIBUTE_RE = re.compile(r"""\b(?:key|name|id)\s*=\s*(["'])(?P<k>[\w.:-]{1,64})\1[^<>]{0,200}?\bvalue\s*=\s*(?P<q>["'])(?P<v>[^"'<>]{1,4096})(?P=q)""")
@@ -155,7 +156,7 @@ def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]
     if heads & BIT["url"]:
         out += [(*m.span("v"), "url") for m in URL_RE.finditer(line) if not placeholder(m["v"])]
     if heads & BIT["named"]:
-        for expression in (QUOTED_RE, XML_ATTRIBUTE_RE, XML_ELEMENT_RE, DEFAULT_RE):
+        for expression in (QUOTED_RE, ENV_RE, XML_ATTRIBUTE_RE, XML_ELEMENT_RE, DEFAULT_RE):
             out += [(*m.span("v"), "named") for m in expression.finditer(line) if secret_name(m["k"]) and secret_value(m["v"], True)]
         if not code or COMMENT_RE.match(line):
             out += [(*m.span("v"), "named") for m in BARE_RE.finditer(line) if secret_name(m["k"]) and secret_value(m["v"], False)]
@@ -174,13 +175,15 @@ def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]
 
 
 def _key_block(text: str, end: int) -> int | None:
-    """Where the body of the key block that begins before ``end`` ends; None if it has no body."""
-    stop = text.find("-----END", end)
-    body = text[end : stop if stop >= 0 else end + 8192]
-    bare = re.sub(r"\\[nrt]|[\s\"'+,#/*;]", "", body[:2000])
-    if len(bare) < 24 or not re.search(r"[A-Za-z0-9=]{24}", bare) or "..." in bare or placeholder(bare[:40]):
+    """Where the body of the key block that begins before ``end`` ends; None if it has no body.
+
+    A body has a long run of base64 near its start, behind at most a few header lines; without an END it is that run.
+    """
+    run = re.compile(r"[A-Za-z0-9+/=]{32,}").search(text, end, end + 400)
+    if not run or "-----" in text[end : run.start()] or placeholder(run[0]):
         return None
-    return end + len(body)
+    stop = text.find("-----END", run.end(), run.end() + 65536)
+    return stop if stop >= 0 else run.end()
 
 
 @cache
