@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from orrery.llm import cooccurrence, copies, credentials, language, leximin, mixing, packing, relevance, split
 from orrery.llm import sizes as sizing
 from orrery.operators.skew import cut
-from orrery.tables import table
+from orrery.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -112,12 +112,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     """(pack_id, content, n_redacted): every pack with its credentials replaced."""
-    return credentials.redacted(table(spark, d, "packs"), "pack_id", "content")
+    return credentials.redacted(spread(table(spark, d, "packs").select("pack_id", "content")), "pack_id", "content")
 
 
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.credentials(table(spark, d, "packs"), "pack_id", "content").select("pack_id", "line_no").distinct()
+    return credentials.credentials(spread(table(spark, d, "packs").select("pack_id", "content")), "pack_id", "content").select("pack_id", "line_no").distinct()
 
 
 # 7: filling fixed-capacity containers
@@ -125,7 +125,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     capacity = table(spark, d, "size_limits").filter("limit_name = 'document_container'").first()["max_tokens"]
-    sizes = cut(sizing.token_counts(table(spark, d, "documents").select("doc_id", "text")))
+    sizes = cut(sizing.token_counts(spread(table(spark, d, "documents").select("doc_id", "text"))))
     return packing.pack(sizes, "doc_id", "n_tokens", capacity), capacity
 
 
@@ -153,7 +153,7 @@ def _mixed(spark: SparkSession, d: str, of_corpus: float | None) -> tuple[DataFr
     """The selection, the natural sizes and the weights; the budget is that share of all named sources' tokens."""
     goals = table(spark, d, "mix_targets").collect()
     targets, repeats = {r["source"]: r["target_share"] for r in goals}, {r["source"]: r["max_repeats"] for r in goals}
-    documents = table(spark, d, "documents").select("doc_id", mixing.normal_source(F.col("source")).alias("source"), "text")
+    documents = spread(table(spark, d, "documents").select("doc_id", mixing.normal_source(F.col("source")).alias("source"), "text"))
     sized = cut(sizing.token_counts(documents.filter(F.col("source").isin(*targets))))
     sizes = mixing.source_sizes(sized, "source", "n_tokens", list(targets))
     budget, _, weights = mixing.plan(sizes, targets, repeats, of_corpus and of_corpus * sum(sizes.values()))
@@ -194,17 +194,17 @@ def p8_half_shares(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, language, share, confidence) of each language in a document's prose."""
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
     return language.languages(documents, language.profiles_of(documents))
 
 
 @query
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
     return language.language_segments(documents, language.profiles_of(documents))
 
 
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
     return language.mislabelled(language.languages(documents, language.profiles_of(documents)), documents)
