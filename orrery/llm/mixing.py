@@ -11,18 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.text import normal_source  # noqa: F401
 from orrery.operators.skew import running_total
 
 
-def normal_source(source: Column) -> Column:
-    """Lower case, without blanks around, words joined by one underscore; blank is null."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(source), r"^[\s_-]+|[\s_-]+$", ""), r"[\s_-]+", "_")
-    return F.when(s != "", s)
-
-
 def normalised(weights: Mapping[str, float]) -> dict[str, float]:
     total = sum(weights.values())
     return {k: v / total for k, v in weights.items()} if total > 0 else {}

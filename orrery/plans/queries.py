@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
@@ -191,16 +191,26 @@ def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
     return budget.greedy_fit(_blocks(spark, d, 1 << 30), GROUP, 3000, header=(40, 0), reserve=50)
 
 
-@query
-def pack_seeded(spark: SparkSession, d: str) -> DataFrame:
-    """Packs led by each repository's rules and repository maps."""
-    marks = table(spark, d, "documents").select("repo", "doc_id", F.coalesce(F.col("source").isin("rules", "repo_map"), F.lit(False)).alias("is_seed"), F.length("text").alias("_n"))
+def _seeded(spark: SparkSession, d: str, source: Column) -> DataFrame:
+    marks = table(spark, d, "documents").select("repo", "doc_id", F.coalesce(source.isin("rules", "repo_map"), F.lit(False)).alias("is_seed"), F.length("text").alias("_n"))
     order = marks.select("repo", "doc_id", "is_seed", (F.when(F.col("is_seed"), 1e12).otherwise(0.0) + F.col("_n")).alias("score"))
     sized = _blocks(spark, d, 1 << 30).drop("rank")
     blocks = rank.top(order, GROUP, FILE, 1 << 30).select("repo", "doc_id", "is_seed", "rank").join(sized, ["repo", "doc_id"])
     return budget.seeded_fit(blocks, GROUP, 3000, header=(40, 0))
 
 
+@query
+def pack_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """Packs led by each repository's rules and repository maps, as far as these are spelled exactly."""
+    return _seeded(spark, d, F.col("source"))
+
+
+@query
+def pack_seeded_all(spark: SparkSession, d: str) -> DataFrame:
+    """Packs led by each repository's rules and repository maps, however these are spelled."""
+    return _seeded(spark, d, T.normal_source(F.col("source")))
+
+
 # baskets
 
 
@@ -300,14 +310,24 @@ def rule_length(spark: SparkSession, d: str) -> DataFrame:
     return health.long_texts(files(spark, d), ["doc_id"], 60)
 
 
-@query
-def stale_maps(spark: SparkSession, d: str) -> DataFrame:
-    """Repository maps that are older than the newest file of their repository."""
-    docs = table(spark, d, "documents")
+def _stale_maps(spark: SparkSession, d: str, source: Column) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("source", source)
     built = docs.filter("source = 'repo_map' and updated_at is not null").select("repo", "doc_id", "updated_at")
     return health.stale(docs.filter("source = 'code'").withColumnRenamed("updated_at", "changed"), built, GROUP, "changed", "updated_at").groupBy("repo").agg(F.unix_micros(F.max("changed_at")).alias("changed_at"))
 
 
+@query
+def stale_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Repository maps that are older than the newest file of their repository, as far as these are spelled exactly."""
+    return _stale_maps(spark, d, F.col("source"))
+
+
+@query
+def stale_maps_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of all repository maps and code files, however these are spelled."""
+    return _stale_maps(spark, d, T.normal_source(F.col("source")))
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
     packs = table(spark, d, "packs").filter("pack_id is not null")
     hits = health.secret_lines(packs, ["pack_id"], "content").distinct()
@@ -359,10 +379,21 @@ def backtick_spans(spark: SparkSession, d: str) -> DataFrame:
 # sections
 
 
+def _split(documents: DataFrame) -> DataFrame:
+    s = sections.split_sections(documents, "doc_id", "text")
+    return s.select("doc_id", "section_ord", "heading", F.length("body").cast("bigint").alias("n_chars"))
+
+
 @query
 def section_split(spark: SparkSession, d: str) -> DataFrame:
-    s = sections.split_sections(table(spark, d, "documents").filter("source in ('readme', 'design')"), "doc_id", "text")
-    return s.select("doc_id", "section_ord", "heading", F.length("body").cast("bigint").alias("n_chars"))
+    """Sections of the readmes and designs that are spelled exactly."""
+    return _split(table(spark, d, "documents").filter("source in ('readme', 'design')"))
+
+
+@query
+def section_split_all(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of every document."""
+    return _split(files(spark, d))
 
 
 @query

@@ -146,3 +146,20 @@ def test_git(tmp_path, spark):
     assert not git.history_available(str(tmp_path)) and git.read_history(spark, str(tmp_path)).count() == 0
     with pytest.raises(ValueError):
         git.changed_files(str(tmp_path), "nope..nope")
+
+
+def test_queries_read_every_source_however_it_is_spelled(spark, tmp_path):
+    from datetime import datetime
+
+    from orrery.plans import queries
+
+    at = lambda day: datetime(2026, 1, day)
+    rows = [(1, "r", "a.md", "changelog", "pre\n## One\nx\n## Two\ny", at(1)), (2, "r", "b.md", None, "## Three\nz", at(1)), (3, "r", "c.md", "README ", "## Four\n", at(1)), (4, "r", "d.md", "readme", "plain", at(1)),
+            (5, "r", "m.md", " Repo-Map", "map", at(2)), (6, "r", "x.py", "CODE", "long code text " * 9, at(3)), (7, "s", "m.md", "repo_map", "map", at(5)), (8, "s", "x.py", "code", "c", at(4)), (9, "t", "e.md", "design", None, at(1))]
+    spark.createDataFrame(rows, "doc_id int, repo string, rel string, source string, text string, updated_at timestamp").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    split = {(r.doc_id, r.section_ord): r.heading for r in run("section_split_all")}
+    assert {k: v for k, v in split.items() if k[0] < 5} == {(1, 0): "", (1, 1): "One", (1, 2): "Two", (2, 0): "Three", (3, 0): "Four", (4, 0): ""} and {k[0] for k in split} == set(range(1, 9))
+    assert {r.doc_id for r in run("section_split")} == {4}
+    assert {r.repo for r in run("stale_maps_all")} == {"r"} and run("stale_maps") == []
+    assert {(r.repo, r.rank) for r in run("pack_seeded_all") if r.is_seed} == {("r", 1), ("s", 1)} and {r.repo for r in run("pack_seeded") if r.is_seed} == {"s"}
