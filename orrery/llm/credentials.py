@@ -24,8 +24,6 @@ from orrery.llm.automaton import Automaton
 PLACEHOLDER = "[REDACTED]"
 #: Bytes of text scanned at once.
 SLICE = 8 << 20
-#: A line longer than this is looked at in windows of this size around each head.
-WINDOW = 8192
 
 # Published formats of tokens. (head, whole token)
 TOKENS = [
@@ -33,14 +31,14 @@ TOKENS = [
     (r"gh[pousr]_", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
     (r"github_pat_", r"github_pat_[A-Za-z0-9_]{22,255}"),
     (r"glpat-", r"glpat-[A-Za-z0-9_-]{20,64}"),
-    (r"xox[abeoprs]-", r"xox[abeoprs]-[A-Za-z0-9-]{10,255}"),
+    (r"xox[abeoprs]-", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     (r"[sr]k_(?:live|test)_", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,255}"),
     (r"npm_", r"npm_[A-Za-z0-9]{36}"),
-    (r"eyJ", r"eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}"),
+    (r"eyJ", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     (r"AIza", r"AIza[0-9A-Za-z_-]{35}"),
     (r"SG\.", r"SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64}"),
     (r"hf_", r"hf_[A-Za-z0-9]{30,64}"),
-    (r"pypi-", r"pypi-[A-Za-z0-9_-]{50,255}"),
+    (r"pypi-", r"pypi-[A-Za-z0-9_-]{50,}"),
     (r"dop_v1_", r"dop_v1_[a-f0-9]{64}"),
     (r"shp(?:at|ca|pa|ss)_", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
 ]
@@ -53,9 +51,9 @@ NOT_SECRET_NAMES = ("bypass", "compass", "encompass", "surpass", "publictoken",
 PASSWORD_WORDS = ("password", "passphrase", "passwort", "kennwort", "zugang", "contraseña", "contrasena", "clave", "mot de passe", "senha", "パスワード", "비밀번호", "암호")
 
 HEADS = [
-    ("token", "|".join(a for a, _ in TOKENS), True),
+    ("token", "|".join([*(a for a, _ in TOKENS), "LS0tLS1CRUdJTiB"]), True),
     ("armor", r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY", False),
-    ("url", r"""://[^ \t\r\n/@"'<>:]*:[^ \t\r\n/"'<>]*@""", False),
+    ("url", "://", False),
     ("named", r"(?i:(?:pass|pwd|pw|secret|token|key|cred)[^\n:=>|?,)]*[:=>|?,)])", False),
     ("said", r"(?i:login[ \t]|bearer[ \t]|basic[ \t]|token[ \t])|-u[ \t]|--[a-z-]*[ =]", True),
     ("mention", "(?i:" + "|".join(w.encode().decode("latin-1") for w in PASSWORD_WORDS) + ")", False),
@@ -65,28 +63,33 @@ BIT = {name: 1 << i for i, (name, _, _) in enumerate(HEADS)}
 
 TOKEN_RE = re.compile(r"(?<![A-Za-z0-9])(?P<v>" + "|".join(t for _, t in TOKENS) + r")(?![A-Za-z0-9])")
 ARMOR_RE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-URL_RE = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/?#\[\]@"'<>]{0,64}:(?P<v>[^\s/"'<>]{1,256})@(?=[A-Za-z0-9\[$])""")
+# A key block in base64.
+WRAPPED_RE = re.compile(r"(?<![A-Za-z0-9])(?P<v>LS0tLS1CRUdJTiB[A-Za-z0-9+/]{60,}+={0,2})")
+URL_RE = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/?#\[\]@"'<>]*+:(?P<v>[^\s/"'<>]+)@(?=[A-Za-z0-9\[$])""")
 _NAME = r"(?<![\w$])(?P<k>(?=[\w$-]{0,63}(?i:pass|pwd|pw|secret|token|key|cred))[A-Za-z_$][\w$-]{0,63})"
-_QUOTED = r"""[bru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n]){1,4096})(?P=q)"""
+_QUOTED = r"""[bru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])++)(?P=q)"""
 _TYPE = r"(?:\s*:\s*&?(?:'?static\s+)?[A-Za-z_][\w<>\[\], |.]{0,40}?|\s+(?:string|str|String))?"
 _LOOKUP = r"""(?:[^"'`\n=]{0,120}?(?:\|\||\?\?|\?:|\bor\b)\s*|[\w.$:]{0,40}(?:environ\.get|getenv|get_env|env|ENV\.fetch|lookup)\(\s*["'][\w.-]{1,64}["']\s*(?:,|\)\s*(?:\|\||\?\?|\?:|\bor\b))\s*)?"""
 QUOTED_RE = re.compile(_NAME + r"""["'\]]{0,3}""" + _TYPE + r"\s*(?::=|=>|\?\?=?|\|\|=?|\?:|=(?!=)|:(?![:=]))\s*" + _LOOKUP + _QUOTED)
 ENV_RE = re.compile(r"""(?:environ\.get|getenv|get_env|\benv|ENV\.fetch|lookup)\(\s*["']""" + _NAME + r"""["']\s*(?:,|\)\s*(?:\|\||\?\?|\?:|\bor\b))\s*""" + _QUOTED)
-BARE_RE = re.compile(_NAME + r"""["'\]]{0,3}[ \t]*(?:=(?![=>])|:(?![:=]))[ \t]*(?P<v>[^\s"'`<>,;(){}\[\]]{8,4096})(?P<after>[,;]?(?=\s|$|["'`&]))""")
-DEFAULT_RE = re.compile(r"\$\{" + _NAME + r":[-=](?P<v>[^}\s\"']{1,4096})\}")
-XML_ATTRIBUTE_RE = re.compile(r"""\b(?:key|name|id)\s*=\s*(["'])(?P<k>[\w.:-]{1,64})\1[^<>]{0,200}?\bvalue\s*=\s*(?P<q>["'])(?P<v>[^"'<>]{1,4096})(?P=q)""")
-XML_ELEMENT_RE = re.compile(r"<(?P<k>[\w.:-]{1,64})(?:\s[^<>]*)?>(?P<v>[^<>\s]{1,4096})</")
+BARE_RE = re.compile(_NAME + r"""["'\]]{0,3}[ \t]*(?:=(?![=>])|:(?![:=]))[ \t]*(?P<v>[^\s"'`<>,;(){}\[\]]{8,})(?P<after>[,;]?(?=\s|$|["'`&]))""")
+DEFAULT_RE = re.compile(r"\$\{" + _NAME + r":[-=](?P<v>[^}\s\"']++)\}")
+XML_ATTRIBUTE_RE = re.compile(r"""\b(?:key|name|id)\s*=\s*(["'])(?P<k>[\w.:-]{1,64})\1[^<>]{0,200}?\bvalue\s*=\s*(?P<q>["'])(?P<v>[^"'<>]++)(?P=q)""")
+XML_ELEMENT_RE = re.compile(r"<(?P<k>[\w.:-]{1,64})(?:\s[^<>]*)?>(?P<v>[^<>\s]++)</")
 SAID_RES = [
-    re.compile(r"\blogin\s+\S{1,128}\s+password\s+(?P<v>\S{1,256})"),
-    re.compile(r"""(?:^|\s)(?:-u|--user)[ =]+["']?[^\s:"']{1,128}:(?P<v>[^\s"']{1,256})"""),
-    re.compile(r"""(?:^|\s)--(?:auth|token|password|passwd|api-key|apikey|secret|access-token|auth-token|client-secret)[ =]+["']?(?P<v>[^\s"']{8,4096})"""),
+    re.compile(r"\blogin\s+\S+\s+password\s+(?P<v>\S+)"),
+    re.compile(r"""(?:^|\s)(?:-u|--user)[ =]+["']?[^\s:"']++:(?P<v>[^\s"']+)"""),
+    re.compile(r"""(?:^|\s)--(?:auth|token|password|passwd|api-key|apikey|secret|access-token|auth-token|client-secret)[ =]+["']?(?P<v>[^\s"']{8,})"""),
 ]
-MENTION_RE = re.compile("(?i:" + "|".join(PASSWORD_WORDS) + r""")[^\n:\uff1a="'`]{0,40}?(?:[:\uff1a]|\s(?:is|ist|est|es|\u00e9)\s|\u306f)\s*(?:[\w.@-]{1,64}\s*/\s*)?(?P<v>[^\s"'`<>/]{8,256})\s*$""")
-OPEN_RE = re.compile(_NAME + r"""["'\]]{0,3}""" + _TYPE + r"\s*(?::=|=|:)\s*(?:[>|][+-]?|\(|\\)?\s*$")
-NEXT_RE = re.compile(r"""\s*(?P<q>["'`]?)(?P<v>[^\s"'`]{8,4096})(?P=q)[,;)]*\s*$""")
-HEADER_RE = re.compile(r"\b(?P<s>Bearer|Basic|Token|bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=._~-]{8,4096})")
+MENTION_RE = re.compile("(?i:" + "|".join(PASSWORD_WORDS) + r""")[^\n:\uff1a="'`]{0,40}?(?:[:\uff1a]|\s(?:is|ist|est|es|\u00e9)\s|\u306f)\s*(?:[\w.@-]{1,64}\s*/\s*)?(?P<v>[^\s"'`<>/]{8,})\s*$""")
+OPEN_RE = re.compile(_NAME + r"""["'\]]{0,3}""" + _TYPE + r"\s*(?::=|=|:)\s*+(?:[>|][+-]?|\(|\\)?\s*$")
+NEXT_RE = re.compile(r"""\s*(?P<q>["'`]?)(?P<v>[^\s"'`]{8,}+)(?P=q)[,;)]*\s*$""")
+HEADER_RE = re.compile(r"\b(?P<s>Bearer|Basic|Token|bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=._~-]{8,})")
 JOIN_RE = re.compile(r"""(["'])[ \t]*\+[ \t]*(["'])""")
 COMMENT_RE = re.compile(r"\s*(?:[-*>]\s+)?(?:#|//|;|--|/\*|\*|<!--)")
+KEY_RUN_RE = re.compile(r"[A-Za-z0-9+/=]{32,}")
+# A further line of a key's body, behind the rest of the one before; the line break may be an escape in a literal.
+KEY_LINE_RE = re.compile(r"""[ \t"'`,;+.()\\]*?(?:\\r)?(?:\\n|\r?\n)[ \t"'`+.()#*>|\n\r]*(?:// )?(?P<b>[A-Za-z0-9+/]+={0,2})(?![^\s"'`\\,;+)])""")
 # Languages in which a value without quotes is no literal.
 CODE = frozenset("python py go rust rs typescript javascript ts tsx js jsx java kotlin kt csharp cs swift ruby rb php c cpp h hcl tf json toml".split())
 
@@ -153,7 +156,8 @@ def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]
     out = []
     if heads & BIT["token"]:
         out += [(*m.span("v"), "token") for m in TOKEN_RE.finditer(line) if not placeholder(m["v"])]
-    if heads & BIT["url"]:
+        out += [(*m.span("v"), "key") for m in WRAPPED_RE.finditer(line) if ARMOR_RE.match(base64.b64decode(m["v"][:72]).decode("latin-1"))]
+    if heads & BIT["url"] and "@" in line:
         out += [(*m.span("v"), "url") for m in URL_RE.finditer(line) if not placeholder(m["v"])]
     if heads & BIT["named"]:
         for expression in (QUOTED_RE, ENV_RE, XML_ATTRIBUTE_RE, XML_ELEMENT_RE, DEFAULT_RE):
@@ -177,13 +181,25 @@ def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]
 def _key_block(text: str, end: int) -> int | None:
     """Where the body of the key block that begins before ``end`` ends; None if it has no body.
 
-    A body has a long run of base64 near its start, behind at most a few header lines; without an END it is that run.
+    A body has a long run of base64 near its start, behind at most a few header lines. It ends at its END, or without
+    one, as where the next block begins first, with its lines of base64.
     """
-    run = re.compile(r"[A-Za-z0-9+/=]{32,}").search(text, end, end + 400)
+    run = KEY_RUN_RE.search(text, end, end + 400)
     if not run or "-----" in text[end : run.start()] or placeholder(run[0]):
         return None
-    stop = text.find("-----END", run.end(), run.end() + 65536)
-    return stop if stop >= 0 else run.end()
+    run = KEY_RUN_RE.match(text, run.start())
+    stop = text.find("-----END", run.end())
+    if stop >= 0 and text.find("-----BEGIN", run.end(), stop) < 0:
+        return stop
+    at = run.end()
+    while more := KEY_LINE_RE.match(text, at):
+        short = len(more["b"]) < 32
+        if short and (len(more["b"]) % 4 or not re.search(r"[\d+/=]", more["b"])):
+            break
+        at = more.end("b")
+        if short:
+            break
+    return at
 
 
 @cache
@@ -203,40 +219,31 @@ def find(texts: list[str], heads_of: Automaton | None = None) -> list[list[Crede
     breaks = np.concatenate(([-1], np.flatnonzero(data == 10), [len(data)]))
     row = np.searchsorted(breaks, ends, "left") - 1
     doc = np.searchsorted(starts, ends, "right") - 1
-    heads: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for e, m, r, d in zip(ends.tolist(), masks.tolist(), row.tolist(), doc.tolist()):
-        heads.setdefault((d, r), []).append((e, m))
+    heads: dict[tuple[int, int], int] = {}
+    for m, r, d in zip(masks.tolist(), row.tolist(), doc.tolist()):
+        heads[d, r] = heads.get((d, r), 0) | m
     fences: dict[int, list[tuple[int, str]]] = {}
-    for (d, r), found in heads.items():
+    last, upto, before = -1, 0, 0
+    for (d, r), mask in heads.items():
         low, high = int(breaks[r]) + 1, int(breaks[r + 1])
         line_no = r - int(np.searchsorted(breaks, starts[d], "left")) + 2
-        whole = high - low <= WINDOW
-        spans = {(low, high): 0}
-        for e, m in found:
-            spans[(low, high) if whole else (max(low, e - 512), min(high, e + WINDOW))] = (spans.get((low, high), 0) if whole else 0) | m
-        if not whole:
-            spans.pop((low, high))
-        if d not in fences:
+        if d != last:
+            last, upto, before = d, int(starts[d]), 0
             fences[d] = _fences(texts[d])
+        before, upto = before + len(data[upto:low].tobytes().decode("utf-8", "surrogatepass")), low
         code = _language(fences[d], line_no) in CODE
-        got: set[tuple[int, int, str]] = set()
-        for (a, b), mask in spans.items():
-            part = data[a:b].tobytes()
-            while part and part[0] & 0xC0 == 0x80:
-                part, a = part[1:], a + 1
-            line = part.decode("utf-8", "ignore" if not whole else "surrogatepass")
-            before = len(data[starts[d] : a].tobytes().decode("utf-8", "surrogatepass"))
-            got |= {(before + x, before + y, k) for x, y, k in line_values(line, mask, code)}
-            if mask & BIT["named"] and (m := OPEN_RE.search(line)) and secret_name(m["k"]):
-                below = NEXT_RE.match(texts[d][before + len(line) + 1 : before + len(line) + WINDOW].split("\n", 1)[0])
-                if below and secret_value(below["v"], bool(below["q"])):
-                    at = before + len(line) + 1
-                    out[d].append(Credential(at + below.start("v"), at + below.end("v"), line_no + 1, "named"))
-            if mask & BIT["armor"]:
-                for x in ARMOR_RE.finditer(line):
-                    stop = _key_block(texts[d], before + x.end())
-                    if stop is not None:
-                        got.add((before + x.end(), stop, "key"))
+        line = data[low:high].tobytes().decode("utf-8", "surrogatepass")
+        got = {(before + x, before + y, k) for x, y, k in line_values(line, mask, code)}
+        if mask & BIT["named"] and (m := OPEN_RE.search(line)) and secret_name(m["k"]):
+            at = before + len(line) + 1
+            below = NEXT_RE.match((texts[d][at:] if (stop := texts[d].find("\n", at)) < 0 else texts[d][at:stop]))
+            if below and secret_value(below["v"], bool(below["q"])):
+                out[d].append(Credential(at + below.start("v"), at + below.end("v"), line_no + 1, "named"))
+        if mask & BIT["armor"]:
+            for x in ARMOR_RE.finditer(line):
+                stop = _key_block(texts[d], before + x.end())
+                if stop is not None:
+                    got.add((before + x.end(), stop, "key"))
         out[d] += [Credential(x, y, line_no, k) for x, y, k in got]
     return [_disjoint(found) for found in out]
 

@@ -352,3 +352,53 @@ def test_training_is_bounded_and_ignores_order(spark):
     a = language.profiles_of(spark.createDataFrame(rows, "doc_id int, text string, lang string"), per_language=5)
     b = language.profiles_of(spark.createDataFrame(rows[::-1], "doc_id int, text string, lang string").repartition(7), per_language=5)
     assert np.array_equal(a.table, b.table)
+
+
+# 3, whole values
+
+
+def test_values_of_any_length():
+    rnd = random.Random(11)
+    for n in (300, 4364, 20_000):
+        v = secret(rnd, n)
+        yes = [f'API_KEY="{v}"', f"API_KEY={v}", f"<api_key>{v}</api_key>", f'<add key="API_KEY" value="{v}" />', "SECRET=${SECRET:-" + v + "}", f"t: eyJ{v}.eyJ{v}.{v}", f"u: https://{v}:{v}@db.example/x", f"machine x login {v} password {v}", f"run --token {v} --fast", f"Authorization: Bearer {v}", f"curl -u {v}:{v} https://x"]
+        for line in yes:
+            found = credentials.find(["a\n" * 900 + line + "\nb"])[0]
+            assert [c.line for c in found] == [901] and found[0].end - found[0].start >= n, line[:60]
+            left = credentials.redact(line, credentials.find([line])[0])
+            assert v not in left.replace(f"https://{v}:", "").replace(f"login {v} ", "").replace(f"-u {v}:", ""), line[:60]
+        (c,) = credentials.find([f"api_key = (\n  '{v}'\n)"])[0]
+        assert c.end - c.start == n
+        (c,) = credentials.find(["z " * 9000 + f'token="{v}"' + " y" * 9000])[0]
+        assert c.end - c.start == n
+
+
+def test_key_bodies_of_any_length():
+    rnd = random.Random(12)
+    rows = [secret(rnd, 64) for _ in range(1500)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    redacted = lambda t: credentials.redact(t, credentials.find([t])[0])
+    assert redacted(f"a\n{begin}\n" + "\n".join(rows) + f"\n{end}\nb") == f"a\n{begin}[REDACTED]{end}\nb"
+    for sep in ("\n", "\r\n", "\n    ", "\\n", '\\n" +\n  "'):
+        cut = f"{begin}{sep}" + sep.join([*rows[:40], "Ab3+" * 3 + "Q2=="])
+        assert redacted(cut + "\nplain text follows\n") == f"{begin}[REDACTED]\nplain text follows\n"
+        assert redacted(cut + f"\nplain text\n{begin}\n" + "\n".join(rows[40:50]) + f"\n{end}\n") == f"{begin}[REDACTED]\nplain text\n{begin}[REDACTED]{end}\n"
+
+
+def test_wrapped_key_blocks():
+    rnd = random.Random(13)
+    body = "\n".join(secret(rnd, 64) for _ in range(49))
+    wrap = lambda kind: base64.b64encode(f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----\n".encode()).decode()
+    for line in ("TLS_KEY={}", 'tls: "{}"'):
+        text = line.format(wrap("RSA PRIVATE KEY"))
+        assert credentials.redact(text, credentials.find([text])[0]) == line.format("[REDACTED]")
+        assert credentials.find([line.format(wrap("CERTIFICATE"))])[0] == []
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    for line in ("key = " + " " * 200_000 + "x", "token='" + "a1B" * 100_000, "password: " + "aB3/" * 50_000 + "(", "key:\n" + "),;" * 100_000 + "'", "-----BEGIN PRIVATE KEY-----\n" + ("Ab3+" * 16 + "\n") * 5000 + "x", "eyJ" + "aB3-" * 50_000, '"' + " " * 100_000 + "+ key"):
+        at = time.time()
+        credentials.find([line])
+        assert time.time() - at < 5, line[:20]
