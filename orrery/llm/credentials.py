@@ -94,8 +94,10 @@ KEY_LINE_RE = re.compile(r"""[ \t"'`,;+.()\\]*?(?:\\r)?(?:\\n|\r?\n)[ \t"'`+.()#
 CODE = frozenset("python py go rust rs typescript javascript ts tsx js jsx java kotlin kt csharp cs swift ruby rb php c cpp h hcl tf json toml".split())
 
 PLACEHOLDER_RE = re.compile(
-    r"^[x*.#_-]+$|\*{3}|x{6}|^\.{2,}|\.{3}$|…|<[^>]*>|\$[{(A-Z_]|\{\{|%\(|%[A-Z_]+%|^!(?:ref|sub|getatt|secret|vault|env|include)|change[-_ ]?(?:me|this)|replace[-_ ]?(?:me|this|with)|your[-_ ]|example|placeholder"
+    r"^[x*.#_-]+$|\*{3}|x{6}|^\.{2,}|\.{3}$|…|<[^>]*>|\{\{|%\(|%[A-Z_]+%|^!(?:ref|sub|getatt|secret|vault|env|include)|change[-_ ]?(?:me|this)|replace[-_ ]?(?:me|this|with)|your[-_ ]|example|placeholder"
     r"|dummy|insert[-_ ]|^todo|redacted|masked|not[-_ ]?set|^(?:none|null|true|false|undefined|password|passwd|secret|token|string|pass|pwd)$", re.I)
+# A value that is a variable or a command, or one into which an expression is put.
+VARIABLE_RE = re.compile(r"^\$(?:[A-Z_][A-Z0-9_]*|[a-z]+(?:[A-Z][a-z]+)*|[a-z]+(?:_[a-z0-9]+)+|\(.*)$|\$\{[A-Za-z_][^{}]*\}")
 REFERENCE_RE = re.compile(r"^(?:process|os|env|var|local|locals|module|settings|config|cfg|self|this|secrets|vault|data|ENV|System|params|ctx|context|import|Rails)\b[.\[(]|^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$")
 NO_SECRET_RE = re.compile(r"^[a-z]+(?:[-_][a-z]+)*[-_]\d{1,6}$|^(?:sha\d+|md5|hmac|aes|rs|hs|es)[-_:/]|^data:|^[a-z][a-z0-9+.-]*://|^\.{0,2}/?(?:[\w.-]+/)+[\w-]+\.[A-Za-z]{1,5}$|^/[\w./-]+$|^\d[\d.,:_-]*$", re.I)
 
@@ -116,7 +118,7 @@ def secret_name(name: str) -> bool:
 
 
 def placeholder(value: str) -> bool:
-    return bool(PLACEHOLDER_RE.search(value)) or len(set(value)) < 4
+    return bool(PLACEHOLDER_RE.search(value) or VARIABLE_RE.search(value)) or len(set(value)) < 4
 
 
 def secret_value(value: str, quoted: bool) -> bool:

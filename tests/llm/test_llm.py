@@ -402,3 +402,12 @@ def test_long_lines_take_linear_time():
         at = time.time()
         credentials.find([line])
         assert time.time() - at < 5, line[:20]
+
+
+def test_dollars_in_passwords_are_no_references():
+    for v in ("tR7$e9Lq!2vB", "aB3$Xk29sdkQ", "$tR7e9Lq2vB", "Q1$_w8Zr$(kP5"):
+        for line in (f'password = "{v}"', f"u: postgres://svc:{v}@db.example/x"):
+            (c,) = credentials.find([line])[0]
+            assert line[c.start : c.end] == v
+    for v in ("$DB_PASSWORD1", "${DB_PASSWORD1}", "$db_pass1", "$dbPassword", "$(pass show db1)", "$(pass)", "pre-${Env}-9Xk2a"):
+        assert credentials.find([f'password = "{v}"', f"u: postgres://svc:{v}@db.example/x"]) == [[], []]
