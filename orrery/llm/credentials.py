@@ -81,7 +81,11 @@ SAID_RES = [
     re.compile(r"""(?:^|\s)(?:-u|--user)[ =]+["']?[^\s:"']++:(?P<v>[^\s"']+)"""),
     re.compile(r"""(?:^|\s)--(?:auth|token|password|passwd|api-key|apikey|secret|access-token|auth-token|client-secret)[ =]+["']?(?P<v>[^\s"']{8,})"""),
 ]
-MENTION_RE = re.compile("(?i:" + "|".join(PASSWORD_WORDS) + r""")[^\n:\uff1a="'`]{0,40}?(?:[:\uff1a]|\s(?:is|ist|est|es|\u00e9)\s|\u306f)\s*(?:[\w.@-]{1,64}\s*/\s*)?(?P<v>[^\s"'`<>/]{8,})\s*$""")
+_MENTION = "(?i:" + "|".join(PASSWORD_WORDS) + r""")[^\n:\uff1a="'`]{0,40}?(?:[:\uff1a]|\s(?:is|ist|est|es|\u00e9)\s|\u306f)\s*(?:[\w.@-]{1,64}\s*/\s*)?"""
+MENTION_RE = re.compile(_MENTION + r"""(?P<v>[^\s"'`<>/]{8,})\s*$""")
+# One within a sentence, in quotes or not; what ends the sentence is no part of it.
+MENTION_WITHIN_RE = re.compile(_MENTION + r"""["'`]?(?P<v>(?:(?!["'`<>/])[!-~]){8,}+)""")
+METHOD_RE = re.compile(r"^(?:argon\d|[bs]crypt|pbkdf|sha-?\d|md\d|aes[-_\d]|hmac|utf-?\d|base\d\d)", re.I)
 OPEN_RE = re.compile(_NAME + r"""["'\]]{0,3}""" + _TYPE + r"\s*(?::=|=|:)\s*+(?:[>|][+-]?|\(|\\)?\s*$")
 NEXT_RE = re.compile(r"""\s*(?P<q>["'`]?)(?P<v>[^\s"'`]{8,}+)(?P=q)[,;)]*\s*$""")
 HEADER_RE = re.compile(r"\b(?P<s>Bearer|Basic|Token|bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=._~-]{8,})")
@@ -90,6 +94,7 @@ COMMENT_RE = re.compile(r"\s*(?:[-*>]\s+)?(?:#|//|;|--|/\*|\*|<!--)")
 KEY_RUN_RE = re.compile(r"[A-Za-z0-9+/=]{32,}")
 # A further line of a key's body, behind the rest of the one before; the line break may be an escape in a literal.
 KEY_LINE_RE = re.compile(r"""[ \t"'`,;+.()\\]*?(?:\\r)?(?:\\n|\r?\n)[ \t"'`+.()#*>|\n\r]*(?:// )?(?P<b>[A-Za-z0-9+/]+={0,2})(?![^\s"'`\\,;+)])""")
+TRAILING_RE = re.compile(r"(?:^|\s)(?:#|//|--|/\*|<!--)\s")
 # Languages in which a value without quotes is no literal.
 CODE = frozenset("python py go rust rs typescript javascript ts tsx js jsx java kotlin kt csharp cs swift ruby rb php c cpp h hcl tf json toml".split())
 
@@ -132,6 +137,12 @@ def secret_value(value: str, quoted: bool) -> bool:
     return bool(mixed and (re.search(r"[^A-Za-z_.\-]", value) or len(re.findall(r"[a-z][A-Z]|[A-Z]{2}[a-z]", value)) >= 4))
 
 
+def _runs_on(value: str) -> bool:
+    """Whether words in another script follow a value without a blank."""
+    own = re.match(r"[!-~]*", value)[0]
+    return len(own) < len(value) and secret_value(own.rstrip(".,;:?)"), False)
+
+
 def basic(value: str) -> bool:
     try:
         user, colon, word = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode().partition(":")
@@ -170,7 +181,12 @@ def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]
         out += [(*m.span("v"), "said") for r in SAID_RES for m in r.finditer(line) if not placeholder(m["v"])]
         known = "authorization" in line.lower()
     if heads & BIT["mention"] and (not code or COMMENT_RE.match(line)):
-        out += [(*m.span("v"), "said") for m in MENTION_RE.finditer(line) if not placeholder(m["v"]) and not re.fullmatch(r"[^\W\d_]?[^\WA-Z\d_]+[.!?]?", m["v"])]
+        out += [(*m.span("v"), "said") for m in MENTION_RE.finditer(line) if not _runs_on(m["v"]) and not placeholder(m["v"]) and not re.fullmatch(r"[^\W\d_]?[^\WA-Z\d_]+[.!?]?", m["v"])]
+    if heads & BIT["mention"] and (from_ := 0 if not code or COMMENT_RE.match(line) else x.end() if (x := TRAILING_RE.search(line)) else None) is not None:
+        for m in MENTION_WITHIN_RE.finditer(line, from_):
+            v = m["v"].rstrip(".,;:?)")
+            if secret_value(v, False) and not METHOD_RE.match(v):
+                out.append((m.start("v"), m.start("v") + len(v), "said"))
     if heads & BIT["said"]:
         for m in HEADER_RE.finditer(line):
             if (m["s"] in ("Basic", "basic") and basic(m["v"])) or (m["s"][0] in "Bb" or known) and m["s"].lower() != "basic" and secret_value(m["v"], False):

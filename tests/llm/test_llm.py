@@ -411,3 +411,13 @@ def test_dollars_in_passwords_are_no_references():
             assert line[c.start : c.end] == v
     for v in ("$DB_PASSWORD1", "${DB_PASSWORD1}", "$db_pass1", "$dbPassword", "$(pass show db1)", "$(pass)", "pre-${Env}-9Xk2a"):
         assert credentials.find([f'password = "{v}"', f"u: postgres://svc:{v}@db.example/x"]) == [[], []]
+
+
+def test_passwords_within_sentences():
+    v = "Xk29sdkQ2"
+    for line in (f"The staging password is {v} until Friday.", f"password is `{v}`", f"Use the password: {v}, then log in.", f"The passphrase for it is '{v}'.", f"パスワードは{v}です。", f"x = 1  # the password is {v} for now", "y " * 5000 + f"the password is {v} for now" + " z" * 5000):
+        text = f"a\n```python\n{line}\n```\n" if line.startswith("x =") else line
+        (c,) = credentials.find([text])[0]
+        assert text[c.start : c.end] == v
+    for line in ("The password hash is Argon2id based.", "The password is required for all users.", "password is `your-password1` here"):
+        assert credentials.find([line])[0] == []
