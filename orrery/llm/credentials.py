@@ -50,14 +50,15 @@ NOT_SECRET_NAMES = ("bypass", "compass", "encompass", "surpass", "publictoken",
 # Words for a password in the languages of the texts.
 PASSWORD_WORDS = ("password", "passphrase", "passwort", "kennwort", "zugang", "contraseña", "contrasena", "clave", "mot de passe", "senha", "パスワード", "비밀번호", "암호")
 
+# All of a few bytes, so that chunks overlap by a bound; what has no bound is matched on the line.
 HEADS = [
     ("token", "|".join([*(a for a, _ in TOKENS), "LS0tLS1CRUdJTiB"]), True),
     ("armor", r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY", False),
     ("url", "://", False),
-    ("named", r"(?i:(?:pass|pwd|pw|secret|token|key|cred)[^\n:=>|?,)]*[:=>|?,)])", False),
-    ("said", r"(?i:login[ \t]|bearer[ \t]|basic[ \t]|token[ \t])|-u[ \t]|--[a-z-]*[ =]", True),
+    ("named", "(?i:pass|pwd|pw|secret|token|key|cred)", False),
+    ("said", r"(?i:login[ \t]|bearer[ \t]|basic[ \t]|token[ \t])|-u[ \t]|--(?:user|auth|token|password|passwd|api-key|apikey|secret|access-token|auth-token|client-secret)[ =]", True),
     ("mention", "(?i:" + "|".join(w.encode().decode("latin-1") for w in PASSWORD_WORDS) + ")", False),
-    ("joined", r"""["'][ \t]*\+[ \t]*["']""", False),
+    ("joined", r"""[ \t"']\+[ \t"']""", False),
 ]
 BIT = {name: 1 << i for i, (name, _, _) in enumerate(HEADS)}
 
@@ -70,6 +71,7 @@ _NAME = r"(?<![\w$])(?P<k>(?=[\w$-]{0,63}(?i:pass|pwd|pw|secret|token|key|cred))
 _QUOTED = r"""[bru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])++)(?P=q)"""
 _TYPE = r"(?:\s*:\s*&?(?:'?static\s+)?[A-Za-z_][\w<>\[\], |.]{0,40}?|\s+(?:string|str|String))?"
 _LOOKUP = r"""(?:[^"'`\n=]{0,120}?(?:\|\||\?\?|\?:|\bor\b)\s*|[\w.$:]{0,40}(?:environ\.get|getenv|get_env|env|ENV\.fetch|lookup)\(\s*["'][\w.-]{1,64}["']\s*(?:,|\)\s*(?:\|\||\?\?|\?:|\bor\b))\s*)?"""
+NAMED_RE = re.compile(r"(?i:pass|pwd|pw|secret|token|key|cred)[^\n:=>|?,)]*+[:=>|?,)]")
 QUOTED_RE = re.compile(_NAME + r"""["'\]]{0,3}""" + _TYPE + r"\s*(?::=|=>|\?\?=?|\|\|=?|\?:|=(?!=)|:(?![:=]))\s*" + _LOOKUP + _QUOTED)
 ENV_RE = re.compile(r"""(?:environ\.get|getenv|get_env|\benv|ENV\.fetch|lookup)\(\s*["']""" + _NAME + r"""["']\s*(?:,|\)\s*(?:\|\||\?\?|\?:|\bor\b))\s*""" + _QUOTED)
 BARE_RE = re.compile(_NAME + r"""["'\]]{0,3}[ \t]*(?:=(?![=>])|:(?![:=]))[ \t]*(?P<v>[^\s"'`<>,;(){}\[\]]{8,})(?P<after>[,;]?(?=\s|$|["'`&]))""")
@@ -163,7 +165,7 @@ def _joined(line: str) -> tuple[str, list[int]]:
 def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the usable credentials of a line, apart from key blocks. ``code``: bare values are none."""
     at = None
-    if heads & BIT["joined"]:
+    if heads & BIT["joined"] and JOIN_RE.search(line):
         line, at = _joined(line)
         heads |= BIT["token"]
     out = []
@@ -172,7 +174,7 @@ def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]
         out += [(*m.span("v"), "key") for m in WRAPPED_RE.finditer(line) if ARMOR_RE.match(base64.b64decode(m["v"][:72]).decode("latin-1"))]
     if heads & BIT["url"] and "@" in line:
         out += [(*m.span("v"), "url") for m in URL_RE.finditer(line) if not placeholder(m["v"])]
-    if heads & BIT["named"]:
+    if heads & BIT["named"] and NAMED_RE.search(line):
         for expression in (QUOTED_RE, ENV_RE, XML_ATTRIBUTE_RE, XML_ELEMENT_RE, DEFAULT_RE):
             out += [(*m.span("v"), "named") for m in expression.finditer(line) if secret_name(m["k"]) and secret_value(m["v"], True)]
         if not code or COMMENT_RE.match(line):

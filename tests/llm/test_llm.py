@@ -421,3 +421,13 @@ def test_passwords_within_sentences():
         assert text[c.start : c.end] == v
     for line in ("The password hash is Argon2id based.", "The password is required for all users.", "password is `your-password1` here"):
         assert credentials.find([line])[0] == []
+
+
+def test_credentials_are_found_wherever_a_chunk_begins():
+    rnd = random.Random(14)
+    v, user = secret(rnd, 24), secret(rnd, 320)
+    for line in (f"u: https://{user}:{v}@db.example/x", f'x = $password["k"] || {"y" * 400}; password{" " * 400}= "{v}"', "t = 'ghp_" + v + "'" + " " * 400 + "+" + " " * 400 + "'" + v + "'"):
+        want = len(credentials.find([line])[0])
+        assert want == 1
+        for before in range(1200, 2100, 50):
+            assert len(credentials.find(["a" * before, line])[1]) == want
