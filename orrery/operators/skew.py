@@ -4,31 +4,39 @@
 ``running_total``  prefix sums per group without putting a group into one task
 ``hot_keys``       the keys that hold more than a share of all rows, exactly; their number is bounded by the share
 ``join_on_key``    many-to-one join: hot keys by broadcast of their bounded right side, the rest by shuffle
+``lookup``         many-to-one join: a right side of checked size by broadcast, a larger one by ``join_on_key``
 ``cume_dist``      percentile of a value within its group, ties share the highest
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A key is hot if it holds at least this share of all rows, so there are at most ``1 / HOT_SHARE`` hot keys.
+#: A key is hot if it holds at least this share of all rows, or at least what a partition holds on average if that is
+#: less; so there are at most ``max(1 / HOT_SHARE, partitions)`` hot keys, and none else outweighs a partition.
 HOT_SHARE = 1 / 1000
+#: Bytes that a whole right side may have to be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder now and read it from there from now on.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set only where none is named (tests).
+    The folder is the session's ``spark.checkpoint.dir``. Where none is named a temporary one is set on a local master
+    (tests); on a cluster, whose machines don't share such a folder, that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-"))
     return df.checkpoint(eager=True)
 
 
@@ -60,12 +68,25 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str | Col
     return joined.select(*[f"l.{c}" for c in df.columns], (F.col(f"l.{out}") + F.col("r._off")).alias(out))
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, share: float = HOT_SHARE, at_least: int = 1000) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, share: float | None = None, at_least: int = 1000) -> DataFrame:
     """The keys of ``counts(keys, n)`` with ``n`` of at least ``share`` of the sum of ``n`` (and ``at_least``)."""
     total = counts.agg(F.sum(n)).first()[0] or 0
+    share = min(HOT_SHARE, 1 / partitions(counts.sparkSession)) if share is None else share
     return counts.filter(F.col(n) >= max(at_least, total * share)).select(*keys)
 
 
+def hot_rows(df: DataFrame, keys: Sequence[str], at_least: int = 100_000) -> DataFrame | None:
+    """The hot keys of ``df`` itself as a local table, by partial counts; None if there are none."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    total = df.count()
+    if total < at_least:
+        return None
+    found = counts.filter(F.col("_n") >= max(at_least, total * min(HOT_SHARE, 1 / partitions(spark)))).select(*keys)
+    rows = found.collect()  # at most max(1 / HOT_SHARE, partitions)
+    return spark.createDataFrame(rows, found.schema) if rows else None
+
+
 def join_on_key(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """Join ``right`` (one row per key) to ``left``; ``hot`` are the keys that ``left`` repeats most.
 
@@ -78,6 +99,23 @@ def join_on_key(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Dat
     return cold.unionByName(marked.filter("_hot").drop("_hot").join(F.broadcast(few), list(keys), how))
 
 
+def few_bytes(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` take at most ``most`` bytes, strings by their length and other columns by 16 bytes."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if f.dataType.typeName() in ("string", "binary") else F.lit(16) for f in df.schema.fields]
+    return (df.agg(F.sum(reduce(lambda a, b: a + b, sizes))).first()[0] or 0) <= most
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Callable[[], DataFrame], small: bool | None = None) -> DataFrame:
+    """Inner join of ``right`` (one row per key) to ``left``. Keys must not be null.
+
+    A right side of at most ``BROADCAST_BYTES`` is broadcast, so that ``left`` keeps its partitioning; a larger one meets
+    the keys that ``left`` repeats most, which ``hot`` gives, by broadcast and the others by shuffle (``join_on_key``).
+    """
+    if few_bytes(right) if small is None else small:
+        return left.join(F.broadcast(right), list(keys))
+    return join_on_key(left, right, keys, hot())
+
+
 def cume_dist(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """Add ``out``: the share of the group's rows whose ``value`` isn't larger. ``group`` and ``value`` hold no nulls.
 

@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def session(cores: int = 8, name: str = "orrery") -> SparkSession:
-    """On a cluster take the session that it gives; these settings suit one machine."""
+    """On a cluster take the session that it gives, whose ``spark.checkpoint.dir`` all executors share; these settings
+    suit one machine, where a folder of its own does."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.sql.shuffle.partitions", str(max(8, cores)))
