@@ -27,8 +27,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def p1_rank(spark: SparkSession, d: str) -> DataFrame:
     """(pack_id, rel, reference_percentile, query_percentile, demotion, position) of every explained file."""
-    v = leximin.leximin_vectors(table(spark, d, "explain_rows"), "pack_id", "rel", ["reference_score", "query_score"], "demotion", "logged_at")
-    ranked = leximin.leximin_rank(v, "pack_id", "rel")
+    ranked = leximin.leximin(table(spark, d, "explain_rows"), "pack_id", "rel", ["reference_score", "query_score"], "demotion", "logged_at")
     return ranked.select("pack_id", "rel", F.round("reference_score_percentile", 9).alias("reference_percentile"), F.round("query_score_percentile", 9).alias("query_percentile"), "demotion", "position")
 
 

@@ -17,18 +17,26 @@ from orrery.llm import automaton, cooccurrence, copies, credentials, language, l
 # 1
 
 
-def test_leximin(spark):
+@pytest.mark.parametrize("large", [3, 100_000])
+def test_leximin(spark, large):
     rows = [(1, "a", 9000.0, 0.1, 1.0, 1), (1, "b", 8000.0, 0.9, 1.0, 1), (1, "c", 10.0, 0.95, 1.0, 1), (1, "d", 8500.0, 0.92, 0.2, 1), (1, "b", 8000.0, 0.9, 1.0, 2), (1, "e", None, None, None, 1),
             (2, "x", float("nan"), None, 1.0, 1), (2, "y", 0.0, 0.0, 1.0, 1), (None, "z", 1.0, 1.0, 1.0, 1), (3, None, 1.0, 1.0, 1.0, 1)]
-    df = spark.createDataFrame(rows, "g int, item string, r double, q double, dem double, at int").withColumn("position", F.lit("clash"))
-    v = leximin.leximin_vectors(df, "g", "item", ["r", "q"], "dem", "at")
-    got = {(r.g, r.item): r.position for r in leximin.leximin_rank(v, "g", "item").collect()}
+    df = spark.createDataFrame(rows, "g int, item string, r double, q double, dem double, at int").withColumn("position", F.lit("clash")).withColumn("_n", F.lit(1))
+    got = {(r.g, r.item): r.position for r in leximin.leximin(df, "g", "item", ["r", "q"], "dem", "at", large).collect()}
     assert got[1, "b"] == 1 and len(got) == 7 and {got[2, "x"], got[2, "y"]} == {1, 2} and got[2, "x"] == 1
     once = {(g, i): (r or 0.0, q or 0.0, 1.0 if d is None else d) for g, i, r, q, d, _ in rows if g == 1 and i}
     pct = lambda k, x: sum(o[k] <= x for o in once.values()) / len(once)
     key = lambda gi: [-p * once[gi][2] for p in sorted((pct(0, once[gi][0]), pct(1, once[gi][1])))]
     assert [gi[1] for gi in sorted(once, key=lambda gi: (key(gi), gi[1]))] == [i for (g, i), _ in sorted(got.items(), key=lambda x: x[1]) if g == 1]
-    assert leximin.leximin_rank(leximin.leximin_vectors(df.limit(0), "g", "item", ["r", "q"], "dem", "at"), "g", "item").count() == 0
+    assert leximin.leximin(df.limit(0), "g", "item", ["r", "q"], "dem", "at", large).count() == 0
+
+
+def test_leximin_counts_every_score(spark):
+    rows = [("a", 3.0, 3.0, 1.0), ("b", 2.0, 2.0, 2.0), ("c", 1.0, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "item string, x double, y double, z double").withColumns({"g": F.lit(1), "dem": F.lit(1.0), "at": F.lit(1)})
+    third = {r.item: r.position for r in leximin.leximin(df, "g", "item", ["x", "y", "z"], "dem", "at").collect()}
+    two = {r.item: r.position for r in leximin.leximin(df, "g", "item", ["x", "y"], "dem", "at").collect()}
+    assert two == {"a": 1, "b": 2, "c": 3} and third == {"b": 1, "a": 2, "c": 3}
 
 
 # 2
