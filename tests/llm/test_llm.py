@@ -71,6 +71,34 @@ def test_pairs(spark):
     assert cooccurrence.pairs(df.limit(0)).count() == 0
 
 
+def test_pairs_of_commits_of_any_size(spark, monkeypatch):
+    """A commit that holds most rows is parted into blocks, and triangles are made in steps; all give the same pairs."""
+    rnd = random.Random(5)
+    rows = [("r", "huge", f"f{i}") for i in range(300)] * 2 + [("r", f"s{i}", f"f{rnd.randint(0, 40)}") for i in range(30) for _ in range(4)] + [("q", "huge", "a"), ("q", "huge", "b")]
+    df = spark.createDataFrame(rows, "repo string, sha string, rel string")
+    want = brute_pairs(rows, 10**9)
+    for block, run in ((4096, 1 << 21), (20, 1 << 21), (4096, 1000), (20, 50)):
+        monkeypatch.setattr(cooccurrence, "BLOCK", block)
+        monkeypatch.setattr(cooccurrence, "RUN", run)
+        got = {(r.repo, r.rel_a, r.rel_b): (r.n_ab, r.n_a, r.n_b, r.n_commits) for r in cooccurrence.pairs(df).collect()}
+        assert got == want
+
+
+def test_runs_in_steps(monkeypatch):
+    monkeypatch.setattr(cooccurrence, "RUN", 64)
+    import pyarrow as pa
+    kind = pa.list_(pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array([list(range(50, 0, -1)), [3, 1, 2], [200, 7, 100]], kind), pa.array([None, None, [150, 5]], kind)], names=["ids", "others"])
+    got = Counter()
+    for b in cooccurrence._runs(iter([batch])):
+        codes = b.column(0).to_pylist()
+        assert codes == sorted(set(codes))
+        for c, n in zip(codes, b.column(1).to_pylist()):
+            got[c >> 32, c & 0xFFFFFFFF] += n
+    want = Counter(itertools.combinations(range(1, 51), 2)) + Counter([(1, 2), (1, 3), (2, 3)]) + Counter((min(a, b), max(a, b)) for a in (200, 7, 100) for b in (150, 5))
+    assert got == want
+
+
 def test_runs_merge_over_batches():
     rnd = np.random.default_rng(0)
     codes = np.sort(rnd.integers(0, 40, 500))
