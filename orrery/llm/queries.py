@@ -148,43 +148,79 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 # 8: mixing sources to target weights
 
 
-def _mixed(spark: SparkSession, d: str, of_corpus: float | None) -> tuple[DataFrame, dict, dict]:
-    """The selection, the natural sizes and the weights; the budget is that share of all named sources' tokens."""
+#: The budget of the mixtures, as a share of all tokens of the named sources.
+OF_CORPUS = 0.5
+
+
+def _mixed(spark: SparkSession, d: str, how: str) -> tuple[DataFrame, DataFrame, float]:
+    """(selection, (source, target_share, natural_share, weight, max_repeats, smallest), budget).
+
+    ``how``: "limits" bisects the exponent from the targets on until no source exceeds its repetition limit, "entropy"
+    the plain temperature until the weights have the targets' entropy, "targets" takes the largest budget that needs no
+    exponent.
+    """
     goals = table(spark, d, "mix_targets").collect()
     targets, repeats = {r["source"]: r["target_share"] for r in goals}, {r["source"]: r["max_repeats"] for r in goals}
     documents = spread(table(spark, d, "documents").select("doc_id", mixing.normal_source(F.col("source")).alias("source"), "text"))
     sized = cut(sizing.token_counts(documents.filter(F.col("source").isin(*targets))))
     sizes = mixing.source_sizes(sized, "source", "n_tokens", list(targets))
-    budget, _, weights = mixing.plan(sizes, targets, repeats, of_corpus and of_corpus * sum(sizes.values()))
+    wanted = OF_CORPUS * sum(sizes.values())
+    if how == "entropy":
+        budget, _, weights = mixing.plan_entropy(sizes, mixing.entropy(mixing.normalised(targets)), repeats, wanted)
+    else:
+        budget, _, weights = mixing.plan(sizes, targets, repeats, wanted if how == "limits" else None)
     chosen = mixing.select(sized, "doc_id", "source", "n_tokens", {k: budget * w for k, w in weights.items()}, sizes, repeats)
-    return chosen, sizes, targets
+    natural = max(1, sum(sizes.values()))
+    rows = [(k, float(t), sizes.get(k, 0) / natural, weights.get(k, 0.0), int(repeats[k] or 1)) for k, t in targets.items()]
+    return chosen, spark.createDataFrame(rows, "source string, target_share double, natural_share double, weight double, max_repeats int"), budget
 
 
-def _shares(spark: SparkSession, d: str, of_corpus: float | None) -> DataFrame:
-    chosen, sizes, targets = _mixed(spark, d, of_corpus)
+def _shares(spark: SparkSession, d: str, how: str) -> DataFrame:
+    chosen, sources, _ = _mixed(spark, d, how)
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     got = got.withColumn("_all", F.sum("tokens").over(Window.partitionBy(F.lit(1))))  # one row per target
-    natural = max(1, sum(sizes.values()))
-    rows = spark.createDataFrame([(k, float(t), sizes.get(k, 0) / natural) for k, t in targets.items()], "source string, target_share double, natural_share double")
-    shares = rows.join(got, "source", "left")
-    return shares.select("source", "target_share", "natural_share", F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    shares = sources.join(got, "source", "left")
+    return shares.select("source", "target_share", "natural_share", "weight", F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("reached_share"),
+                         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
 
 
 @query
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, source, n_tokens, repeats) of the largest selection that can meet the targets."""
-    return _mixed(spark, d, None)[0]
+    """(doc_id, source, n_tokens, repeats): half of the corpus in shares as near to the targets as the repetition limits
+    let one exponent come."""
+    return _mixed(spark, d, "limits")[0]
 
 
 @query
 def p8_mix_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _shares(spark, d, None)
+    return _shares(spark, d, "limits")
+
+
+@query
+def p8_mix_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source of ``p8_mix`` holds its weight of the budget, to 1 % or to its smallest document that could be
+    used once more, within its limit."""
+    chosen, sources, budget = _mixed(spark, d, "limits")
+    documents = spread(table(spark, d, "documents").select("doc_id", mixing.normal_source(F.col("source")).alias("source"), "text"))
+    used = sizing.token_counts(documents).filter("n_tokens > 0").join(chosen.select("doc_id", "repeats"), "doc_id", "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)))
+    by = used.groupBy("source", "repeats").agg(F.min("n_tokens").alias("least"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
+    by = by.groupBy("source").agg(F.min_by("least", "repeats").alias("least"), F.sum("tokens").alias("tokens"), F.max("repeats").alias("most"))
+    due = F.lit(budget) * F.col("weight")
+    off = due - F.coalesce("tokens", F.lit(0))
+    return sources.join(by, "source", "left").select(
+        "source", ((off >= -1e-6) & (off <= F.greatest(due * 0.01, F.coalesce("least", F.lit(0)).cast("double")) + 1e-6)).alias("holds_weight"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_limit"))
+
+
+@query
+def p8_entropy_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a plain temperature mixture of the same budget, as even as the targets are."""
+    return _shares(spark, d, "entropy")
 
 
 @query
-def p8_half_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The shares reached with a budget of half of all tokens, where limits keep some sources below their target."""
-    return _shares(spark, d, 0.5)
+def p8_target_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the largest selection that meets the targets themselves."""
+    return _shares(spark, d, "targets")
 
 
 # 9: missing or wrong document language labels

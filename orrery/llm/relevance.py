@@ -6,31 +6,50 @@ collection's document frequencies, number of records N (those without terms coun
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.skew import cut, hot_keys, join_on_key
+from orrery.operators.skew import cut, few_bytes, hot_keys, lookup
 
 K1, B = 1.2, 0.75
 
 
-def term_weights(docs: DataFrame, key: str = "id", tokens: str = "tokens", version: str = "indexed_at", k1: float = K1, b: float = B) -> DataFrame:
-    """(key, term, tf, df, score), one row per record and distinct term.
+def term_weights(docs: DataFrame, key: str = "id", tokens: str = "tokens", version: str = "indexed_at", collection: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
+    """(key, collection..., term, tf, df, score), one row per record and distinct term.
+
+    A record is a key within its ``collection``, the columns whose values part the table into collections with
+    statistics of their own (none: the table is one). A repeated record counts once, with its earliest version. Null and
+    empty token arrays count in N and in the average length and give no rows; null tokens in an array are skipped; a
+    null key or collection is no record. Other columns are ignored.
 
-    A repeated key counts once, with its earliest version. Null and empty token arrays count in N and in the average
-    length and give no rows; null tokens in an array are skipped; a null key is no record. Other columns are ignored.
-    Records are never gathered: frequencies are combined before each shuffle, and terms that a large share of records
-    hold meet their document frequency by broadcast (bounded, see ``hot_keys``).
+    The records are shuffled once, as arrays, repeats combined before; their terms are counted where they then are. Terms meet their document
+    frequency by broadcast if all of these are few bytes, else through a shuffle, in which terms that a large share of
+    records hold are broadcast (bounded, see ``hot_keys``).
     """
-    once = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(tokens, F.struct(version, tokens)).alias("_t"))
-    once = cut(once.select(key, F.filter(F.coalesce("_t", F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("_t")))
-    n, avg = once.agg(F.count(F.lit(1)), F.avg(F.size("_t"))).first()
-    tf = once.select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("_len").alias("_len"))
-    df = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / F.lit(float(avg or 1.0) or 1.0))
-    scored = join_on_key(tf, df, ["term"], hot_keys(df, ["term"], "df"))
-    return scored.select(key, "term", "tf", "df", (idf * (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + norm)).alias("score"))
+    own = [key, *collection]
+    named = docs.filter(" and ".join(f"`{c}` is not null" for c in own))
+    once = named.groupBy(*own).agg(F.min_by(tokens, F.struct(version, tokens)).alias("_t"))
+    once = once.select(*own, F.filter(F.coalesce("_t", F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("_t"))
+    # a row without a term stands for the record itself
+    listed = once.select(*own, F.size("_t").alias("_len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "_t")).alias("term"))
+    counted = cut(listed.groupBy(*own, "_len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    records, tf = counted.filter("term is null"), counted.filter("term is not null")
+    stats = records.groupBy(*collection).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg"))
+    df = tf.groupBy(*collection, "term").agg(F.count(F.lit(1)).alias("df"))
+    if collection:
+        sizes = cut(df.groupBy(*collection).agg(F.count(F.lit(1)).alias("_terms")))
+        df = lookup(df, stats, collection, lambda: hot_keys(sizes, collection, "_terms"))
+    else:
+        n, avg = stats.first()
+        df = df.withColumns({"_n": F.lit(float(n)), "_avg": F.lit(float(avg or 0.0))})
+    df = cut(df)
+    by = [*collection, "term"]
+    both = lookup(tf, df, by, lambda: hot_keys(df, by, "df"), few_bytes(df))
+    idf = F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("_len") / F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0))
+    return both.select(*own, "term", "tf", "df", (idf * (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + norm)).alias("score"))
 
 
 def top_term(weights: DataFrame, key: str = "id") -> DataFrame:

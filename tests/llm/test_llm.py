@@ -260,6 +260,10 @@ def test_term_weights(spark):
         assert math.isclose(s, math.log((n - d + 0.5) / (d + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(lists[k]) / avg)))
     assert {r.id: r.term for r in relevance.top_term(relevance.term_weights(df)).collect()} == {"a": "x", "b": "z", "e": "w", "f": "y"}
     assert relevance.term_weights(df.limit(0)).count() == 0
+    two = df.withColumn("field", F.lit("p")).unionByName(df.filter("id in ('a', 'b')").withColumn("field", F.lit("q"))).unionByName(df.withColumn("field", F.lit(None).cast("string")))
+    split_ = relevance.term_weights(two, collection=["field"])
+    assert {(r.id, r.term): (r.tf, r.df, r.score) for r in split_.filter("field = 'p'").collect()} == got
+    assert {(r.id, r.term, r.tf, r.df) for r in split_.filter("field <> 'p'").collect()} == {("a", "x", 2, 1), ("a", "y", 1, 2), ("b", "y", 1, 2), ("b", "z", 1, 1)}
 
 
 # 7
