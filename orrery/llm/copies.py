@@ -50,23 +50,38 @@ def canonical(name: Column, signature: Column) -> Column:
     return F.unhex(F.sha2(F.concat_ws("\x01", bare(name), F.array_join(parameters(signature), "\x02")), 256))
 
 
-def keyed(rows: DataFrame, key: str = "symbol_id", name: str = "name", signature: str = "signature") -> DataFrame:
+def keyed(rows: DataFrame, key: str = "symbol_id", name: str = "name", signature: str = "signature", all_rows: bool = False) -> DataFrame:
     """(key, _k) of the rows that can have copies: key and name not null, signature not null, empty or blank.
 
-    A repeated key counts once; should its rows differ, the smallest canonical key stands. Other columns are ignored.
+    A repeated key counts once; should its rows differ, the one with the smallest canonical key stands. With
+    ``all_rows`` every row with a key is given, with its ``name`` and ``signature``; ``_k`` is null where a row can't
+    have copies, and such a row stands only if no other row of its key can. Other columns are ignored.
     """
-    some = rows.filter(F.col(key).isNotNull() & F.col(name).isNotNull() & F.col(signature).rlike(r"\S"))
-    return cut(some.select(key, canonical(F.col(name), F.col(signature)).alias("_k")).groupBy(key).agg(F.min("_k").alias("_k")))
+    able = F.col(name).isNotNull() & F.col(signature).rlike(r"\S")
+    some = rows.filter(F.col(key).isNotNull())
+    if not all_rows:
+        return cut(some.filter(able).select(key, canonical(F.col(name), F.col(signature)).alias("_k")).groupBy(key).agg(F.min("_k").alias("_k")))
+    marked = some.select(key, F.struct(F.when(able, canonical(F.col(name), F.col(signature))).alias("_k"), F.col(name).alias("name"), F.col(signature).alias("signature")).alias("_s"))
+    best = marked.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("_s._k").isNotNull(), F.col("_s"))), F.min("_s")).alias("_s"))
+    return cut(best.select(key, "_s.*"))
 
 
 def collapse(ids: DataFrame, key: str = "symbol_id", share: float = 0.001, salts: int = SALTS) -> DataFrame:
-    """(_k, first_id, copies): one row per canonical key."""
-    hot = hot_keys(ids.groupBy("_k").agg(F.count(F.lit(1)).alias("n")), ["_k"], "n", share)
-    marked = ids.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_k", "left")
-    agg = lambda d, first, n, *by: d.groupBy(*by).agg(F.min(first).alias("first_id"), F.sum(n).cast("bigint").alias("copies"))
-    cold = agg(marked.filter(F.col("_hot").isNull()).withColumn("_1", F.lit(1)), key, "_1", "_k")
-    salted = marked.filter("_hot").withColumn("_1", F.lit(1)).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    return cold.unionByName(agg(agg(salted, key, "_1", "_k", "_salt"), "first_id", "copies", "_k"))
+    """(_k, first_id, copies, and the representative's other columns): one row per canonical key; null keys give none."""
+    others = [c for c in ids.columns if c not in (key, "_k")]
+    some = ids.filter(F.col("_k").isNotNull())
+    hot = hot_keys(some.groupBy("_k").agg(F.count(F.lit(1)).alias("n")), ["_k"], "n", share)
+    marked = some.select("_k", F.struct(key, *others).alias("first"), F.lit(1).alias("copies")).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_k", "left")
+    agg = lambda d, *by: d.groupBy(*by).agg(F.min("first").alias("first"), F.sum("copies").cast("bigint").alias("copies"))
+    salted = marked.filter("_hot").withColumn("_salt", F.pmod(F.xxhash64(f"first.{key}"), F.lit(salts)))
+    both = agg(marked.filter(F.col("_hot").isNull()), "_k").unionByName(agg(agg(salted, "_k", "_salt"), "_k"))
+    return both.select("_k", F.col(f"first.{key}").alias("first_id"), *[f"first.{c}" for c in others], "copies")
+
+
+def records(ids: DataFrame, key: str = "symbol_id", share: float = 0.001, salts: int = SALTS) -> DataFrame:
+    """``collapse`` and the rows without a canonical key, each a record of its own."""
+    alone = ids.filter(F.col("_k").isNull()).withColumnRenamed(key, "first_id").withColumn("copies", F.lit(1).cast("bigint"))
+    return collapse(ids, key, share, salts).unionByName(alone)
 
 
 def members(ids: DataFrame, key: str = "symbol_id", share: float = 0.001, salts: int = SALTS) -> DataFrame:

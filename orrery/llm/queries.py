@@ -96,8 +96,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
-    w = relevance.term_weights(table(spark, d, "bm25_docs").filter("field = 'body'"))
-    return w.withColumn("score", F.round("score", 6))
+    """(id, field, term, tf, df, score) of every row; paths, symbols and bodies are collections of their own."""
+    return relevance.term_weights(table(spark, d, "bm25_docs"), collection=["field"]).withColumn("score", F.round("score", 6))
 
 
 @query

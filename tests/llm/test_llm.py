@@ -235,7 +235,10 @@ def test_copies(spark):
         got = {(r.first_id, r.copy_id): r.copies for r in copies.members(ids, share=share).collect()}
         assert {k for k in got if k[0] != k[1]} == {(2, 4), (2, 9), (7, 8), (1, 3), (11, 12)} and got[2, 4] == 3
         assert {r.first_id: r.copies for r in copies.collapse(ids, share=share).collect()} == {2: 3, 7: 2, 1: 2, 11: 2}
-    assert copies.members(copies.keyed(df.limit(0))).count() == 0
+        all_ = copies.keyed(df, all_rows=True)
+        assert {r.first_id: (r.name, r.copies) for r in copies.records(all_, share=share).collect()} == {
+            2: ("FOLD_basket", 3), 7: ("foldBasket", 2), 1: ("other", 2), 11: ("life", 2), 5: ("none", 1), 6: ("none", 1), 10: (None, 1)}
+    assert copies.members(copies.keyed(df.limit(0))).count() == 0 and copies.records(copies.keyed(df.limit(0), all_rows=True)).count() == 0
 
 
 def test_hot_copies_are_salted(spark):
