@@ -79,11 +79,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
-    """(first_id, name, signature, copies): one record for each definition with a signature."""
-    symbols = table(spark, d, "symbols")
-    records = copies.collapse(copies.keyed(symbols)).select("first_id", "copies")
-    texts = symbols.groupBy(F.col("symbol_id").alias("first_id")).agg(F.min(F.struct("name", "signature")).alias("s"))
-    return records.join(texts, "first_id").select("first_id", "s.name", "s.signature", "copies")
+    """(first_id, name, signature, copies): one record for each definition; one without a signature has no other copy."""
+    return copies.records(copies.keyed(table(spark, d, "symbols"), all_rows=True)).select("first_id", "name", "signature", "copies")
 
 
 @query

@@ -321,6 +321,11 @@ def test_mixing_plan():
     shares = mixing.normalised(sizes_)
     e = mixing.exponent_for_entropy(shares, 0.8)
     assert math.isclose(mixing.entropy(mixing.tempered(shares, e)), 0.8, abs_tol=1e-6)
+    budget, x, w = mixing.plan_entropy(sizes_, 0.8, {"a": 9, "b": 9, "c": 9}, 100)
+    assert math.isclose(x, e) and math.isclose(mixing.entropy(w), 0.8, abs_tol=1e-6) and budget == 100
+    budget, x, w = mixing.plan_entropy(sizes_, 1.0, repeats, 600)  # a limit binds before the entropy
+    assert e < x < 1 and math.isclose(max(budget * w[k] / (sizes_[k] * repeats[k]) for k in w), 1, rel_tol=1e-6)
+    assert mixing.plan_entropy({}, 1.0, repeats, 5) == (0.0, 0.0, {})
 
 
 def test_mixing_selection(spark):
@@ -336,12 +341,26 @@ def test_mixing_selection(spark):
         used[r.source] += (r.n or 0) * r.repeats
         assert r.repeats in ({1} if r.source == "a" else {2, 3})
     assert all(budgets[s] - 9 <= used[s] <= budgets[s] for s in budgets)
+    times = {r.id: r.repeats for r in got}
+    for s, whole in (("a", 0), ("b", 2)):  # nothing that could be used once more fits
+        assert budgets[s] - used[s] < min(n for i, x, n in rows if x == s and i is not None and n and times.get(i, 0) == whole)
     capped = mixing.select(df, "id", "source", "n", {"b": 1e9}, sizes_, {"b": 3}).collect()
     assert {r.repeats for r in capped} == {3}
     names = spark.createDataFrame([(" Commit-Log ",), ("CODE",), ("  ",), (None,)], "s string").select(mixing.normal_source(F.col("s")).alias("s")).collect()
     assert [r.s for r in names] == ["commit_log", "code", None, None]
 
 
+@pytest.mark.parametrize("block", [1, 64])
+def test_a_long_document_closes_no_permutation(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rows = [(i, "a", 5000) for i in range(20)] + [(100 + i, "a", 10 + i) for i in range(60)] + [(500, "b", 7)]
+    df = spark.createDataFrame(rows, "id int, source string, n int")
+    budgets = {"a": 2000.0, "b": 6.0}
+    got = mixing.select(df, "id", "source", "n", budgets, {"a": sum(n for _, s, n in rows if s == "a"), "b": 7}, {"a": 1, "b": 1}).collect()
+    left, used = {n for i, s, n in rows if s == "a"} - {r.n for r in got}, sum(r.n for r in got)
+    assert all(r.source == "a" and r.repeats == 1 for r in got) and used <= 2000 and 2000 - used < min(left)
+
+
 # 9
 
 SENTENCES = {
