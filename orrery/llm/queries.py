@@ -74,6 +74,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).filter("n_pieces > 1 and piece_no = 1").select("limit_name", "section_id")
 
 
+@query
+def p4_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of each section, without their overlaps, are its body, and all are within the limit."""
+    limits = table(spark, d, "size_limits").select("limit_name", "max_tokens")
+    core = F.substr("text", F.length("overlap") + 1)
+    parts = p4_pieces(spark, d).join(limits, "limit_name").groupBy("limit_name", "section_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", core.alias("core")))), lambda p: p.core), "").alias("_all"), F.max(F.col("tokens") - F.col("max_tokens")).alias("_over"))
+    bodies = table(spark, d, "sections").filter("section_id is not null").groupBy("section_id").agg(F.min("body").alias("body"))
+    return parts.join(bodies, "section_id").select("limit_name", "section_id", (F.col("_all") == F.col("body")).alias("whole"), (F.col("_over") <= 0).alias("within"))
+
+
 # 5: duplicates hidden by formatting differences
 
 
