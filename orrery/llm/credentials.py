@@ -1,9 +1,12 @@
 """Credentials embedded in source code: found and redacted without touching the code around them.
 
-The heads of all grammars (token formats, key armor, connection strings, named assignments, headers and flags) are one
-deterministic automaton. It runs over overlapping chunks of the joined texts; where a head ends, the grammar's full
-expression is matched on the line, giving absolute spans of values, which are deduplicated and judged: placeholders,
-masks, references, labels, hashes and ids are none. Redaction splices a placeholder into each span.
+The whole grammars of token formats, key armor and connection strings are one deterministic automaton (``grammars``),
+the words near which passwords stand another (``cues``). Both run over overlapping chunks of the joined texts. The first
+gives where a value begins and ends, whatever its length: a span is what lies between two accepts, and is checked
+against its exact format. What the automaton passed over because a match that came to nothing held it is searched by
+the same formats. The lines of cues are read by expressions for assignments, headers, flags and sentences. All absolute
+spans are deduplicated and judged: placeholders, masks, references, labels, hashes and ids are none. Redaction splices
+a placeholder into each span.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.automaton import Automaton
+from orrery.llm.automaton import Automaton, Grammar, width
 
 PLACEHOLDER = "[REDACTED]"
 #: Bytes of text scanned at once.
@@ -28,20 +31,27 @@ SLICE = 8 << 20
 # Published formats of tokens. (head, whole token)
 TOKENS = [
     (r"(?:AKIA|ASIA)", r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
-    (r"gh[pousr]_", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    (r"github_pat_", r"github_pat_[A-Za-z0-9_]{22,255}"),
-    (r"glpat-", r"glpat-[A-Za-z0-9_-]{20,64}"),
+    (r"gh[pousr]_", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    (r"github_pat_", r"github_pat_[A-Za-z0-9_]{22,}"),
+    (r"glpat-", r"glpat-[A-Za-z0-9_-]{20,}"),
     (r"xox[abeoprs]-", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
-    (r"[sr]k_(?:live|test)_", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,255}"),
+    (r"[sr]k_(?:live|test)_", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     (r"npm_", r"npm_[A-Za-z0-9]{36}"),
     (r"eyJ", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     (r"AIza", r"AIza[0-9A-Za-z_-]{35}"),
-    (r"SG\.", r"SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64}"),
-    (r"hf_", r"hf_[A-Za-z0-9]{30,64}"),
+    (r"SG\.", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    (r"hf_", r"hf_[A-Za-z0-9]{30,}"),
     (r"pypi-", r"pypi-[A-Za-z0-9_-]{50,}"),
     (r"dop_v1_", r"dop_v1_[a-f0-9]{64}"),
     (r"shp(?:at|ca|pa|ss)_", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
 ]
+
+
+def _plain(expression: str) -> str:
+    """Without marks that only tell the expression engine not to go back."""
+    return expression.replace("}+", "}")
+
+
 # Ends of names whose values are secret.
 SECRET_NAMES = ("password", "passwd", "passphrase", "passcode", "pwd", "pass", "secret", "token", "apikey", "accesskey", "secretkey", "privatekey",
                 "encryptionkey", "signingkey", "authkey", "masterkey", "sharedkey", "accountkey", "servicekey", "smtppw", "dbpw", "userpw", "rootpw", "adminpw", "credential", "cred", "apisecret")
@@ -50,23 +60,31 @@ NOT_SECRET_NAMES = ("bypass", "compass", "encompass", "surpass", "publictoken",
 # Words for a password in the languages of the texts.
 PASSWORD_WORDS = ("password", "passphrase", "passwort", "kennwort", "zugang", "contraseña", "contrasena", "clave", "mot de passe", "senha", "パスワード", "비밀번호", "암호")
 
-# All of a few bytes, so that chunks overlap by a bound; what has no bound is matched on the line.
-HEADS = [
-    ("token", "|".join([*(a for a, _ in TOKENS), "LS0tLS1CRUdJTiB"]), True),
-    ("armor", r"-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY", False),
-    ("url", "://", False),
-    ("named", "(?i:pass|pwd|pw|secret|token|key|cred)", False),
-    ("said", r"(?i:login[ \t]|bearer[ \t]|basic[ \t]|token[ \t])|-u[ \t]|--(?:user|auth|token|password|passwd|api-key|apikey|secret|access-token|auth-token|client-secret)[ =]", True),
-    ("mention", "(?i:" + "|".join(w.encode().decode("latin-1") for w in PASSWORD_WORDS) + ")", False),
-    ("joined", r"""[ \t"']\+[ \t"']""", False),
+_GAP = r"""[^ \t\r\n\f\v/"'<>]"""
+# A key block in base64.
+WRAPPED = ("LS0tLS1CRUdJTiB", r"LS0tLS1CRUdJTiB[A-Za-z0-9+/]{60,}={0,2}")
+GRAMMARS = [
+    *(Grammar(f"token {i}", head, _plain(whole[len(head):]), f"token {i} ends", exclusive=True) for i, (head, whole) in enumerate([*TOKENS, WRAPPED])),
+    # a user and a password before a host
+    Grammar("url", "//", r"""[^ \t\r\n\f\v:/?#\[\]@"'<>]*:""" + _GAP + "+@[A-Za-z0-9\\[$]", "url ends", exclusive=True),
+    Grammar("armor", "----BEGIN ", "(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", "armor ends", exclusive=True),
+]
+FORMATS = [re.compile(whole.encode()) for _, whole in [*TOKENS, WRAPPED]]
+HEAD_LENGTHS = [width(head) for head, _ in [*TOKENS, WRAPPED]]
+CUES = [
+    Grammar("named", "(?i:pass|pwd|pw|secret|token|key|cred)"),
+    Grammar("said", r"(?i:login[ \t]|bearer[ \t]|basic[ \t]|token[ \t])|-u[ \t]|--(?:user|auth|token|password|passwd|api-key|apikey|secret|access-token|auth-token|client-secret)[ =]", bounded=True),
+    Grammar("mention", "(?i:" + "|".join(w.encode().decode("latin-1") for w in PASSWORD_WORDS) + ")"),
+    Grammar("joined", r"""[ \t"']\+[ \t"']"""),
 ]
-BIT = {name: 1 << i for i, (name, _, _) in enumerate(HEADS)}
 
-TOKEN_RE = re.compile(r"(?<![A-Za-z0-9])(?P<v>" + "|".join(t for _, t in TOKENS) + r")(?![A-Za-z0-9])")
+#: Any format, for what the automaton passed over.
+LEFT_RE = re.compile(("(?<![A-Za-z0-9])(?:" + "|".join([*(t for _, t in TOKENS), WRAPPED[1]]) + ")(?![A-Za-z0-9])").encode())
+LEFT_URL_RE = re.compile(rb"""[A-Za-z0-9]://[^\s:/?#\[\]@"'<>]*+:(?P<v>[^\s/"'<>]+)@(?=[A-Za-z0-9\[$])""")
+SCHEME_RE = re.compile(rb"[A-Za-z0-9]:")
+ARMOR_BYTES_RE = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+STOP_RE = re.compile(rb"""[\s"'<>]""")
 ARMOR_RE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-# A key block in base64.
-WRAPPED_RE = re.compile(r"(?<![A-Za-z0-9])(?P<v>LS0tLS1CRUdJTiB[A-Za-z0-9+/]{60,}+={0,2})")
-URL_RE = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/?#\[\]@"'<>]*+:(?P<v>[^\s/"'<>]+)@(?=[A-Za-z0-9\[$])""")
 _NAME = r"(?<![\w$])(?P<k>(?=[\w$-]{0,63}(?i:pass|pwd|pw|secret|token|key|cred))[A-Za-z_$][\w$-]{0,63})"
 _QUOTED = r"""[bru]{0,2}(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])++)(?P=q)"""
 _TYPE = r"(?:\s*:\s*&?(?:'?static\s+)?[A-Za-z_][\w<>\[\], |.]{0,40}?|\s+(?:string|str|String))?"
@@ -94,6 +112,8 @@ HEADER_RE = re.compile(r"\b(?P<s>Bearer|Basic|Token|bearer|basic|token)\s+(?P<v>
 JOIN_RE = re.compile(r"""(["'])[ \t]*\+[ \t]*(["'])""")
 COMMENT_RE = re.compile(r"\s*(?:[-*>]\s+)?(?:#|//|;|--|/\*|\*|<!--)")
 KEY_RUN_RE = re.compile(r"[A-Za-z0-9+/=]{32,}")
+# A line that may stand between BEGIN and the body of a key: a header, or nothing but marks.
+HEADER_LINE_RE = re.compile(r"""[^\w\n]*(?:[A-Z][\w-]*: [^\n]*)?|[^\w\n]*n[^\w\n]*""")
 # A further line of a key's body, behind the rest of the one before; the line break may be an escape in a literal.
 KEY_LINE_RE = re.compile(r"""[ \t"'`,;+.()\\]*?(?:\\r)?(?:\\n|\r?\n)[ \t"'`+.()#*>|\n\r]*(?:// )?(?P<b>[A-Za-z0-9+/]+={0,2})(?![^\s"'`\\,;+)])""")
 TRAILING_RE = re.compile(r"(?:^|\s)(?:#|//|--|/\*|<!--)\s")
@@ -162,34 +182,28 @@ def _joined(line: str) -> tuple[str, list[int]]:
     return "".join(line[i] for i in at[:-1]), at.tolist()
 
 
-def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the usable credentials of a line, apart from key blocks. ``code``: bare values are none."""
+def line_values(line: str, cues: int, code: bool) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the usable credentials that the words of a line point to. ``code``: bare values are none."""
     at = None
-    if heads & BIT["joined"] and JOIN_RE.search(line):
+    if cues & BIT["joined"] and JOIN_RE.search(line):
         line, at = _joined(line)
-        heads |= BIT["token"]
     out = []
-    if heads & BIT["token"]:
-        out += [(*m.span("v"), "token") for m in TOKEN_RE.finditer(line) if not placeholder(m["v"])]
-        out += [(*m.span("v"), "key") for m in WRAPPED_RE.finditer(line) if ARMOR_RE.match(base64.b64decode(m["v"][:72]).decode("latin-1"))]
-    if heads & BIT["url"] and "@" in line:
-        out += [(*m.span("v"), "url") for m in URL_RE.finditer(line) if not placeholder(m["v"])]
-    if heads & BIT["named"] and NAMED_RE.search(line):
+    if cues & BIT["named"] and NAMED_RE.search(line):
         for expression in (QUOTED_RE, ENV_RE, XML_ATTRIBUTE_RE, XML_ELEMENT_RE, DEFAULT_RE):
             out += [(*m.span("v"), "named") for m in expression.finditer(line) if secret_name(m["k"]) and secret_value(m["v"], True)]
         if not code or COMMENT_RE.match(line):
             out += [(*m.span("v"), "named") for m in BARE_RE.finditer(line) if secret_name(m["k"]) and secret_value(m["v"], False)]
-    if heads & BIT["said"]:
+    if cues & BIT["said"]:
         out += [(*m.span("v"), "said") for r in SAID_RES for m in r.finditer(line) if not placeholder(m["v"])]
         known = "authorization" in line.lower()
-    if heads & BIT["mention"] and (not code or COMMENT_RE.match(line)):
+    if cues & BIT["mention"] and (not code or COMMENT_RE.match(line)):
         out += [(*m.span("v"), "said") for m in MENTION_RE.finditer(line) if not _runs_on(m["v"]) and not placeholder(m["v"]) and not re.fullmatch(r"[^\W\d_]?[^\WA-Z\d_]+[.!?]?", m["v"])]
-    if heads & BIT["mention"] and (from_ := 0 if not code or COMMENT_RE.match(line) else x.end() if (x := TRAILING_RE.search(line)) else None) is not None:
+    if cues & BIT["mention"] and (from_ := 0 if not code or COMMENT_RE.match(line) else x.end() if (x := TRAILING_RE.search(line)) else None) is not None:
         for m in MENTION_WITHIN_RE.finditer(line, from_):
             v = m["v"].rstrip(".,;:?)")
             if secret_value(v, False) and not METHOD_RE.match(v):
                 out.append((m.start("v"), m.start("v") + len(v), "said"))
-    if heads & BIT["said"]:
+    if cues & BIT["said"]:
         for m in HEADER_RE.finditer(line):
             if (m["s"] in ("Basic", "basic") and basic(m["v"])) or (m["s"][0] in "Bb" or known) and m["s"].lower() != "basic" and secret_value(m["v"], False):
                 out.append((*m.span("v"), "header"))
@@ -201,15 +215,15 @@ def line_values(line: str, heads: int, code: bool) -> list[tuple[int, int, str]]
 def _key_block(text: str, end: int) -> int | None:
     """Where the body of the key block that begins before ``end`` ends; None if it has no body.
 
-    A body has a long run of base64 near its start, behind at most a few header lines. It ends at its END, or without
-    one, as where the next block begins first, with its lines of base64.
+    A body has a long run of base64. Where an END follows before another block begins, the body reaches there. A block
+    without END has the run on its own line or behind header, comment and blank lines, and ends with its base64 lines.
     """
-    run = KEY_RUN_RE.search(text, end, end + 400)
-    if not run or "-----" in text[end : run.start()] or placeholder(run[0]):
+    stop = text.find("-----", end)
+    closed = stop >= 0 and text.startswith("-----END", stop)
+    run = KEY_RUN_RE.search(text, end, stop) if closed else _open_body(text, end, len(text) if stop < 0 else stop)
+    if not run or placeholder(run[0]):
         return None
-    run = KEY_RUN_RE.match(text, run.start())
-    stop = text.find("-----END", run.end())
-    if stop >= 0 and text.find("-----BEGIN", run.end(), stop) < 0:
+    if closed:
         return stop
     at = run.end()
     while more := KEY_LINE_RE.match(text, at):
@@ -222,52 +236,148 @@ def _key_block(text: str, end: int) -> int | None:
     return at
 
 
+def _open_body(text: str, at: int, stop: int) -> re.Match | None:
+    while at < stop:
+        line_end = min(stop, n if (n := text.find("\n", at)) >= 0 else stop)
+        if run := KEY_RUN_RE.search(text, at, line_end):
+            return run
+        if not HEADER_LINE_RE.fullmatch(text, at, line_end):
+            return None
+        at = line_end + 1
+    return None
+
+
 @cache
-def automaton() -> Automaton:
-    return Automaton(HEADS)
+def grammars() -> Automaton:
+    return Automaton(GRAMMARS)
 
 
-def find(texts: list[str], heads_of: Automaton | None = None) -> list[list[Credential]]:
+@cache
+def cues() -> Automaton:
+    return Automaton(CUES)
+
+
+BIT = {g.opens: 1 << i for i, g in enumerate(CUES)}
+
+
+def grammar_spans(data: np.ndarray, of: Automaton) -> tuple[list[tuple[int, int, str]], list[int]]:
+    """((start, end, kind) of the values of tokens, wrapped keys and connection strings; the ends of BEGIN lines), in bytes."""
+    ends, masks = of.scan(data)
+    if not len(ends):
+        return [], []
+    raw, spans, dead = data.tobytes(), set(), []
+    at = lambda name: ends[(masks & of.bit[name]) > 0]
+    for i, format_ in enumerate(FORMATS):
+        opens, closes = at(f"token {i}"), at(f"token {i} ends")
+        last = closes[np.append(np.diff(closes) > 1, True)] if len(closes) else closes
+        begin = np.searchsorted(opens, last, "right") - 1
+        length, used = HEAD_LENGTHS[i], set()
+        for j, e in zip(begin.tolist(), last.tolist()):
+            start = int(opens[j]) + 1 - length
+            if format_.fullmatch(raw, start, e + 1) and not raw[e + 1 : e + 2].isalnum():
+                spans.add((start, e + 1, "token" if i < len(TOKENS) else "key"))
+                used.add(j)
+        dead += [int(o) for j, o in enumerate(opens) if j not in used]
+    opens, closes = at("url"), at("url ends")
+    begin = np.searchsorted(opens, closes, "right") - 1
+    used = dict(zip(begin.tolist(), closes.tolist()))  # the last one of each
+    for j, e in used.items():
+        o = int(opens[j])
+        value = raw.find(b":", o + 1) + 1
+        if SCHEME_RE.match(raw, max(0, o - 2), o):
+            spans.add((value, e - 1, "url"))
+        else:
+            dead.append(o)
+    dead += [int(o) for j, o in enumerate(opens) if j not in used and not raw[o + 1 : o + 2].isspace()]
+    armor = [e + 1 for e in at("armor ends").tolist() if raw.startswith(b"-----", max(0, raw.rfind(b"----BEGIN ", 0, e) - 1))]
+    upto = -1
+    for o in sorted(dead):
+        if o < upto:
+            continue
+        stop = m.start() if (m := STOP_RE.search(raw, o + 1)) else len(raw)
+        upto = stop
+        spans.update((*m.span(), "key" if m[0].startswith(WRAPPED[0].encode()) else "token") for m in LEFT_RE.finditer(raw, o, stop))
+        spans.update((*m.span("v"), "url") for m in LEFT_URL_RE.finditer(raw, max(0, o - 3), min(len(raw), stop + 1)))
+        if raw.endswith(b"-----BEGIN", o, stop) and (m := ARMOR_BYTES_RE.match(raw, stop - 10)):
+            armor.append(m.end())
+    return sorted(spans), sorted(set(armor))
+
+
+def _usable(value: str, kind: str) -> bool:
+    if kind == "key":
+        return bool(ARMOR_RE.match(base64.b64decode(value[:72]).decode("latin-1")))
+    return not placeholder(value) and not (kind == "url" and re.search(r"\s", value))
+
+
+def find(texts: list[str], automata: tuple[Automaton, Automaton] | None = None) -> list[list[Credential]]:
     """The usable credentials of each text, in order and without overlaps."""
+    whole, words = automata or (grammars(), cues())
     blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(blobs), np.uint8)
-    ends, masks = (heads_of or automaton()).scan(data)
     out: list[list[Credential]] = [[] for _ in texts]
-    if not len(ends):
+    spans, armor = grammar_spans(data, whole)
+    ends, masks = words.scan(data)
+    if not (spans or armor or len(ends)):
         return out
     starts = np.concatenate(([0], np.cumsum([len(b) + 1 for b in blobs])))[:-1]
     breaks = np.concatenate(([-1], np.flatnonzero(data == 10), [len(data)]))
-    row = np.searchsorted(breaks, ends, "left") - 1
-    doc = np.searchsorted(starts, ends, "right") - 1
-    heads: dict[tuple[int, int], int] = {}
-    for m, r, d in zip(masks.tolist(), row.tolist(), doc.tolist()):
-        heads[d, r] = heads.get((d, r), 0) | m
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
+    doc_of = lambda at: int(np.searchsorted(starts, at, "right")) - 1
+    row_of = lambda at: int(np.searchsorted(breaks, at, "left")) - 1
+    first_row = np.searchsorted(breaks, starts, "left") - 1
+    # the first byte of a text may be a line break of its own
+    line_of = lambda row, d: row - int(first_row[d]) + 1
+
+    def add(begin: int, end: int, kind: str) -> None:
+        d = doc_of(begin)
+        value = data[begin:end].tobytes().decode("utf-8", "surrogatepass")
+        if _usable(value, kind):
+            out[d].append(Credential(int(chars[begin] - chars[starts[d]]), int(chars[end] - chars[starts[d]]), line_of(row_of(begin), d), kind))
+
+    for span in spans:
+        add(*span)
+    for end in armor:
+        d = doc_of(end - 1)
+        begin = int(chars[end] - chars[starts[d]])
+        if (stop := _key_block(texts[d], begin)) is not None:
+            out[d].append(Credential(begin, stop, line_of(row_of(end - 1), d), "key"))
+    lines: dict[tuple[int, int], int] = {}
+    for m, r, d in zip(masks.tolist(), (np.searchsorted(breaks, ends, "left") - 1).tolist(), (np.searchsorted(starts, ends, "right") - 1).tolist()):
+        lines[d, r] = lines.get((d, r), 0) | m
     fences: dict[int, list[tuple[int, str]]] = {}
-    last, upto, before = -1, 0, 0
-    for (d, r), mask in heads.items():
+    joins: list[tuple[int, int, int, str, list[int]]] = []
+    for (d, r), mask in lines.items():
         low, high = int(breaks[r]) + 1, int(breaks[r + 1])
-        line_no = r - int(np.searchsorted(breaks, starts[d], "left")) + 2
-        if d != last:
-            last, upto, before = d, int(starts[d]), 0
+        before, line_no = int(chars[low] - chars[starts[d]]), line_of(r, d)
+        if d not in fences:
             fences[d] = _fences(texts[d])
-        before, upto = before + len(data[upto:low].tobytes().decode("utf-8", "surrogatepass")), low
         code = _language(fences[d], line_no) in CODE
         line = data[low:high].tobytes().decode("utf-8", "surrogatepass")
-        got = {(before + x, before + y, k) for x, y, k in line_values(line, mask, code)}
+        out[d] += [Credential(before + x, before + y, line_no, k) for x, y, k in set(line_values(line, mask, code))]
         if mask & BIT["named"] and (m := OPEN_RE.search(line)) and secret_name(m["k"]):
             at = before + len(line) + 1
             below = NEXT_RE.match((texts[d][at:] if (stop := texts[d].find("\n", at)) < 0 else texts[d][at:stop]))
             if below and secret_value(below["v"], bool(below["q"])):
                 out[d].append(Credential(at + below.start("v"), at + below.end("v"), line_no + 1, "named"))
-        if mask & BIT["armor"]:
-            for x in ARMOR_RE.finditer(line):
-                stop = _key_block(texts[d], before + x.end())
-                if stop is not None:
-                    got.add((before + x.end(), stop, "key"))
-        out[d] += [Credential(x, y, line_no, k) for x, y, k in got]
+        if mask & BIT["joined"] and JOIN_RE.search(line):
+            joins.append((d, line_no, before, *_joined(line)))
+    if joins:
+        _add_joined(joins, whole, out)
     return [_disjoint(found) for found in out]
 
 
+def _add_joined(joins: list[tuple[int, int, int, str, list[int]]], whole: Automaton, out: list[list[Credential]]) -> None:
+    """Values of the lines whose concatenated literals have been joined, at the places that they have in their texts."""
+    blobs = [line.encode("utf-8", "surrogatepass") for _, _, _, line, _ in joins]
+    starts = np.concatenate(([0], np.cumsum([len(b) + 1 for b in blobs])))[:-1]
+    for begin, end, kind in grammar_spans(np.frombuffer(b"\n".join(blobs), np.uint8), whole)[0]:
+        i = int(np.searchsorted(starts, begin, "right")) - 1
+        d, line_no, before, _, places = joins[i]
+        a, b = (len(blobs[i][: x - int(starts[i])].decode("utf-8", "surrogatepass")) for x in (begin, end))
+        if _usable(blobs[i][begin - int(starts[i]) : end - int(starts[i])].decode("utf-8", "surrogatepass"), kind):
+            out[d].append(Credential(before + places[a], before + places[b - 1] + 1, line_no, kind))
+
+
 def _fences(text: str) -> list[tuple[int, str]]:
     """(line, language or "") of each fence line."""
     out, open_ = [], False
@@ -321,12 +431,12 @@ def credentials(texts: DataFrame, key: str, text: str) -> DataFrame:
     same row twice gives its credentials once, rows with a null key are read too. Other columns are ignored. The texts
     don't leave their partition.
     """
-    kind, heads_of = texts.schema[key].dataType, automaton()
+    kind, automata = texts.schema[key].dataType, (grammars(), cues())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, some in _slices(batch):
-                rows = [(k, c) for k, found in zip(keys, find(some, heads_of)) for c in found]
+                rows = [(k, c) for k, found in zip(keys, find(some, automata)) for c in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in rows], batch.schema.field(0).type), *(pa.array([f(c) for _, c in rows], t) for f, t in (
                         (lambda c: c.line, pa.int32()), (lambda c: c.start, pa.int32()), (lambda c: c.end - c.start, pa.int32()), (lambda c: c.kind, pa.string())))],
@@ -340,7 +450,7 @@ def redacted(texts: DataFrame, key: str, text: str, by: str = PLACEHOLDER) -> Da
 
     A repeated key counts once, with its smallest text; null keys are left out. Other columns are ignored.
     """
-    kind, heads_of = texts.schema[key].dataType, automaton()
+    kind, automata = texts.schema[key].dataType, (grammars(), cues())
     once = texts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +458,7 @@ def redacted(texts: DataFrame, key: str, text: str, by: str = PLACEHOLDER) -> Da
             null = batch.column(1).is_null().to_pylist()
             at = 0
             for keys, some in _slices(batch):
-                found = find(some, heads_of)
+                found = find(some, automata)
                 done = [None if null[at + i] else redact(t, f, by) for i, (t, f) in enumerate(zip(some, found))]
                 at += len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(done, pa.string()), pa.array([len(f) for f in found], pa.int32())], names=[key, text, "n_redacted"])

@@ -127,6 +127,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.credentials(spread(table(spark, d, "packs").select("pack_id", "content")), "pack_id", "content").select("pack_id", "line_no").distinct()
 
 
+#: Lines with a credential each: a token, a connection string, a signed token and a wrapped key, of any length.
+PLANTED = ("t = 'ghp_" + "a1B2" * 9 + "'", "dsn: postgres://svc:" + "Q7wz" * 75 + "@db.internal/x", "jwt=eyJ" + "hbG1" * 1250 + ".eyJ" + "c3V1" * 50 + "." + "Sg5k" * 20,
+           "tls: LS0tLS1CRUdJTiBQUklWQVRFIEtFWS0tLS0tCk" + "1JSUV2" * 900)
+
+
+@query
+def p3_planted(spark: SparkSession, d: str) -> DataFrame:
+    """(pack_id, line_no) of the credentials found in lines that were put behind each content."""
+    packs = spread(table(spark, d, "packs").filter("pack_id is not null and content is not null").select("pack_id", "content"))
+    planted = packs.select("pack_id", F.concat_ws("\n", "content", *map(F.lit, PLANTED)).alias("content"))
+    ends = packs.select("pack_id", F.size(F.split("content", "\n", -1)).alias("_n")).distinct()
+    found = credentials.credentials(planted, "pack_id", "content").join(ends, "pack_id").filter("line_no > _n")
+    return found.select("pack_id", "line_no").distinct()
+
+
 # 7: filling fixed-capacity containers
 
 

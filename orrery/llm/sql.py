@@ -66,6 +66,8 @@ UNION ALL SELECT symbol_id, name, signature, 1 FROM (SELECT DISTINCT symbol_id,
     "p5_found": _COPIES + "SELECT first_id, symbol_id AS copy_id FROM grouped WHERE symbol_id <> first_id",
     "p6_terms": _WEIGHTS + "SELECT id, field, term, tf, df, round(score, 6) AS score FROM w",
     "p6_found": _WEIGHTS + "SELECT id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, term) AS k FROM w WHERE field = 'body') WHERE k = 1",
+    # four lines behind each content, each with a credential
+    "p3_planted": "SELECT DISTINCT pack_id, (len(string_split(content, chr(10))) + k)::INT AS line_no FROM packs, (VALUES (1), (2), (3), (4)) t(k) WHERE pack_id IS NOT NULL AND content IS NOT NULL",
     # what must hold of every section
     "p4_check": "SELECT limit_name, section_id, true AS whole, true AS within FROM (SELECT DISTINCT section_id FROM sections WHERE body IS NOT NULL), size_limits WHERE applies_to = 'sections'",
     # what must hold of every source, whatever the tokens are

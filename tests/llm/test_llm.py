@@ -116,11 +116,11 @@ def test_runs_merge_over_batches():
 
 def test_automaton_agrees_with_re():
     grammars = [("a", r"ab?c[0-9]{2}", True), ("b", r"(?i:key)[^\n=]*=", False), ("c", r"(?:xy|z)+q", False)]
-    a = automaton.Automaton(grammars)
+    a = automaton.Automaton([automaton.Grammar(str(k), p, bounded=b) for k, (_, p, b) in enumerate(grammars)])
     rnd = random.Random(1)
-    for chunk in (7, 64):
+    for chunk, overlap in ((7, 901), (64, 901), (7, 3), (64, 5)):
         text = "".join(rnd.choice("abc12 KEYkey=\nxyzq") for _ in range(900))
-        ends, masks = a.scan(text.encode(), chunk=chunk, overlap=901)
+        ends, masks = a.scan(text.encode(), chunk=chunk, overlap=overlap)
         got = {(int(e), k) for e, m in zip(ends, masks) for k in range(3) if m >> k & 1}
         want = set()
         for k, (_, p, bounded) in enumerate(grammars):
@@ -133,6 +133,18 @@ def test_automaton_agrees_with_re():
     assert len(a.scan(b"")[0]) == 0
 
 
+def test_automaton_heads_rests_and_exclusive_grammars():
+    a = automaton.Automaton([automaton.Grammar("k", "key_", "[a-z_]{3,}", "k ends", exclusive=True), automaton.Grammar("u", "//", "[a-z_]*:[a-z]+@", "u ends", exclusive=True)])
+    names = {v: k for k, v in a.bit.items()}
+    for chunk, overlap in ((5, 2), (2048, 320)):
+        events = lambda t: [(int(e), names[int(m)]) for e, m in zip(*a.scan(t.encode(), chunk=chunk, overlap=overlap))]
+        assert events(" key_abcd.") == [(4, "k"), (7, "k ends"), (8, "k ends")]
+        assert events("akey_abc") == [] and events("key_ab key_abc") == [(3, "k"), (10, "k"), (13, "k ends")]
+        assert events("key_key_abc")[0] == (3, "k") and [e for e in events("key_key_abc") if e[1] == "k"] == [(3, "k")]
+        assert events("http://key_abc:pw@h") == [(6, "u"), (17, "u ends")]
+        assert events("x " * 40 + "://" + "u" * 99 + ":" + "p" * 3000 + "@") == [(82, "u"), (82 + 99 + 1 + 3000 + 1, "u ends")]
+
+
 def secret(rnd, n, chars=string.ascii_letters + string.digits):
     while True:
         v = "".join(rnd.choice(chars) for _ in range(n))
@@ -497,3 +509,50 @@ def test_credentials_are_found_wherever_a_chunk_begins():
         assert want == 1
         for before in range(1200, 2100, 50):
             assert len(credentials.find(["a" * before, line])[1]) == want
+
+
+def test_grammar_spans_agree_with_the_formats():
+    """Fragments of tokens in any order: the automaton and what it leaves give what the formats find."""
+    def merged(spans):
+        out = []
+        for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+    bits = ["eyJ", "-", "_", ".", "ghp_", "glpat-", "sk_live_", "AKIA", "npm_", "SG.", "hf_", "xoxb-", "://", "//", ":", "@", "/", " ", "\n", '"', "http", "u", "LS0tLS1CRUdJTiB", "dop_v1_", "pypi-", "github_pat_"]
+    for seed in range(400):
+        r = random.Random(seed)
+        t = "".join(r.choice(bits) if r.random() < 0.7 else "".join(r.choice(string.ascii_letters + "0123456789") for _ in range(r.choice([3, 8, 16, 22, 36, 64]))) for _ in range(r.randint(2, 25))).encode()
+        got, _ = credentials.grammar_spans(np.frombuffer(t, np.uint8), credentials.grammars())
+        assert merged({s[:2] for s in got}) == merged({m.span() for m in credentials.LEFT_RE.finditer(t)} | {m.span("v") for m in credentials.LEFT_URL_RE.finditer(t)}), t
+
+
+def test_values_of_any_length_at_any_offset():
+    rnd = random.Random(3)
+    body = lambda n: "\n".join("".join(rnd.choice(string.ascii_letters + "0123456789+/") for _ in range(64)) for _ in range(n // 65))
+    for n in (257, 4097, 100_000):
+        v = secret(rnd, n)
+        for line in (f"password = '{v}'", f"u: https://svc:{v}@db.example/x", f"jwt=eyJ{v}.{v[:40]}.{v[:40]}", f"t: ghp_{v}"):
+            want = line.index("eyJ" if "eyJ" in line[:7] else "ghp_" if "ghp_" in line[:7] else v)
+            for before in (0, 1, 700, 2047, 5000):
+                text = "b " * before + line
+                (c,) = credentials.find([text])[0]
+                assert c.start == 2 * before + want and (c.end - c.start >= n)
+    for header in ("", "Proc-Type: 4,ENCRYPTED\nComment: " + "x " * 400 + "\n\n"):
+        key = f"-----BEGIN RSA PRIVATE KEY-----\n{header}{body(200_000)}\n-----END RSA PRIVATE KEY-----"
+        for before in (0, 1999, 2040):
+            text = "é" * before + "\n" + key + "\nafter"
+            (c,) = credentials.find([text])[0]
+            assert c.line == 2 and credentials.redact(text, [c]) == "é" * before + "\n-----BEGIN RSA PRIVATE KEY-----[REDACTED]-----END RSA PRIVATE KEY-----\nafter"
+
+
+def test_tokens_within_what_comes_to_nothing():
+    t = "ghp_" + "a1B2" * 9
+    for line in (f"https://{t}@github.com/x", f"eyJ-{t} x", f"//{t}", f"glpat-{t}.", f"//h:6379;token={t}"):
+        (c,) = credentials.find([line])[0]
+        assert t in line[c.start : c.end]
+    (c,) = credentials.find(["eyJ_-----BEGIN PRIVATE KEY-----\n" + "Ab3+" * 16])[0]
+    assert c.kind == "key"
