@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions.text import units_to_tokens
+from orrery.operators.skew import cut, few_bytes
 
-ITEM = "array<struct<rank bigint, other bigint, cjk bigint, included boolean>>"
+#: Blocks of a group that are folded at once.
+STRETCH = 4096
 
 
 def prefix_cut(blocks: DataFrame, group: Sequence[str], budget: int, header: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -32,21 +34,33 @@ def prefix_cut(blocks: DataFrame, group: Sequence[str], budget: int, header: tup
 def greedy_fit(blocks: DataFrame, group: Sequence[str], budget: int, header: tuple[int, int] = (0, 0), reserve: int = 0) -> DataFrame:
     """(group, rank, included): in rank order, each block that still fits is taken and one that doesn't is skipped.
 
-    Only (rank, other, cjk) of the blocks that would fit alone meet in one row, never texts. Once ``budget`` blocks of
-    a token each could be taken nothing fits any more, but skipped blocks take no room, so no rank is dropped.
+    The room left only shrinks, so what is larger than it never fits any more. Each round folds the first ``STRETCH``
+    blocks of a group that still fit alone, and what is left of the others goes to the next round; the first block of
+    a round is always taken, and mostly nothing is left after one or two. A row holds (rank, other, cjk) of at most
+    ``STRETCH`` blocks, never texts, and carries two numbers and the ranks taken. Group keys must not be null.
     """
-    item = F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("other").cast("bigint").alias("other"), F.col("cjk").cast("bigint").alias("cjk"))
-    fits_alone = blocks.filter(units_to_tokens(F.col("other") + header[0], F.col("cjk") + header[1]) + reserve <= budget)
-    listed = fits_alone.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    zero = F.struct(F.lit(header[0]).cast("bigint").alias("other"), F.lit(header[1]).cast("bigint").alias("cjk"), F.array().cast(ITEM).alias("out"))
+    keys = list(group)
+    fits = lambda o, c: units_to_tokens(o, c) + reserve <= budget
+    sized = blocks.select(*keys, *[F.col(c).cast("bigint").alias(c) for c in ("rank", "other", "cjk")], F.lit(header[0]).cast("bigint").alias("_o"), F.lit(header[1]).cast("bigint").alias("_c"))
+    rest = cut(sized.filter(fits(F.col("other") + F.col("_o"), F.col("cjk") + F.col("_c"))))
+    item, zero = F.struct("rank", "other", "cjk"), lambda: F.struct(F.first("_o").alias("other"), F.first("_c").alias("cjk"), F.array().cast("array<bigint>").alias("taken"))
 
     def step(a: Column, x: Column) -> Column:
-        fits = (units_to_tokens(a.other + x.other, a.cjk + x.cjk) + reserve) <= budget
-        one = F.array(F.struct(x.rank, x.other, x.cjk, fits.alias("included"))).cast(ITEM)
-        return F.struct(F.when(fits, a.other + x.other).otherwise(a.other).alias("other"), F.when(fits, a.cjk + x.cjk).otherwise(a.cjk).alias("cjk"), F.concat(a.out, one).alias("out"))
-
-    folded = listed.select(*group, F.explode(F.aggregate("_i", zero, step, lambda a: a.out)).alias("_o")).select(*group, "_o.rank", "_o.included")
-    return blocks.select(*group, "rank").join(folded, [*group, "rank"], "left").select(*group, "rank", F.coalesce("included", F.lit(False)).alias("included"))
+        ok = fits(a.other + x.other, a.cjk + x.cjk)
+        return F.struct(F.when(ok, a.other + x.other).otherwise(a.other).alias("other"), F.when(ok, a.cjk + x.cjk).otherwise(a.cjk).alias("cjk"), F.when(ok, F.concat(a.taken, F.array(x["rank"]))).otherwise(a.taken).alias("taken"))
+
+    taken = None
+    while not rest.isEmpty():
+        near = rest.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).filter(F.col("_n") <= STRETCH)
+        listed = near.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_i"), zero().alias("_z"), F.max("rank").alias("_last"))
+        done = cut(listed.select(*keys, "_last", F.aggregate("_i", F.col("_z"), step).alias("_s")).select(*keys, "_last", F.col("_s.other").alias("_o"), F.col("_s.cjk").alias("_c"), "_s.taken"))
+        some = done.select(*keys, F.explode("taken").alias("rank"))
+        taken = some if taken is None else taken.unionByName(some)
+        left = done.select(*keys, "_last", "_o", "_c")
+        later = rest.drop("_o", "_c").join(F.broadcast(left) if few_bytes(left) else left, keys)
+        rest = cut(later.filter((F.col("rank") > F.col("_last")) & fits(F.col("other") + F.col("_o"), F.col("cjk") + F.col("_c"))).drop("_last"))
+    taken = sized.select(*keys, "rank").limit(0) if taken is None else taken
+    return blocks.select(*keys, "rank").join(taken.withColumn("included", F.lit(True)), [*keys, "rank"], "left").select(*keys, "rank", F.coalesce("included", F.lit(False)).alias("included"))
 
 
 def seeded_fit(blocks: DataFrame, group: Sequence[str], budget: int, header: tuple[int, int] = (0, 0), reserve: int = 0) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.text import basename, dirname
 from orrery.operators.rank import top
 
 MIN_FILES, MOST_MODULES = 3, 8
-# Folders whose subfolders are the modules.
+# Files that say how to build and test, and folders whose subfolders are the modules.
+MANIFESTS = ("package.json", "pytest.ini", "setup.cfg", "pyproject.toml", "Cargo.toml", "go.mod", "Makefile")
 CONTAINERS = ("services", "apps", "packages", "crates", "src", "lib")
 
 
@@ -29,6 +30,18 @@ def modules(files: DataFrame, group: Sequence[str] = (), path: str = "rel", cont
     return first.select(*group, "module", F.concat("_b._dir", F.lit("/**")).alias("glob"), F.col("_b.score").alias("n_files"))
 
 
+def folder_of(path: Column) -> Column:
+    return dirname(path)
+
+
+def folders(sources: DataFrame, path: str = "rel", containers: Sequence[str] = CONTAINERS) -> DataFrame:
+    """(dir) where manifests count: the root, the folders in it that hold sources, and such subfolders of a container."""
+    parts = F.split(F.col(path), "/")
+    two = F.when((F.size(parts) > 2) & parts[0].isin(*containers), F.concat_ws("/", parts[0], parts[1]))
+    listed = F.filter(F.array(F.lit("."), F.when(F.size(parts) > 1, parts[0]), two), lambda d: d.isNotNull())
+    return sources.select(F.explode(listed).alias("dir")).distinct()
+
+
 def commands(files: DataFrame, path: str = "rel", text: str = "text") -> DataFrame:
     """(dir, label, command, detail): how to build and test, by the manifests next to each other.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cells(profiles: list[str], tasks: DataFrame, items: DataFrame) -> DataFrame:
@@ -19,6 +20,19 @@ def cells(profiles: list[str], tasks: DataFrame, items: DataFrame) -> DataFrame:
     return joined.select("profile", "id", scored(F.col("_o")).alias("outline_hit"), scored(F.col("_c")).alias("content_hit"))
 
 
+def headings(lines: DataFrame, section: str, mark: str) -> DataFrame:
+    """(profile, rel): what the headings of level ``mark`` name within the section called ``section`` of a pack.
+
+    ``lines`` holds (profile, n, line) of documents. A section of a pack is a ``## `` heading that is no path, up to the
+    next such heading; the sections are few, so their bounds meet the lines by broadcast.
+    """
+    titles = ("Project Rules (AGENTS.md)", "Project Rules (summary)", "Repository Map", "Target Files", "Rule Reminder")
+    tops = lines.filter(F.col("line").isin(*[f"## {t}" for t in titles])).select("profile", F.col("n").alias("_at"), (F.col("line") == f"## {section}").alias("_on"))
+    bounds = tops.withColumn("_to", F.lead("_at", 1, 1 << 30).over(Window.partitionBy("profile").orderBy("_at"))).filter("_on")
+    named = lines.filter(F.col("line").startswith(mark)).join(F.broadcast(bounds), "profile").filter((F.col("n") > F.col("_at")) & (F.col("n") < F.col("_to")))
+    return named.select("profile", F.rtrim(F.substring("line", len(mark) + 1, 1 << 30)).alias("rel")).distinct()
+
+
 def rates(cells_: DataFrame) -> DataFrame:
     """(profile, n, outline_rate, content_rate) over the scored cells; 0 where none is."""
     rate = lambda c: F.coalesce(F.sum(F.col(c).cast("double")) / F.nullif(F.count(c), F.lit(0)), F.lit(0.0))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.glob import matches
@@ -22,22 +21,27 @@ SECRETS = (
 
 
 def duplicates(symbols: DataFrame, group: Sequence[str] = (), path: str = "rel") -> DataFrame:
-    """(group, name, files ARRAY sorted, n_files): names defined with one signature in two or more files.
+    """(group, name, path): the files of each name that is defined with one signature in two or more files.
 
     Test files, nested definitions, names under four characters or between double underscores, and definitions without
-    a signature are left out; signatures are compared without white space, and groups of one name are joined.
+    a signature are left out; signatures are compared without white space, and groups of one name are joined. A row per
+    file, so a name of any number of files stays spread; ``duplicate_names`` counts them.
     """
     sig = F.regexp_replace(F.coalesce("signature", F.lit("")), r"\s+", "")
     rows = symbols.filter(~is_test_path(F.col(path)) & F.col("top_level") & (F.length("name") >= 4) & ~F.col("name").rlike(r"^__.+__\z")).withColumn("_sig", sig).filter("_sig <> ''")
     by_file = rows.groupBy(*group, "name", "_sig", path).agg(F.count(F.lit(1)).alias("_n"))
     counts = by_file.groupBy(*group, "name", "_sig").agg(F.count(F.lit(1)).alias("_files")).filter("_files >= 2")
-    hit = by_file.join(counts, [*group, "name", "_sig"], "left_semi").select(*group, "name", path).distinct()
-    return hit.groupBy(*group, "name").agg(F.array_sort(F.collect_set(path)).alias("files"), F.count(F.lit(1)).alias("n_files"))
+    return by_file.join(counts, [*group, "name", "_sig"], "left_semi").select(*group, "name", path).distinct()
+
+
+def duplicate_names(found: DataFrame, group: Sequence[str] = (), path: str = "rel") -> DataFrame:
+    """(group, name, n_files, first): a row per name of ``duplicates``, with the first of its files by path."""
+    return found.groupBy(*group, "name").agg(F.count(F.lit(1)).alias("n_files"), F.min(path).alias("first"))
 
 
 def referenced(counts: DataFrame, symbols: DataFrame, group: Sequence[str], file: str) -> DataFrame:
     """(group, file) of the files with a symbol of four or more characters that another file names."""
-    return references(counts, symbols, group, file, cap=None, generic=True).select(*group, file).distinct()
+    return references(counts, symbols, group, file, cap=None, generic=True).select(*group, file)
 
 
 def is_entry_point(path: Column) -> Column:
@@ -59,6 +63,14 @@ def uncovered(files: DataFrame, modules: Mapping[str, Sequence[str]], path: str
     return files.filter(~matches(F.col(path), [g for globs in modules.values() for g in globs]) & F.lit(bool(modules)) & F.col(path).isNotNull())
 
 
+def module_counts(files: DataFrame, modules: Mapping[str, Sequence[str]], path: str = "rel") -> DataFrame:
+    """(module, n_files BIGINT): the files that each module's globs match, counted in one scan; no modules, no rows."""
+    if not modules:
+        return files.select(F.lit("").alias("module"), F.lit(0).cast("bigint").alias("n_files")).limit(0)
+    sums = files.agg(*[F.coalesce(F.sum(F.coalesce(matches(F.col(path), globs), F.lit(False)).cast("bigint")), F.lit(0)).alias(f"_{i}") for i, globs in enumerate(modules.values())])
+    return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, modules)), F.array(*[f"_{i}" for i in range(len(modules))]))).alias("module", "n_files"))
+
+
 def only_in(symbols: DataFrame, name: str, allowed: Sequence[str], path: str = "rel") -> DataFrame:
     """Definitions of ``name`` outside the allowed globs."""
     return symbols.filter((F.col("name") == name) & ~matches(F.col(path), allowed))
@@ -75,8 +87,6 @@ def must_not_import(found: DataFrame, from_: Sequence[str], denied: Sequence[str
 
 def line_hits(files: DataFrame, keys: Sequence[str], patterns: Sequence[str], text: str = "text") -> DataFrame:
     """(keys, line INT) of the lines that one of the patterns is found in; lines stay in their row until they hit."""
-    for p in patterns:
-        re.compile(p)
     hits = F.filter(F.transform(lines(F.col(text)), lambda l, i: F.when(_any(l, patterns), (i + 1).cast("int"))), lambda n: n.isNotNull())
     return files.select(*keys, F.explode(hits).alias("line"))
 
@@ -88,8 +98,17 @@ def _any(line: Column, patterns: Sequence[str]) -> Column:
     return hit
 
 
+def valid_pattern(spark: SparkSession, pattern: str) -> str | None:
+    """What the engine that will run the pattern says against it; None if it takes it."""
+    try:
+        spark.range(1).select(F.lit("").rlike(pattern)).collect()
+    except Exception as x:
+        return next((line for line in str(x).splitlines() if line.strip()), type(x).__name__)
+    return None
+
+
 def forbid_pattern(files: DataFrame, keys: Sequence[str], pattern: str, in_: Sequence[str], path: str = "rel", text: str = "text") -> DataFrame:
-    """(keys, line) where the pattern stands in a file under ``in_``. An invalid pattern is an ``re.error``."""
+    """(keys, line) where the pattern stands in a file under ``in_``. Test patterns by ``valid_pattern`` first."""
     return line_hits(files.filter(matches(F.col(path), in_)), keys, [pattern], text)
 
 
@@ -103,6 +122,11 @@ def long_texts(files: DataFrame, keys: Sequence[str], most: int = 150, text: str
     return files.select(*keys, F.size(lines(F.col(text))).cast("bigint").alias("n_lines")).filter(F.col("n_lines") > most)
 
 
+def first_newer(items: DataFrame, path: str, changed: str, built_at) -> str | None:
+    """The first path, in order, of the items changed after ``built_at``; None if there is none."""
+    return items.filter(F.col(changed) > F.lit(built_at)).agg(F.min(path)).first()[0]
+
+
 def stale(items: DataFrame, built: DataFrame, keys: Sequence[str], changed: str, built_at: str) -> DataFrame:
     """(keys) whose newest change is later than they were built. ``built`` holds (keys, built_at)."""
     newest = items.groupBy(*keys).agg(F.max(changed).alias("_changed"))

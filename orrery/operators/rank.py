@@ -1,15 +1,16 @@
 """Ranking files by references to their symbols from other files, with further signals on top.
 
-The whole-word test of every symbol against every other file becomes an equi-join: each text is exploded once into its
-distinct words with counts, and names meet words on (group, word). Names outside ``[A-Za-z0-9_]`` can't be words and
-take a literal search of their own (``odd_references``).
+Each text is exploded once into its distinct words with counts. What the other files of a group say of a name is the
+group's total less what the file says itself, so a name meets its total and its own count, both many-to-one, and no
+pair of a defining and a naming file is ever formed. Names outside ``[A-Za-z0-9_]`` can't be words; they are counted in
+the texts that have their longest word (``odd_counts``), and then are words like the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,49 +27,57 @@ def word_counts(files: DataFrame, keys: Sequence[str], text: str = "text") -> Da
     return files.select(*keys, F.explode(words(F.col(text))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+WORD = r"^[A-Za-z0-9_]+\z"
+
+
 def _named(symbols: DataFrame, group: Sequence[str], file: str, generic: bool) -> DataFrame:
     rows = symbols.filter(F.length("name") >= 4) if generic else symbols.filter(~is_generic_name(F.col("name")))
-    return rows.groupBy(*group, file, "name").agg(F.count(F.lit(1)).alias("_times"))
+    return rows.groupBy(*group, file, F.col("name").alias("word")).agg(F.count(F.lit(1)).alias("_times"))
 
 
-def references(counts: DataFrame, symbols: DataFrame, group: Sequence[str], file: str, cap: int | None = COUNT_CAP, generic: bool = False) -> DataFrame:
-    """(group, file, from_file, name, n): words of other files of the group that name a symbol of ``file``.
+def odd_counts(files: DataFrame, symbols: DataFrame, counts: DataFrame, group: Sequence[str], file: str, text: str = "text") -> DataFrame:
+    """(group, file, word, n) of the names of the group with characters outside words (``$``, ``?``, ``!``).
 
-    A symbol defined several times in a file counts as often; each file's count of a name is at most ``cap``. Only
-    words that are a symbol's name leave their task: the names of the group cut the word table by a semi-join first.
+    A boundary is needed at each end: where the name's end isn't a word character, one must follow it. So the words of a
+    name are whole words of the text, and only texts with its longest one are searched, each once for all its names. A
+    name without any word must be a whole run of marks between two word characters.
     """
-    names = _named(symbols, group, file, generic).filter(F.col("name").rlike(r"^[A-Za-z0-9_]+\z"))
-    known = names.select(*group, F.col("name").alias("word")).distinct()
-    seen = counts.join(known, [*group, "word"], "left_semi").select(*group, F.col(file).alias("from_file"), F.col("word").alias("name"), "n")
-    n = F.col("n") if cap is None else F.least(F.col("n"), F.lit(cap))
-    both = names.join(seen, [*group, "name"]).filter(F.col(file) != F.col("from_file"))
-    return both.select(*group, file, "from_file", "name", (n * F.col("_times")).alias("n"))
+    keys = [*group, file]
+    names = symbols.filter((F.length("name") >= 4) & ~F.col("name").rlike(WORD)).select(*group, "name").distinct()
+    inner = F.array_sort(F.regexp_extract_all("name", F.lit("([A-Za-z0-9_]+)"), F.lit(1)), lambda a, b: F.length(b) - F.length(a))
+    keyed = names.withColumn("word", F.get(inner, 0))
+    asked = counts.join(keyed.filter("word is not null"), [*group, "word"]).groupBy(*keys).agg(F.collect_set("name").alias("_names"))
+    word = lambda c: c.rlike("^[A-Za-z0-9_]")
+    edge = lambda c, at: F.when(word(c), F.lit(f"(?{at}![A-Za-z0-9_])")).otherwise(F.lit(f"(?{at}=[A-Za-z0-9_])"))
+    pattern = lambda n: F.concat(edge(F.substring(n, 1, 1), "<"), F.lit(r"\Q"), n, F.lit(r"\E"), edge(F.substring(n, -1, 1), ""))
+    found = F.filter(F.transform("_names", lambda n: F.struct(n.alias("word"), F.regexp_count(F.col(text), pattern(n)).cast("bigint").alias("n"))), lambda x: x.n > 0)
+    some = files.select(*keys, text).join(asked, keys).select(*keys, F.explode(found).alias("_x")).select(*keys, "_x.word", "_x.n")
+    marks = files.select(*keys, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=[A-Za-z0-9_])([^A-Za-z0-9_\s]{4,})(?=[A-Za-z0-9_])"), F.lit(1))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    return some.unionByName(marks.join(keyed.filter("word is null").select(*group, F.col("name").alias("word")), [*group, "word"], "left_semi"))
 
 
-def odd_references(files: DataFrame, symbols: DataFrame, group: Sequence[str], file: str, text: str = "text", cap: int = COUNT_CAP) -> DataFrame:
-    """``references`` for names with characters outside words (``$``, ``?``, ``!``): few, and only their files pay.
+def references(counts: DataFrame, symbols: DataFrame, group: Sequence[str], file: str, cap: int | None = COUNT_CAP, generic: bool = False) -> DataFrame:
+    """(group, file, n > 0): how often the other files of the group name the symbols of ``file``.
 
-    A boundary is needed at each end: where the name's end isn't a word character, one must follow it.
+    A symbol defined several times in a file counts as often; each other file counts a name at most ``cap`` times.
+    ``counts`` holds (group, file, word, n), one row per file and word. A word's total is one row per group and word,
+    combined before its shuffle; a name that many files define meets it in a join whose skewed side is split at run time.
     """
-    names = _named(symbols, group, file, False).filter(~F.col("name").rlike(r"^[A-Za-z0-9_]+\z"))
-    texts = files.select(*group, F.col(file).alias("from_file"), F.col(text).alias("_text"))
-    both = names.join(texts, list(group)).filter((F.col(file) != F.col("from_file")) & F.contains("_text", "name"))
-    word = lambda c: c.rlike("^[A-Za-z0-9_]")
-    edge = lambda c, at: F.when(word(c), F.lit(f"(?{at}![A-Za-z0-9_])")).otherwise(F.lit(f"(?{at}=[A-Za-z0-9_])"))
-    pattern = F.concat(edge(F.substring("name", 1, 1), "<"), F.lit(r"\Q"), F.col("name"), F.lit(r"\E"), edge(F.substring("name", -1, 1), ""))
-    n = F.least(F.regexp_count("_text", pattern), F.lit(cap)) * F.col("_times")
-    return both.select(*group, file, "from_file", "name", n.alias("n")).filter("n > 0")
+    names = _named(symbols, group, file, generic)
+    known = names.select(*group, "word").distinct()
+    seen = counts.join(known, [*group, "word"], "left_semi").withColumn("n", F.col("n") if cap is None else F.least(F.col("n"), F.lit(cap)))
+    total = seen.groupBy(*group, "word").agg(F.sum("n").alias("_all"))
+    both = names.join(seen, [*group, file, "word"], "left").join(total, [*group, "word"])
+    others = both.groupBy(*group, file).agg(F.sum((F.col("_all") - F.coalesce("n", F.lit(0))) * F.col("_times")).cast("bigint").alias("n"))
+    return others.filter("n > 0")
 
 
-def reference_scores(files: DataFrame, symbols: DataFrame, counts: DataFrame, group: Sequence[str], file: str, odd: DataFrame | None = None) -> DataFrame:
+def reference_scores(files: DataFrame, symbols: DataFrame, counts: DataFrame, group: Sequence[str], file: str) -> DataFrame:
     """(group, file, reference): capped counts from other files plus half a point for each of up to ten symbols."""
-    refs = references(counts, symbols, group, file)
-    if odd is not None:
-        refs = refs.unionByName(odd)
-    got = refs.groupBy(*group, file).agg(F.sum("n").alias("_refs"))
-    own = symbols.groupBy(*group, file).agg(F.count(F.lit(1)).alias("_own"))
-    score = F.coalesce(F.col("_refs"), F.lit(0)).cast("double") + F.least(F.coalesce(F.col("_own"), F.lit(0)), F.lit(SELF_CAP)) * F.lit(SELF_WEIGHT)
     keys = [*group, file]
+    got = references(counts, symbols, group, file).withColumnRenamed("n", "_refs")
+    own = symbols.groupBy(*keys).agg(F.count(F.lit(1)).alias("_own"))
+    score = F.coalesce(F.col("_refs"), F.lit(0)).cast("double") + F.least(F.coalesce(F.col("_own"), F.lit(0)), F.lit(SELF_CAP)) * F.lit(SELF_WEIGHT)
     return files.select(*keys).distinct().join(own, keys, "left").join(got, keys, "left").select(*keys, score.alias("reference"))
 
 
@@ -103,20 +112,31 @@ def scored(reference: DataFrame, group: Sequence[str], file: str, path: str, sco
     return out.select(*keys, path, ((F.col("reference") + F.col("scorers")) * F.col("demotion")).alias("score"), "reference", "scorers", "demotion") if path not in keys else out.select(*keys, ((F.col("reference") + F.col("scorers")) * F.col("demotion")).alias("score"), "reference", "scorers", "demotion")
 
 
-def ranked(scores: DataFrame, group: Sequence[str], tie: str) -> DataFrame:
+def by_path(path: str | Column, *more: str | Column) -> list[Column]:
+    """Order of ties: paths as a person sorts them (Unicode's collation), nulls first, then ``more``."""
+    col = F.col(path) if isinstance(path, str) else path
+    return [F.collate(col, "UNICODE").asc_nulls_first(), *[F.col(c) if isinstance(c, str) else c for c in more]]
+
+
+def _ties(tie: str | Sequence[str | Column]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in ([tie] if isinstance(tie, str) else tie)]
+
+
+def ranked(scores: DataFrame, group: Sequence[str], tie: str | Sequence[str | Column]) -> DataFrame:
     """Add ``rank`` from 1 by score descending, then ``tie``; groups of any size are spread over tasks."""
-    return running_total(scores, list(group), [F.col("score").desc(), F.col(tie)], F.lit(1), "rank").withColumn("rank", F.col("rank").cast("bigint"))
+    return running_total(scores, list(group), [F.col("score").desc(), *_ties(tie)], F.lit(1), "rank").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def top(scores: DataFrame, group: Sequence[str], tie: str, k: int) -> DataFrame:
+def top(scores: DataFrame, group: Sequence[str], tie: str | Sequence[str | Column], k: int) -> DataFrame:
     """The ``k`` first of each group with their ``rank``; each task keeps only its own ``k`` before the shuffle."""
+    order = [F.col("score").desc(), *_ties(tie)]
     if not group:
-        best = scores.orderBy(F.col("score").desc(), F.col(tie)).limit(k)
-        return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(tie))).cast("bigint"))
-    w = Window.partitionBy(*group).orderBy(F.col("score").desc(), F.col(tie))
+        best = scores.orderBy(*order).limit(k)
+        return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    w = Window.partitionBy(*group).orderBy(*order)
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def elsewhere(scores: DataFrame, inside: DataFrame, keys: Sequence[str], group: Sequence[str], tie: str, k: int = 20) -> DataFrame:
+def elsewhere(scores: DataFrame, inside: DataFrame, keys: Sequence[str], group: Sequence[str], tie: str | Sequence[str | Column], k: int = 20) -> DataFrame:
     """The ``k`` best files that aren't in ``inside``."""
     return top(scores.join(inside.select(*keys).distinct(), list(keys), "left_anti"), group, tie, k)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orrery.functions.text import cjk_chars, count_substring, other_units, trim_all
 from orrery.operators.budget import prefix_cut
@@ -34,10 +37,12 @@ def search(sections: DataFrame, query: str, order: list[str], k: int = 5) -> Dat
     return scored.orderBy(F.col("score").desc(), *order).limit(k)
 
 
-def within_budget(found: DataFrame, order: list[str], budget: int = 4000, header: tuple[int, int] = (0, 0)) -> DataFrame:
-    """The first of the found sections whose texts stay within the budget together, with ``rank`` and ``tokens``."""
-    from pyspark.sql.window import Window
+def within_budget(found: DataFrame, order: list[str], budget: int = 4000, header: tuple[int, int] = (0, 0), columns: Callable[[Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """The first of the found sections whose texts stay within the budget together, with ``rank`` and ``tokens``.
 
+    ``columns`` sizes a text, by the heuristic if it isn't given.
+    """
     w = Window.partitionBy(F.lit(1)).orderBy(F.col("score").desc(), *order)  # a search result: k rows
-    sized = found.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("other", other_units(F.col("body"))).withColumn("cjk", cjk_chars(F.col("body"))).withColumn("_one", F.lit(1))
+    other, cjk = columns(F.col("body")) if columns else (other_units(F.col("body")), cjk_chars(F.col("body")))
+    sized = found.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumns({"other": other, "cjk": cjk, "_one": F.lit(1)})
     return prefix_cut(sized, ["_one"], budget, header).drop("_one")

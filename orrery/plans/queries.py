@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "rank_with_query"
 ABOUT = "release notes for the token counting queue"
 MODULES = {"core": ["core/**", "pkg/core/**"], "checks": ["checks/**"], "web": ["web/**", "client/**"]}
+DIFF = ["**/*.py", "**/*.ts", "**/*.tsx", "**/*.js", "**/*.go"]
 GROUP, FILE = ["repo"], "doc_id"
 
 
@@ -38,8 +39,19 @@ def about_tokens(spark: SparkSession, about: str) -> list[str]:
     return spark.range(1).select(T.search_tokens(F.lit(about)).alias("t")).first()["t"]
 
 
-def any_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return outline.symbols(files(spark, d), ["repo", "doc_id"], rules="any")
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """The files that are ranked: those with a source extension and a text."""
+    return select.source_files(files(spark, d)).filter("text is not null and repo is not null")
+
+
+def symbols(spark: SparkSession, d: str) -> DataFrame:
+    return cut(outline.symbols(sources(spark, d), ["repo", "doc_id"]))
+
+
+def counts(f: DataFrame, s: DataFrame) -> DataFrame:
+    """(repo, doc_id, word, n), names that can't be words among them."""
+    n = rank.word_counts(f, ["repo", "doc_id"])
+    return n.unionByName(rank.odd_counts(f, s, n, GROUP, FILE))
 
 
 def round6(df: DataFrame, *columns: str) -> DataFrame:
@@ -95,46 +107,66 @@ def import_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str, scorers: list[DataFrame]) -> DataFrame:
-    f, s = files(spark, d), cut(any_symbols(spark, d))
-    refs = rank.reference_scores(f, s, rank.word_counts(f, ["repo", "doc_id"]), GROUP, FILE, rank.odd_references(f, s, GROUP, FILE))
+    f, s = sources(spark, d), symbols(spark, d)
+    refs = rank.reference_scores(f, s, counts(f, s), GROUP, FILE)
     return rank.scored(refs.join(f.select("repo", "doc_id", "rel"), ["repo", "doc_id"]), GROUP, FILE, "rel", scorers)
 
 
+def ties() -> list[Column]:
+    """Order of ties in a rank: by path, then by key, as a path may be in a table twice."""
+    return rank.by_path("rel", FILE)
+
+
 def _about(spark: SparkSession, d: str) -> DataFrame:
     return bm25.bm25_texts(files(spark, d), about_tokens(spark, ABOUT), "doc_id", "text")
 
 
 @query
 def reference_rank(spark: SparkSession, d: str) -> DataFrame:
-    return rank.ranked(_scores(spark, d, []), GROUP, FILE).select("repo", "doc_id", "score", "demotion", "rank")
+    return rank.ranked(_scores(spark, d, []), GROUP, ties()).select("repo", "doc_id", "score", "demotion", "rank")
 
 
 @query
 def rank_with_query(spark: SparkSession, d: str) -> DataFrame:
     """Every file's rank by references and by what the query asks for, with the parts of its score."""
     asked = bm25.contribution(_about(spark, d)).join(files(spark, d).select("doc_id", "repo"), "doc_id")
-    return round6(rank.ranked(_scores(spark, d, [asked]).withColumn("score", F.round("score", 9)), GROUP, FILE).drop("rel"), "score", "reference", "scorers")
+    return round6(rank.ranked(_scores(spark, d, [asked]).withColumn("score", F.round("score", 9)), GROUP, ties()).drop("rel"), "score", "reference", "scorers")
 
 
 @query
 def rank_explain(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 files of each repository with the parts of their scores."""
     asked = bm25.contribution(_about(spark, d)).join(files(spark, d).select("doc_id", "repo"), "doc_id")
-    return round6(rank.top(_scores(spark, d, [asked]).withColumn("score", F.round("score", 9)), GROUP, FILE, 20).drop("rel"), "score", "reference", "scorers")
+    return round6(rank.top(_scores(spark, d, [asked]).withColumn("score", F.round("score", 9)), GROUP, ties(), 20).drop("rel"), "score", "reference", "scorers")
 
 
 @query
 def elsewhere_top20(spark: SparkSession, d: str) -> DataFrame:
-    own = files(spark, d).filter(matches(F.col("rel"), MODULES["core"]))
-    return rank.elsewhere(_scores(spark, d, []), own, ["repo", "doc_id"], GROUP, FILE).select("repo", "doc_id", "score", "rank")
+    own = sources(spark, d).filter(matches(F.col("rel"), MODULES["core"]))
+    return rank.elsewhere(_scores(spark, d, []), own, ["repo", "doc_id"], GROUP, ties()).select("repo", "doc_id", "score", "rank")
+
+
+def _outlined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, symbols of the table, counts), all by repository and path; the outlined files are named by the texts."""
+    f = sources(spark, d).groupBy("repo", "rel").agg(F.min("text").alias("text"))
+    s = cut(table(spark, d, "symbols").filter("repo is not null and rel is not null and name is not null").select("symbol_id", "repo", "rel", "name").distinct())
+    n = rank.word_counts(f, ["repo", "rel"])
+    return f, s, n.unionByName(rank.odd_counts(f, s, n, GROUP, "rel"))
+
+
+@query
+def symbol_references(spark: SparkSession, d: str) -> DataFrame:
+    """How often the texts of a repository name the symbols of each of its outlined files."""
+    _, s, n = _outlined(spark, d)
+    return rank.references(n, s, GROUP, "rel")
 
 
 @query
 def diff_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Callers of each repository's TypeScript and Rust files, as if those had changed."""
-    f = files(spark, d)
-    seeds = f.filter(matches(F.col("rel"), ["**/*.ts", "**/*.rs"])).select("repo", "doc_id")
-    return round6(select.expansion(rank.word_counts(f, ["repo", "doc_id"]), any_symbols(spark, d), seeds, f, GROUP, FILE, "rel"), "score")
+    """Callers of each repository's outlined Python, TypeScript, JavaScript and Go files, as if those had changed."""
+    f, s, n = _outlined(spark, d)
+    seeds = s.filter(matches(F.col("rel"), DIFF)).select("repo", "rel")
+    return round6(select.expansion(n, s, seeds, f, GROUP, "rel", "rel"), "score")
 
 
 # relevance
@@ -168,47 +200,38 @@ def query_contribution(spark: SparkSession, d: str) -> DataFrame:
 # budgets
 
 
-def _blocks(spark: SparkSession, d: str, most: int) -> DataFrame:
-    """The files of each repository by length, shortest key first among equals, as blocks."""
-    f = files(spark, d)
-    scores = f.select("repo", "doc_id", F.length("text").cast("double").alias("score"))
-    block = F.concat(F.lit("### "), F.coalesce("rel", F.lit("?")), F.lit("\n\n```\n"), F.regexp_replace("text", r"\s+\z", ""), F.lit("\n```\n\n"))
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """(repo, doc_id, rank, score, other, cjk): the ranked files with the sizes of their blocks."""
+    f = sources(spark, d)
+    block = F.concat(F.lit("### "), "rel", F.lit("\n\n```\n"), F.regexp_replace("text", r"\s+\z", ""), F.lit("\n```\n\n"))
     sized = f.select("repo", "doc_id", T.other_units(block).cast("bigint").alias("other"), T.cjk_chars(block).cast("bigint").alias("cjk"))
-    return rank.top(scores, GROUP, FILE, most).drop("score").join(sized, ["repo", "doc_id"])
+    return rank.ranked(_scores(spark, d, []), GROUP, ties()).select("repo", "doc_id", "rel", "score", "rank").join(sized, ["repo", "doc_id"])
 
 
 @query
 def repomap_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """How far an outline of each repository's files reaches in 800 tokens."""
-    s = any_symbols(spark, d)
+    """How far an outline of each repository's files, most referenced first, reaches in 800 tokens."""
     line = F.concat(F.lit("- L"), F.col("line").cast("string"), F.lit(" "), "kind", F.lit(" `"), "name", "signature", F.lit("`\n"))
-    text = s.withColumn("_l", line).groupBy("repo", "doc_id").agg(F.sum(T.other_units(F.col("_l"))).alias("other"), F.sum(T.cjk_chars(F.col("_l"))).alias("cjk"), F.count(F.lit(1)).cast("double").alias("score"))
-    return budget.prefix_cut(rank.top(text, GROUP, FILE, 800), GROUP, 800).select("repo", "doc_id", "rank", "tokens")
+    outlines = symbols(spark, d).withColumn("_l", line).groupBy("repo", "doc_id").agg(F.sum(T.other_units(F.col("_l"))).alias("_o"), F.sum(T.cjk_chars(F.col("_l"))).alias("_c"))
+    head = F.concat(F.lit("## "), "rel", F.lit("\n"))
+    best = rank.top(_scores(spark, d, []), GROUP, ties(), 800).join(outlines, ["repo", "doc_id"], "left")
+    sized = best.select("repo", "doc_id", "rank", (T.other_units(head) + F.coalesce("_o", F.lit(0))).alias("other"), (T.cjk_chars(head) + F.coalesce("_c", F.lit(0))).alias("cjk"))
+    return budget.prefix_cut(sized, GROUP, 800).select("repo", "doc_id", "rank", "tokens")
 
 
 @query
 def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
-    return budget.greedy_fit(_blocks(spark, d, 1 << 30), GROUP, 3000, header=(40, 0), reserve=50)
-
-
-def _seeded(spark: SparkSession, d: str, source: Column) -> DataFrame:
-    marks = table(spark, d, "documents").select("repo", "doc_id", F.coalesce(source.isin("rules", "repo_map"), F.lit(False)).alias("is_seed"), F.length("text").alias("_n"))
-    order = marks.select("repo", "doc_id", "is_seed", (F.when(F.col("is_seed"), 1e12).otherwise(0.0) + F.col("_n")).alias("score"))
-    sized = _blocks(spark, d, 1 << 30).drop("rank")
-    blocks = rank.top(order, GROUP, FILE, 1 << 30).select("repo", "doc_id", "is_seed", "rank").join(sized, ["repo", "doc_id"])
-    return budget.seeded_fit(blocks, GROUP, 3000, header=(40, 0))
+    """The files of each repository, in rank order, that fit into a pack together."""
+    return budget.greedy_fit(_blocks(spark, d), GROUP, 3000, header=(40, 0), reserve=50)
 
 
 @query
 def pack_seeded(spark: SparkSession, d: str) -> DataFrame:
-    """Packs led by each repository's rules and repository maps, as far as these are spelled exactly."""
-    return _seeded(spark, d, F.col("source"))
-
-
-@query
-def pack_seeded_all(spark: SparkSession, d: str) -> DataFrame:
-    """Packs led by each repository's rules and repository maps, however these are spelled."""
-    return _seeded(spark, d, T.normal_source(F.col("source")))
+    """Packs led by each repository's rules and repository maps, however these sources are spelled."""
+    marks = sources(spark, d).select("repo", "doc_id", F.coalesce(T.normal_source(F.col("source")).isin("rules", "repo_map"), F.lit(False)).alias("is_seed"))
+    blocks = _blocks(spark, d).drop("rank").join(marks, ["repo", "doc_id"])
+    order = rank.ranked(blocks.withColumn("score", F.col("score") + F.when(F.col("is_seed"), 1e9).otherwise(0.0)), GROUP, ties())
+    return budget.seeded_fit(order.select("repo", "doc_id", "is_seed", "rank", "other", "cjk"), GROUP, 3000, header=(40, 0))
 
 
 # baskets
@@ -261,22 +284,29 @@ def cochange_baskets(spark: SparkSession, d: str) -> DataFrame:
 @query
 def duplicate_definitions(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "symbols").withColumn("path", F.concat_ws("/", "repo", "rel"))
-    return health.duplicates(s, path="path").select("name", "n_files", F.array_join("files", ",").alias("files"))
+    return health.duplicates(s, path="path")
 
 
-def _referenced(spark: SparkSession, d: str) -> DataFrame:
-    return health.referenced(rank.word_counts(files(spark, d), ["repo", "doc_id"]), any_symbols(spark, d), GROUP, FILE)
+@query
+def duplicate_names(spark: SparkSession, d: str) -> DataFrame:
+    return health.duplicate_names(duplicate_definitions(spark, d), path="path")
+
+
+def _referenced(f: DataFrame, s: DataFrame) -> DataFrame:
+    return health.referenced(counts(f, s), s, GROUP, FILE)
 
 
 @query
 def referenced(spark: SparkSession, d: str) -> DataFrame:
-    return _referenced(spark, d)
+    """The outlined files with a symbol that a text of their repository names."""
+    _, s, n = _outlined(spark, d)
+    return health.referenced(n, s, GROUP, "rel")
 
 
 @query
 def orphans(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d).withColumn("rel", F.coalesce("rel", F.lit("")))
-    return health.orphans(f, any_symbols(spark, d), _referenced(spark, d), GROUP, FILE, "rel", ["tools/**"]).select("repo", "doc_id")
+    f, s = sources(spark, d), symbols(spark, d)
+    return health.orphans(f, s, _referenced(f, s), GROUP, FILE, "rel", ["tools/**"]).select("repo", "doc_id")
 
 
 @query
@@ -310,22 +340,12 @@ def rule_length(spark: SparkSession, d: str) -> DataFrame:
     return health.long_texts(files(spark, d), ["doc_id"], 60)
 
 
-def _stale_maps(spark: SparkSession, d: str, source: Column) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("source", source)
-    built = docs.filter("source = 'repo_map' and updated_at is not null").select("repo", "doc_id", "updated_at")
-    return health.stale(docs.filter("source = 'code'").withColumnRenamed("updated_at", "changed"), built, GROUP, "changed", "updated_at").groupBy("repo").agg(F.unix_micros(F.max("changed_at")).alias("changed_at"))
-
-
 @query
 def stale_maps(spark: SparkSession, d: str) -> DataFrame:
-    """Repository maps that are older than the newest file of their repository, as far as these are spelled exactly."""
-    return _stale_maps(spark, d, F.col("source"))
-
-
-@query
-def stale_maps_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of all repository maps and code files, however these are spelled."""
-    return _stale_maps(spark, d, T.normal_source(F.col("source")))
+    """Repository maps that are older than the newest code file of their repository, however the sources are spelled."""
+    docs = table(spark, d, "documents").withColumn("source", T.normal_source(F.col("source")))
+    built = docs.filter("source = 'repo_map' and updated_at is not null").select("repo", "doc_id", "updated_at")
+    return health.stale(docs.filter("source = 'code'").withColumnRenamed("updated_at", "changed"), built, GROUP, "changed", "updated_at").groupBy("repo").agg(F.unix_micros(F.max("changed_at")).alias("changed_at"))
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -379,21 +399,11 @@ def backtick_spans(spark: SparkSession, d: str) -> DataFrame:
 # sections
 
 
-def _split(documents: DataFrame) -> DataFrame:
-    s = sections.split_sections(documents, "doc_id", "text")
-    return s.select("doc_id", "section_ord", "heading", F.length("body").cast("bigint").alias("n_chars"))
-
-
 @query
 def section_split(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of the readmes and designs that are spelled exactly."""
-    return _split(table(spark, d, "documents").filter("source in ('readme', 'design')"))
-
-
-@query
-def section_split_all(spark: SparkSession, d: str) -> DataFrame:
     """Sections of every document."""
-    return _split(files(spark, d))
+    s = sections.split_sections(files(spark, d), "doc_id", "text")
+    return s.select("doc_id", "section_ord", "heading", F.length("body").cast("bigint").alias("n_chars"))
 
 
 @query
@@ -462,5 +472,4 @@ def module_detect(spark: SparkSession, d: str) -> DataFrame:
 @query
 def module_match_counts(spark: SparkSession, d: str) -> DataFrame:
     """Files of each module; a module that matches none has rotted."""
-    f = files(spark, d)
-    return f.agg(*[F.sum(matches(F.col("rel"), g).cast("bigint")).alias(m) for m, g in MODULES.items()]).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, MODULES)), F.array(*MODULES))).alias("module", "n_files"))
+    return health.module_counts(files(spark, d), MODULES)

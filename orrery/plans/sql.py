@@ -1,8 +1,30 @@
 """SQL that DuckDB runs over the same tables, written from the definition of each query."""
 
-from orrery.functions.text import STEM_EXCEPTIONS, STOPWORDS
-from orrery.operators.outline import RULES
-
+# Fixed values, written here once more, so that a wrong one in the engine shows.
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with", "not", "but", "can",
+             "if", "into", "than", "then", "so", "such", "which", "what", "when", "where", "who", "how", "do", "does", "did", "you", "your", "we", "our")
+STEM_EXCEPTIONS = ("always", "hundred", "anything", "everything", "nothing", "something")
+# (extensions, kind, pattern, whether group 2 is a signature)
+RULES = [
+    ("ts|tsx|js|jsx|mjs|cjs", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*(\([^)]*\)?)", True),
+    ("ts|tsx|js|jsx|mjs|cjs", "class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)", False),
+    ("ts|tsx|js|jsx|mjs|cjs", "interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)", False),
+    ("ts|tsx|js|jsx|mjs|cjs", "type", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*=", False),
+    ("ts|tsx|js|jsx|mjs|cjs", "function", r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?\(", False),
+    ("ts|tsx|js|jsx|mjs|cjs", "const", r"^\s*export\s+const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=", False),
+    ("py|php", "function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*(\([^)]*\)?)", True),
+    ("py|php", "class", r"^\s*class\s+([A-Za-z_]\w*)", False),
+    ("go", "func", r"^func\s+(?:\([^)]+\)\s+)?([A-Za-z_]\w*)\s*(\([^)]*\)?)", True),
+    ("go", "type", r"^type\s+([A-Za-z_]\w*)\s+(?:struct|interface)", False),
+    ("rs", "fn", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)\s*(\([^)]*\)?)", True),
+    ("rs", "type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Za-z_]\w*)", False),
+    ("java|kt|cs|swift", "class", r"^\s*(?:public|private|protected|internal)?\s*(?:abstract\s+|final\s+|sealed\s+|static\s+)*(?:class|interface|enum|record|object)\s+([A-Za-z_]\w*)", False),
+    ("rb", "method", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", False),
+    ("rb", "class", r"^\s*(?:class|module)\s+([A-Z]\w*)", False),
+    ("c|h|cc|cpp|hpp", "function", r"^[A-Za-z_][\w\s*]*\s\**([A-Za-z_]\w*)\s*(\([^;{)]*\)?)\s*\{?\s*$", True),
+    ("c|h|cc|cpp|hpp", "type", r"^\s*(?:typedef\s+)?(?:struct|enum|union)\s+([A-Za-z_]\w*)", False),
+]
+SOURCE = r"regexp_matches(rel, '[^/]\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|cs|rb|php|swift|c|h|cc|cpp|hpp)$') AND text IS NOT NULL AND repo IS NOT NULL"
 _CJK = r"\x{1100}-\x{11ff}\x{3040}-\x{30ff}\x{3130}-\x{318f}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{a960}-\x{a97f}\x{ac00}-\x{d7a3}\x{d7b0}-\x{d7ff}\x{f900}-\x{faff}\x{ff00}-\x{ffef}\x{20000}-\x{2fffd}"
 _SEARCH = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}"
 _TEST = r"(^|/)(tests?|__tests__)/|(^|/)(test_[^/]*|conftest)\.py$|\.(test|spec)\.[jt]sx?$"
@@ -67,39 +89,58 @@ asked AS (
 _LINES = "lines AS (SELECT doc_id, repo, rel, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"
 
 
-def _outline(rules: dict, by_ext: bool) -> str:
+def _outline() -> str:
     """A branch per rule; the first that matches a line counts, and the first 50 of a text."""
-    ext = {"js": ("ts", "tsx", "js", "jsx", "mjs", "cjs"), "py": ("py", "php"), "go": ("go",), "rs": ("rs",), "jvm": ("java", "kt", "cs", "swift"), "rb": ("rb",), "c": ("c", "h", "cc", "cpp", "hpp")}
     cases = []
-    for lang, set_ in rules.items():
-        for pattern, kind, signed in set_:
-            when = f"regexp_matches(line, {_q(pattern)})" + (rf" AND regexp_matches(rel, '[^/]\.({'|'.join(ext[lang])})$')" if by_ext else "")
-            sig = rf"regexp_replace(regexp_extract(line, {_q(pattern)}, 2), '^\s+|\s+$', '', 'g')" if signed else "''"
-            cases.append(f"WHEN {when} THEN {{'kind': '{kind}', 'name': regexp_extract(line, {_q(pattern)}, 1), 'signature': {sig}}}")
-    return f"""{_LINES},
+    for ext, kind, pattern, signed in RULES:
+        sig = rf"regexp_replace(regexp_extract(line, {_q(pattern)}, 2), '^\s+|\s+$', '', 'g')" if signed else "''"
+        cases.append(rf"WHEN regexp_matches(line, {_q(pattern)}) AND regexp_matches(rel, '[^/]\.({ext})$') THEN {{'kind': '{kind}', 'name': regexp_extract(line, {_q(pattern)}, 1), 'signature': {sig}}}")
+    return rf"""{_LINES},
 marked AS (SELECT doc_id, repo, n, line, CASE {' '.join(cases)} END AS s FROM lines),
 symbols_of AS (
-  SELECT doc_id, repo, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS ord, s.kind AS kind, s.name AS name, s.signature AS signature, n::INT AS line, NOT regexp_matches(line, '^\\s') AS top_level
+  SELECT doc_id, repo, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INT AS ord, s.kind AS kind, s.name AS name, s.signature AS signature, n::INT AS line, NOT regexp_matches(line, '^\s') AS top_level
   FROM marked WHERE s IS NOT NULL QUALIFY ord < 50)
-""".replace("'^\\\\s'", r"'^\s'")
+"""
 
 
 _GENERIC = "(length(name) < 4 OR lower(name) IN ('main','init','test','setup','index','data','name','type','value','get','set','run','new','update','create','delete','read','write'))"
 _WORDS = "w AS (SELECT repo, doc_id, word, count(*) AS n FROM (SELECT repo, doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM documents) GROUP BY ALL)"
-_REFERENCE = f"""{_outline(RULES, False)}, {_WORDS},
+
+
+def _mentions(file: str, names: str, texts: str) -> str:
+    """By definition: each name against the whole text of each source file of the repository, with a boundary at each end."""
+    before, after = "regexp_matches(substring(d.text, i - 1, 1), '\\w')", "regexp_matches(substring(d.text, i + length(e.name), 1), '\\w')"
+    return rf"""
+src AS (SELECT * FROM {texts}),
+ws AS (SELECT repo, {file}, word, count(*) AS n FROM (SELECT repo, {file}, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM src) GROUP BY ALL),
+edged AS (SELECT DISTINCT repo, name FROM {names} WHERE length(name) >= 4),
+plain AS (SELECT e.repo, e.name, ws.{file}, ws.n FROM edged e JOIN ws ON ws.repo = e.repo AND ws.word = e.name),
+odd AS (
+  SELECT e.repo, e.name, d.{file},
+    len(list_filter(range(1, length(d.text) + 1), lambda i: substring(d.text, i, length(e.name)) = e.name AND {before} <> regexp_matches(e.name, '^\w') AND {after} <> regexp_matches(e.name, '\w$'))) AS n
+  FROM edged e JOIN src d ON d.repo = e.repo AND contains(d.text, e.name) WHERE NOT regexp_matches(e.name, '^\w+$')),
+mentions AS (SELECT * FROM plain UNION ALL SELECT * FROM odd WHERE n > 0)
+"""
+
+
+_MENTIONS = _mentions("doc_id", "symbols_of", f"(SELECT * FROM documents WHERE {SOURCE})")
+# the files of the table of symbols, which the texts of their repositories name
+_TABLE_MENTIONS = _mentions("rel", "symbols", f"(SELECT repo, rel, min(text) AS text FROM documents WHERE {SOURCE} GROUP BY ALL)")
+_REFERENCE = f"""{_outline()}, {_WORDS}, {_MENTIONS},
 names AS (SELECT repo, doc_id, name, count(*) AS times FROM symbols_of WHERE NOT {_GENERIC} GROUP BY ALL),
-refs AS (SELECT names.repo, names.doc_id, sum(least(w.n, 20) * times) AS refs FROM names JOIN w ON w.repo = names.repo AND w.word = names.name AND w.doc_id <> names.doc_id GROUP BY ALL),
+refs AS (SELECT names.repo, names.doc_id, sum(least(m.n, 20) * times) AS refs FROM names JOIN mentions m ON m.repo = names.repo AND m.name = names.name AND m.doc_id <> names.doc_id GROUP BY ALL),
 own AS (SELECT doc_id, count(*) AS own FROM symbols_of GROUP BY ALL),
 reference AS (
-  SELECT d.repo, d.doc_id, coalesce(refs, 0)::DOUBLE + least(coalesce(own, 0), 10) * 0.5::DOUBLE AS reference, CASE WHEN regexp_matches(coalesce(rel, ''), {_q(_TEST)}) THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS demotion
-  FROM documents d LEFT JOIN refs USING (doc_id) LEFT JOIN own USING (doc_id))
+  SELECT d.repo, d.doc_id, d.rel, coalesce(refs, 0)::DOUBLE + least(coalesce(own, 0), 10) * 0.5::DOUBLE AS reference, CASE WHEN regexp_matches(coalesce(rel, ''), {_q(_TEST)}) THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS demotion
+  FROM src d LEFT JOIN refs USING (doc_id) LEFT JOIN own USING (doc_id)),
+ordered AS (SELECT *, reference * demotion AS score, row_number() OVER (PARTITION BY repo ORDER BY reference * demotion DESC, rel COLLATE en, doc_id) AS rank FROM reference)
 """
 _WITH_QUERY = f"""
 WITH {_PARTS}, {_ASKED}, {_REFERENCE},
-norm AS (SELECT repo, doc_id, demotion, CASE WHEN max(reference) OVER (PARTITION BY repo) > 0 THEN reference / max(reference) OVER (PARTITION BY repo) ELSE reference END AS reference FROM reference),
-parts_of AS (SELECT repo, doc_id, reference, coalesce(score / (SELECT max(score) FROM asked) * 2, 0)::DOUBLE AS scorers, demotion FROM norm LEFT JOIN asked USING (doc_id)),
+norm AS (SELECT repo, doc_id, rel, demotion, CASE WHEN max(reference) OVER (PARTITION BY repo) > 0 THEN reference / max(reference) OVER (PARTITION BY repo) ELSE reference END AS reference FROM reference),
+parts_of AS (SELECT repo, doc_id, rel, reference, coalesce(score / (SELECT max(score) FROM asked) * 2, 0)::DOUBLE AS scorers, demotion FROM norm LEFT JOIN asked USING (doc_id)),
 final AS (SELECT *, round((reference + scorers) * demotion, 9) AS score FROM parts_of),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, doc_id) AS rank FROM final)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, rel COLLATE en, doc_id) AS rank FROM final)
 SELECT repo, doc_id, round(score, 6) AS score, round(reference, 6) AS reference, round(scorers, 6) AS scorers, demotion, rank FROM ranked
 """
 
@@ -115,9 +156,12 @@ scores AS (
   FROM tf JOIN df USING (field, term) JOIN lens USING (id, field) JOIN stats USING (field) JOIN params USING (field) GROUP BY id)
 """
 
-_BLOCKS = rf"""
-texts AS (SELECT repo, doc_id, '### ' || coalesce(rel, '?') || chr(10) || chr(10) || '```' || chr(10) || regexp_replace(text, '\s+$', '') || chr(10) || '```' || chr(10) || chr(10) AS block, length(text) AS n_text, coalesce(source IN ('rules', 'repo_map'), false) AS is_seed FROM documents),
-blocks AS (SELECT repo, doc_id, is_seed, n_text, {_other('block')} AS other, {_cjk('block')} AS cjk FROM texts)
+_BLOCKS = rf"""{_REFERENCE},
+texts AS (
+  SELECT o.repo, o.doc_id, o.rel, o.rank, o.score, '### ' || rel || chr(10) || chr(10) || '```' || chr(10) || regexp_replace(text, '\s+$', '') || chr(10) || '```' || chr(10) || chr(10) AS block,
+    coalesce(regexp_replace(regexp_replace(lower(source), '^[\s_-]+|[\s_-]+$', '', 'g'), '[\s_-]+', '_', 'g') IN ('rules', 'repo_map'), false) AS is_seed
+  FROM ordered o JOIN (SELECT doc_id, text, source FROM documents) USING (doc_id)),
+blocks AS (SELECT repo, doc_id, rel, rank, score, is_seed, {_other('block')} AS other, {_cjk('block')} AS cjk FROM texts)
 """
 
 
@@ -136,8 +180,7 @@ walk AS (
 """
 
 
-_RANKED_BLOCKS = "rows AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n_text::DOUBLE DESC, doc_id) AS rank FROM blocks)"
-_SEEDED_ROWS = "rows AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY is_seed DESC, n_text DESC, doc_id) AS rank FROM blocks)"
+_SEEDED_ROWS = "rows AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY repo ORDER BY score + CASE WHEN is_seed THEN 1e9 ELSE 0 END DESC, rel COLLATE en, doc_id) AS rank FROM blocks)"
 
 _HISTORY = """
 once AS (SELECT repo, sha, rel, min(commit_ord) AS commit_ord FROM commits WHERE commit_ord < 500 AND rel IS NOT NULL GROUP BY ALL),
@@ -159,7 +202,7 @@ results AS (
   UNION ALL
   SELECT 'warn', 'tokens', 'pack ' || pack_id || ' has no token count', NULL, NULL, NULL FROM (SELECT DISTINCT pack_id FROM packs WHERE tokens IS NULL)),
 applied AS (
-  SELECT CASE WHEN level = 'fail' AND line < 60 THEN 'warn' ELSE level END AS level, name, CASE WHEN level = 'fail' AND line < 60 THEN detail || ' [baseline: known violation — run with --no-baseline to fail it again]' ELSE detail END AS detail, file, line, subject
+  SELECT CASE WHEN level = 'fail' AND line < 60 THEN 'warn' ELSE level END AS level, name, CASE WHEN level = 'fail' AND line < 60 THEN detail || ' (known to the baseline)' ELSE detail END AS detail, file, line, subject
   FROM results)
 """
 
@@ -196,39 +239,47 @@ found AS (
   SELECT doc_id, rel, n, regexp_extract(line, '^\s*import\s+(?:\w+\s+)?"([^"]+)"', 1) FROM lines WHERE ext = '.go' AND regexp_matches(line, '^\s*import\s+(?:\w+\s+)?"([^"]+)"'))
 """
 
+_DUPLICATES = rf"""s AS (SELECT DISTINCT repo || '/' || rel AS path, name, regexp_replace(signature, '\s+', '', 'g') AS sig FROM symbols WHERE top_level AND length(name) >= 4 AND NOT regexp_matches(name, '^__.+__$') AND NOT regexp_matches(repo || '/' || rel, {_q(_TEST)})),
+g AS (SELECT name, sig FROM s WHERE sig <> '' GROUP BY ALL HAVING count(*) >= 2), f AS (SELECT DISTINCT name, path FROM s JOIN g USING (name, sig))"""
+_NAMED_ELSEWHERE = "r AS (SELECT DISTINCT s.repo, s.doc_id FROM symbols_of s JOIN mentions m ON m.repo = s.repo AND m.name = s.name AND m.doc_id <> s.doc_id)"
+_SOURCE = r"regexp_replace(regexp_replace(lower(source), '^[\s_-]+|[\s_-]+$', '', 'g'), '[\s_-]+', '_', 'g')"
+
 SQL: dict[str, str] = {
     "token_units": f"SELECT doc_id, {_other('text')} AS other_units, {_cjk('text')} AS cjk_chars, {_tokens(_other('text'), _cjk('text'))} AS tokens FROM documents",
     "token_budget_by_source": f"SELECT source, sum({_tokens(_other('text'), _cjk('text'))})::BIGINT AS tokens, count(*) AS n_docs FROM documents GROUP BY source",
     "word_tokens": f"WITH {_WORDS} SELECT word, sum(n)::BIGINT AS n, count(*) AS n_docs FROM w GROUP BY word",
     "stem_vocab": f"WITH {_PARTS} SELECT part, {_stem('part')} AS stem, count(*) AS n FROM parts GROUP BY part",
-    "outline_symbols": f"WITH {_outline(RULES, True)} SELECT doc_id, ord, kind, name, signature, line, top_level FROM symbols_of",
+    "outline_symbols": f"WITH {_outline()} SELECT doc_id, ord, kind, name, signature, line, top_level FROM symbols_of",
     "import_lines": f"WITH {_IMPORTS} SELECT DISTINCT doc_id, specifier, line FROM found",
-    "reference_rank": f"WITH {_REFERENCE} SELECT repo, doc_id, reference * demotion AS score, demotion, row_number() OVER (PARTITION BY repo ORDER BY reference * demotion DESC, doc_id) AS rank FROM reference",
+    "reference_rank": f"WITH {_REFERENCE} SELECT repo, doc_id, score, demotion, rank FROM ordered",
     "rank_with_query": _WITH_QUERY,
     "rank_explain": _WITH_QUERY + " WHERE rank <= 20",
-    "elsewhere_top20": f"WITH {_REFERENCE} SELECT repo, doc_id, reference * demotion AS score, row_number() OVER (PARTITION BY repo ORDER BY reference * demotion DESC, doc_id) AS rank FROM reference WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(coalesce(rel, ''), '{_CORE}')) QUALIFY rank <= 20",
-    "diff_expansion": rf"""WITH {_outline(RULES, False)}, {_WORDS},
-seeds AS (SELECT doc_id FROM documents WHERE regexp_matches(rel, '\.(ts|rs)$')),
-names AS (SELECT DISTINCT repo, name FROM symbols_of WHERE doc_id IN (SELECT doc_id FROM seeds) AND NOT {_GENERIC}),
-n AS (SELECT w.repo, w.doc_id, sum(w.n) AS n FROM w JOIN names ON names.repo = w.repo AND names.name = w.word WHERE w.doc_id NOT IN (SELECT doc_id FROM seeds) GROUP BY ALL),
-s AS (SELECT n.repo, n.doc_id, round(n * CASE WHEN regexp_matches(coalesce(rel, ''), {_q(_TEST)}) THEN 0.2::DOUBLE ELSE 1 END, 6) AS score FROM n JOIN documents USING (doc_id))
-SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""",
+    "elsewhere_top20": f"WITH {_REFERENCE} SELECT repo, doc_id, score, row_number() OVER (PARTITION BY repo ORDER BY rank) AS rank FROM ordered WHERE NOT regexp_matches(rel, '{_CORE}') QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ordered.rank) <= 20",
+    "symbol_references": f"""WITH {_TABLE_MENTIONS}, once AS (SELECT DISTINCT symbol_id, repo, rel, name FROM symbols), names AS (SELECT repo, rel, name, count(*) AS times FROM once WHERE NOT {_GENERIC} GROUP BY ALL)
+SELECT names.repo, names.rel, sum(least(m.n, 20) * times)::BIGINT AS n FROM names JOIN mentions m ON m.repo = names.repo AND m.name = names.name AND m.rel <> names.rel GROUP BY ALL""",
+    "diff_expansion": rf"""WITH {_TABLE_MENTIONS},
+seeds AS (SELECT DISTINCT repo, rel FROM symbols WHERE regexp_matches(rel, '\.(py|ts|js|go|tsx)$')),
+names AS (SELECT DISTINCT repo, name FROM symbols SEMI JOIN seeds USING (repo, rel) WHERE NOT {_GENERIC}),
+n AS (SELECT m.repo, m.rel, sum(m.n) AS n FROM mentions m JOIN names USING (repo, name) ANTI JOIN seeds ON seeds.repo = m.repo AND seeds.rel = m.rel GROUP BY ALL),
+s AS (SELECT repo, rel, round(n * CASE WHEN regexp_matches(rel, {_q(_TEST)}) THEN 0.2::DOUBLE ELSE 1 END, 6) AS score FROM n)
+SELECT repo, rel, score, row_number() OVER (PARTITION BY repo ORDER BY score DESC, rel COLLATE en) AS rank FROM s QUALIFY rank <= 10""",
     "bm25_body": f"WITH {_PARTS}, {_ASKED} SELECT doc_id, round(score, 6) AS score FROM asked",
     "bm25_fields": _FIELDS + "SELECT id, round(score, 6) AS score FROM scores",
     "bm25_topk": _FIELDS + "SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM scores QUALIFY rank <= 20",
     "query_contribution": _FIELDS + "SELECT id, round(score / (SELECT max(score) FROM scores) * 2, 6) AS contribution FROM scores",
-    "repomap_prefix": f"""WITH {_outline(RULES, False)},
-l AS (SELECT repo, doc_id, '- L' || line || ' ' || kind || ' `' || name || signature || '`' || chr(10) AS t FROM symbols_of),
-b AS (SELECT repo, doc_id, sum({_other('t')})::BIGINT AS other, sum({_cjk('t')})::BIGINT AS cjk, count(*) AS n FROM l GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, doc_id) AS rank FROM b),
+    "repomap_prefix": f"""WITH {_REFERENCE},
+l AS (SELECT doc_id, '- L' || line || ' ' || kind || ' `' || name || signature || '`' || chr(10) AS t FROM symbols_of),
+b AS (SELECT doc_id, sum({_other('t')})::BIGINT AS other, sum({_cjk('t')})::BIGINT AS cjk FROM l GROUP BY ALL),
+h AS (SELECT repo, doc_id, rank, '## ' || rel || chr(10) AS t FROM ordered),
+r AS (SELECT repo, doc_id, rank, {_other('t')} + coalesce(other, 0) AS other, {_cjk('t')} + coalesce(cjk, 0) AS cjk FROM h LEFT JOIN b USING (doc_id)),
 t AS (SELECT repo, doc_id, rank, {_tokens('sum(other) OVER w', 'sum(cjk) OVER w')} AS tokens FROM r WINDOW w AS (PARTITION BY repo ORDER BY rank))
 SELECT * FROM t WHERE tokens <= 800""",
-    "pack_greedy": f"WITH RECURSIVE {_BLOCKS}, {_RANKED_BLOCKS}, {_greedy('true', 40, 3000, 50, 'rows')} SELECT repo, rank, included FROM walk",
+    "pack_greedy": f"WITH RECURSIVE {_BLOCKS}, {_greedy('true', 40, 3000, 50, 'blocks')} SELECT repo, rank, included FROM walk",
     "pack_seeded": f"""WITH RECURSIVE {_BLOCKS}, {_SEEDED_ROWS},
 seed AS (SELECT repo, {_tokens('sum(other) + 40', 'sum(cjk)')} > 3000 AS degraded FROM rows WHERE is_seed GROUP BY repo),
-marked AS (SELECT rows.*, coalesce(degraded, false) AS degraded FROM rows LEFT JOIN seed USING (repo)),
-{_greedy('NOT degraded OR NOT is_seed OR rank = 1', 40, 3000, 0, 'marked')}
-SELECT repo, rank, is_seed, coalesce(included, false) AS included, degraded FROM marked LEFT JOIN walk USING (repo, rank)""",
+chosen AS (SELECT rows.*, coalesce(degraded, false) AS degraded FROM rows LEFT JOIN seed USING (repo)),
+{_greedy('NOT degraded OR NOT is_seed OR rank = 1', 40, 3000, 0, 'chosen')}
+SELECT repo, rank, is_seed, coalesce(included, false) AS included, degraded FROM chosen LEFT JOIN walk USING (repo, rank)""",
     "cochange_gate": "SELECT repo, count(DISTINCT sha) AS n_commits, count(DISTINCT sha) >= 50 AS available FROM commits WHERE rel IS NOT NULL GROUP BY repo",
     "cochange_window": f"WITH {_HISTORY} SELECT repo, count(DISTINCT sha) AS n_commits, count(*) AS n_files FROM h GROUP BY repo",
     "cochange_sums": f"WITH {_SUMS} SELECT * FROM sums",
@@ -237,13 +288,12 @@ SELECT repo, rank, is_seed, coalesce(included, false) AS included, degraded FROM
 WHERE NOT regexp_matches(rel, '{_CORE}') AND NOT regexp_matches(rel, '^(docs|migrations)(/|$)') AND NOT regexp_matches(rel, '(^|/)(\.[^/]*|node_modules|dist|build|out|target|vendor|__pycache__|venv|coverage)(/|$)') QUALIFY rank <= 5""",
     "cochange_baskets": """WITH b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11')
 SELECT f.l_partkey AS rel, count(*) AS together FROM b f JOIN b o ON o.l_orderkey = f.l_orderkey AND o.l_partkey <> f.l_partkey JOIN s ON s.p_partkey = o.l_partkey GROUP BY ALL""",
-    "duplicate_definitions": rf"""WITH s AS (SELECT DISTINCT repo || '/' || rel AS path, name, regexp_replace(signature, '\s+', '', 'g') AS sig FROM symbols WHERE top_level AND length(name) >= 4 AND NOT regexp_matches(name, '^__.+__$') AND NOT regexp_matches(repo || '/' || rel, {_q(_TEST)})),
-g AS (SELECT name, sig FROM s WHERE sig <> '' GROUP BY ALL HAVING count(*) >= 2), f AS (SELECT DISTINCT name, path FROM s JOIN g USING (name, sig))
-SELECT name, count(*) AS n_files, string_agg(path, ',' ORDER BY path) AS files FROM f GROUP BY name""",
-    "referenced": f"WITH {_outline(RULES, False)}, {_WORDS} SELECT DISTINCT s.repo, s.doc_id FROM symbols_of s JOIN w ON w.repo = s.repo AND w.word = s.name AND w.doc_id <> s.doc_id WHERE length(name) >= 4",
-    "orphans": rf"""WITH {_outline(RULES, False)}, {_WORDS}, r AS (SELECT DISTINCT s.doc_id FROM symbols_of s JOIN w ON w.repo = s.repo AND w.word = s.name AND w.doc_id <> s.doc_id WHERE length(name) >= 4)
-SELECT repo, doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM symbols_of) AND doc_id NOT IN (SELECT doc_id FROM r) AND NOT regexp_matches(coalesce(rel, ''), {_q(_TEST)}) AND NOT regexp_matches(coalesce(rel, ''), '^tools(/|$)')
-AND regexp_extract(coalesce(rel, ''), '([^/]*?)(\.[^./]+)?$', 1) NOT IN ('main', 'index', 'cli', 'app', '__main__', 'server', 'worker', 'setup', 'conftest', 'page', 'layout', 'route', 'middleware')""",
+    "duplicate_definitions": f"WITH {_DUPLICATES} SELECT name, path FROM f",
+    "duplicate_names": f"WITH {_DUPLICATES} SELECT name, count(*) AS n_files, min(path) AS first FROM f GROUP BY name",
+    "referenced": f"WITH {_TABLE_MENTIONS} SELECT DISTINCT s.repo, s.rel FROM symbols s JOIN mentions m ON m.repo = s.repo AND m.name = s.name AND m.rel <> s.rel",
+    "orphans": rf"""WITH {_outline()}, {_WORDS}, {_MENTIONS}, {_NAMED_ELSEWHERE}
+SELECT repo, doc_id FROM src WHERE doc_id IN (SELECT doc_id FROM symbols_of) AND doc_id NOT IN (SELECT doc_id FROM r) AND NOT regexp_matches(rel, {_q(_TEST)}) AND NOT regexp_matches(rel, '^tools(/|$)')
+AND regexp_extract(rel, '([^/]*?)(\.[^./]+)?$', 1) NOT IN ('main', 'index', 'cli', 'app', '__main__', 'server', 'worker', 'setup', 'conftest', 'page', 'layout', 'route', 'middleware')""",
     "uncovered": f"SELECT doc_id, rel FROM documents WHERE rel IS NOT NULL AND NOT regexp_matches(rel, '{_CORE}|{_CHECKS}|{_WEB}')",
     "constraint_only_in": "SELECT DISTINCT symbol_id, repo, rel, line FROM symbols WHERE name = 'StorePanel' AND NOT regexp_matches(rel, '^(core|lib)(/|$)')",
     "constraint_imports": rf"""WITH {_IMPORTS} SELECT DISTINCT doc_id, specifier, line FROM found
@@ -251,7 +301,7 @@ WHERE regexp_matches(rel, '\.(py|js)$') AND (regexp_matches(specifier, '(^|/)tok
     "constraint_forbid_pattern": f"WITH {_LINES} SELECT doc_id, n::INT AS line FROM lines WHERE regexp_matches(rel, '\\.(go|md)$') AND regexp_matches(line, 'set -euo pipefail|return nil, err')",
     "secrets_scan": f"WITH {_SECRETS} SELECT pack_id, line FROM hits",
     "rule_length": "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE len(string_split(text, chr(10))) > 60",
-    "stale_maps": "WITH newest AS (SELECT repo, max(updated_at) AS changed_at FROM documents WHERE source = 'code' GROUP BY repo) SELECT DISTINCT repo, epoch_us(changed_at) AS changed_at FROM newest JOIN documents d USING (repo) WHERE d.source = 'repo_map' AND changed_at > d.updated_at",
+    "stale_maps": f"WITH d AS (SELECT *, {_SOURCE} AS s FROM documents), newest AS (SELECT repo, max(updated_at) AS changed_at FROM d WHERE s = 'code' GROUP BY repo) SELECT DISTINCT repo, epoch_us(changed_at) AS changed_at FROM newest JOIN d USING (repo) WHERE s = 'repo_map' AND changed_at > d.updated_at",
     "baseline_entries": f"WITH {_RESULTS} SELECT name AS \"check\", file, line, NULL::VARCHAR AS subject, CASE WHEN file IS NULL THEN detail END AS identifier FROM results",
     "baseline_ratchet": f"WITH {_RESULTS} SELECT * FROM applied",
     "check_summary": f"WITH {_RESULTS} SELECT name, level, count(*) AS n FROM applied GROUP BY ALL",
@@ -263,7 +313,7 @@ SELECT doc_id, count(*) AS n_lines FROM s WHERE here IS NULL AND inside GROUP BY
     "backtick_spans": rf"""WITH {_SPANS}, spans AS (SELECT doc_id, n, unnest(regexp_extract_all(line, '`([^`]+)`', 1)) AS s FROM kept)
 SELECT doc_id, n::INT AS line, count(*) AS n_spans, sum((NOT regexp_matches(s, '\s') AND NOT regexp_matches(s, '(?i)^[a-z]+://') AND NOT regexp_matches(s, '[<>]') AND (contains(s, '/') OR regexp_matches(s,
   '[^/]\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|cs|rb|php|swift|c|h|cc|cpp|hpp|json|yaml|yml|md|toml|lock|txt|cfg|ini|env|sh|sql)$')))::INT)::BIGINT AS n_paths FROM spans GROUP BY ALL""",
-    "section_split": r"""WITH parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(^|\n)## ', '\1' || chr(1) || '## ', 'g'), chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM documents WHERE source IN ('readme', 'design')),
+    "section_split": r"""WITH parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(^|\n)## ', '\1' || chr(1) || '## ', 'g'), chr(1)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM documents),
 s AS (SELECT doc_id, unnest(p) AS body, (generate_subscripts(p, 1) - 1)::INT AS section_ord FROM parts)
 SELECT doc_id, section_ord, regexp_replace(regexp_extract(body, '^## ([^\n]*)', 1), '^\s+|\s+$', '', 'g') AS heading, length(body) AS n_chars FROM s""",
     "section_search": f"WITH {_SECTION} SELECT section_id, score FROM scored WHERE score > 0 ORDER BY score DESC, section_id LIMIT 5",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Sequence
 
@@ -22,7 +23,8 @@ def git(root: str, args: Sequence[str]) -> str | None:
 
 
 def is_repo(root: str) -> bool:
-    return git(root, ["rev-parse", "--git-dir"]) is not None
+    """Whether ``root`` is inside a working tree; a bare repository is none."""
+    return (git(root, ["rev-parse", "--is-inside-work-tree"]) or "").strip() == "true"
 
 
 def head(root: str) -> str | None:
@@ -70,10 +72,15 @@ def read_history(spark: SparkSession, root: str, limit: int = WINDOW) -> DataFra
 
 
 def cached_history(spark: SparkSession, root: str, cache: str, limit: int = WINDOW) -> DataFrame:
-    """``read_history``, kept as a Parquet folder named by the newest commit and the window."""
-    path = f"{cache}/{head(root) or 'none'}-{limit}"
-    try:
-        return spark.read.schema(COMMITS).parquet(path)
-    except Exception:
-        read_history(spark, root, limit).write.mode("overwrite").parquet(path)
-        return spark.read.schema(COMMITS).parquet(path)
+    """``read_history``, kept as a Parquet folder named by the newest commit and the window.
+
+    The folder counts once it is whole; where it can't be written the history is read again each time.
+    """
+    path = os.path.join(cache, f"{head(root) or 'none'}-{limit}")
+    if not os.path.exists(os.path.join(path, "_SUCCESS")):
+        try:
+            os.makedirs(cache, exist_ok=True)
+        except OSError:
+            return read_history(spark, root, limit)
+        read_history(spark, root, limit).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema(COMMITS).parquet(path)

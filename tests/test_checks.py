@@ -31,8 +31,10 @@ def test_walk_skips_what_it_must(tmp_path, spark):
 def test_duplicates(spark):
     rows = [("a.py", "helper", "(a,  b)", True), ("b.py", "helper", "(a, b)", True), ("c.py", "helper", "(z)", True), ("tests/d.py", "helper", "(a,b)", True), ("a.py", "abc", "(x)", True), ("b.py", "abc", "(x)", True),
             ("a.py", "__init__", "(x)", True), ("b.py", "__init__", "(x)", True), ("a.py", "CONST", "", True), ("b.py", "CONST", "", True), ("a.py", "method", "(s)", False), ("b.py", "method", "(s)", False)]
-    got = health.duplicates(spark.createDataFrame(rows, "rel string, name string, signature string, top_level boolean")).collect()
-    assert [(r.name, r.files, r.n_files) for r in got] == [("helper", ["a.py", "b.py"], 2)]
+    got = health.duplicates(spark.createDataFrame(rows, "rel string, name string, signature string, top_level boolean"))
+    assert sorted((r.name, r.rel) for r in got.collect()) == [("helper", "a.py"), ("helper", "b.py")]
+    assert [tuple(r) for r in health.duplicate_names(got).select("name", "n_files", "first").collect()] == [("helper", 2, "a.py")]
+    assert health.duplicates(got.withColumns({"signature": F.lit(None).cast("string"), "top_level": F.lit(True)})).count() == 0
 
 
 def test_orphans_and_coverage(spark):
@@ -49,8 +51,9 @@ def test_constraints(spark):
     assert [(r.specifier, r.line) for r in health.must_not_import(imports, ["a/**"], ["twin/**"]).collect()] == [("twin.db", 1)]
     assert [r.rel for r in health.only_in(outline.symbols(files, ["rel"]), "only", ["a/**"]).collect()] == ["b/y.py"]
     assert [(r.rel, r.line) for r in health.forbid_pattern(files, ["rel"], r"print\(", ["**"]).collect()] == [("a/x.py", 3)]
-    with pytest.raises(Exception):
-        health.forbid_pattern(files, ["rel"], "(", ["**"])
+    assert health.valid_pattern(spark, "(") and health.valid_pattern(spark, r"a(?!b)\z") is None
+    counts = {r.module: r.n_files for r in health.module_counts(files, {"a": ["a/**"], "none": ["x/**"], "all": ["**"]}).collect()}
+    assert counts == {"a": 1, "none": 0, "all": 2} and health.module_counts(files, {}).count() == 0 and health.module_counts(files.limit(0), {"a": ["a/**"]}).first().n_files == 0
 
 
 def test_secret_lines(spark):
@@ -68,6 +71,8 @@ def test_rot(spark):
     assert {r.text for r in rot.missing_paths(spans, files).collect()} == {"src/gone.py", "x/*.zip"}
     reason = spans.filter(rot.is_command(F.col("text"))).select("text", rot.non_terminating_reason(F.col("text"), F.col("label"), ["make"]).alias("why")).collect()
     assert {r.text: bool(r.why) for r in reason} == {"npm run dev": True, "pytest -q": False, "make x": True}
+    assert {(r.text, bool(r.reason)) for r in rot.commands(spans).collect()} == {("npm run dev", True), ("pytest -q", False)}
+    assert rot.missing_paths(spans.limit(0), files).count() == 0
 
 
 def test_baseline(spark, tmp_path):
@@ -78,7 +83,7 @@ def test_baseline(spark, tmp_path):
     back = baseline_file.read(spark, str(tmp_path))
     assert back.exceptAll(known).count() == 0 and back.count() == known.count() == 2
     reworded = spark.createDataFrame([("fail", "c", "other words", "a.py", 3, "id"), ("fail", "c", "two", "b.py", None, None), ("fail", "c", "x", "a.py", 3, "other"), ("info", "c", "i", None, None, None)], baseline.RESULT)
-    got = {(r.detail.split(" [")[0], r.level) for r in baseline.apply(reworded, back).collect()}
+    got = {(r.detail.removesuffix(baseline.KNOWN), r.level) for r in baseline.apply(reworded, back).collect()}
     assert got == {("other words", "warn"), ("two", "fail"), ("x", "fail"), ("i", "info")}
     (tmp_path / baseline_file.FILE).write_text("{broken")
     assert baseline_file.read(spark, str(tmp_path)).count() == 0
@@ -103,6 +108,9 @@ def test_evaluation(spark):
     got = {r.profile: (r.n, r.outline_rate, r.content_rate) for r in evaluate.rates(cells).collect()}
     assert got == {"mid": (2, 0.5, 0.0), "light": (2, 1.0, 1.0), "none": (2, 0.0, 0.0)}
     assert evaluate.matrix(["a"], ["m", "n"], tasks).count() == 6
+    text = "# P\n\n## Repository Map\n\n## a.py\n- L1\n## b.py\n\n## Target Files\n\n### a.py\n## Not a part\n### c.py\n## Rule Reminder\n\n### d.py\n"
+    lines = spark.createDataFrame([("mid", i, l) for i, l in enumerate(text.split("\n"))], "profile string, n int, line string")
+    assert {r.rel for r in evaluate.headings(lines, "Repository Map", "## ").collect()} == {"a.py", "b.py"} and {r.rel for r in evaluate.headings(lines, "Target Files", "### ").collect()} == {"a.py", "c.py"}
     assert [r.p for r in spark.createDataFrame([("The ANSWER",), (None,)], "a string").select(evaluate.passed(F.col("a"), F.array(F.lit("answer"))).alias("p")).collect()] == [True, False]
 
 
@@ -146,6 +154,9 @@ def test_git(tmp_path, spark):
     assert not git.history_available(str(tmp_path)) and git.read_history(spark, str(tmp_path)).count() == 0
     with pytest.raises(ValueError):
         git.changed_files(str(tmp_path), "nope..nope")
+    assert git.is_repo(str(tmp_path)) and not git.is_repo(str(tmp_path / ".git"))
+    for _ in range(2):
+        assert git.cached_history(spark, str(tmp_path), str(tmp_path / "cache")).count() == 0 and os.listdir(tmp_path / "cache") == [f"{git.head(str(tmp_path))}-500"]
 
 
 def test_queries_read_every_source_however_it_is_spelled(spark, tmp_path):
@@ -158,8 +169,6 @@ def test_queries_read_every_source_however_it_is_spelled(spark, tmp_path):
             (5, "r", "m.md", " Repo-Map", "map", at(2)), (6, "r", "x.py", "CODE", "long code text " * 9, at(3)), (7, "s", "m.md", "repo_map", "map", at(5)), (8, "s", "x.py", "code", "c", at(4)), (9, "t", "e.md", "design", None, at(1))]
     spark.createDataFrame(rows, "doc_id int, repo string, rel string, source string, text string, updated_at timestamp").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
-    split = {(r.doc_id, r.section_ord): r.heading for r in run("section_split_all")}
+    split = {(r.doc_id, r.section_ord): r.heading for r in run("section_split")}
     assert {k: v for k, v in split.items() if k[0] < 5} == {(1, 0): "", (1, 1): "One", (1, 2): "Two", (2, 0): "Three", (3, 0): "Four", (4, 0): ""} and {k[0] for k in split} == set(range(1, 9))
-    assert {r.doc_id for r in run("section_split")} == {4}
-    assert {r.repo for r in run("stale_maps_all")} == {"r"} and run("stale_maps") == []
-    assert {(r.repo, r.rank) for r in run("pack_seeded_all") if r.is_seed} == {("r", 1), ("s", 1)} and {r.repo for r in run("pack_seeded") if r.is_seed} == {"s"}
+    assert {r.repo for r in run("stale_maps")} == {"r"}

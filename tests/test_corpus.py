@@ -79,18 +79,42 @@ def brute_reference(files, symbols):
     return out
 
 
+def counts_of(files, symbols):
+    n = rank.word_counts(files, ["repo", "rel"])
+    return n.unionByName(rank.odd_counts(files, symbols, n, ["repo"], "rel"))
+
+
 def test_reference_scores_match_brute_force(spark):
     rnd = random.Random(5)
-    names = ["alpha", "beta_1", "main", "abc", "Delta", "x$yz", "wait?", "été1"]
-    files = [(f"f{i}.py", " ".join(rnd.choice([*names, "alpha.", "xalpha", "Étre", "wait?z", "x$yz9"]) for _ in range(60))) for i in range(8)]
+    names = ["alpha", "beta_1", "main", "abc", "Delta", "x$yz", "wait?", "été1", "$run", "$?!$"]
+    files = [(f"f{i}.py", " ".join(rnd.choice([*names, "alpha.", "xalpha", "Étre", "wait?z", "x$yz9", "a$run", "a$?!$b", "a$?!$$b"]) for _ in range(60))) for i in range(8)]
     symbols = {f"f{i}.py": [rnd.choice(names) for _ in range(rnd.randint(0, 13))] for i in range(8)}
     f = spark.createDataFrame([("r", *x) for x in files], "repo string, rel string, text string")
     s = spark.createDataFrame([("r", rel, n) for rel, ns in symbols.items() for n in ns], "repo string, rel string, name string")
-    got = rank.reference_scores(f, s, rank.word_counts(f, ["repo", "rel"]), ["repo"], "rel", rank.odd_references(f, s, ["repo"], "rel"))
+    got = rank.reference_scores(f, s, counts_of(f, s), ["repo"], "rel")
     plain = {k: v for k, v in symbols.items()}
     assert {r.rel: r.reference for r in got.collect()} == brute_reference(files, {k: [n for n in v if n.isascii()] + [n for n in v if not n.isascii()] for k, v in plain.items()})
 
 
+def test_a_name_in_many_files_forms_no_pairs(spark):
+    """One name that 100,000 files define and name: each is named by all others, and no row is a pair of files."""
+    n = 100_000
+    files = spark.range(n).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("rel"))
+    counts = files.withColumns({"word": F.lit("hotname"), "n": F.lit(30).cast("bigint")})
+    got = rank.references(counts, files.withColumn("name", F.lit("hotname")), ["repo"], "rel")
+    assert got.agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first() == ((n - 1) * 20, (n - 1) * 20, n)
+    alone = rank.references(counts.limit(1), files.limit(1).withColumn("name", F.lit("hotname")), ["repo"], "rel")
+    assert alone.count() == 0 and rank.references(counts.limit(0), files.withColumn("name", F.lit("x")).limit(0), ["repo"], "rel").count() == 0
+
+
+def test_ties_stand_by_path_as_a_person_sorts(spark):
+    paths = ["B", "_x", "a-b", "a/b", "aB", "a_b", "ab", "b", None]
+    df = spark.createDataFrame([("r", p, i, 1.0) for i, p in enumerate(paths)], "repo string, rel string, id int, score double")
+    order = rank.by_path("rel", "id")
+    assert [r.rel for r in rank.ranked(df, ["repo"], order).orderBy("rank").collect()] == [None, "_x", "a_b", "a-b", "a/b", "ab", "aB", "b", "B"]
+    assert [r.rel for r in rank.top(df, ["repo"], order, 3).orderBy("rank").collect()] == [None, "_x", "a_b"]
+
+
 def test_rank_order_demotion_and_parts(files):
     s = outline.symbols(files, ["repo", "rel"])
     refs = rank.reference_scores(files, s, rank.word_counts(files, ["repo", "rel"]), ["repo"], "rel")
@@ -137,12 +161,14 @@ def test_bm25_of_texts(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
-def test_budgets_match_a_loop(spark):
+@pytest.mark.parametrize("stretch", [3, 4096])
+def test_budgets_match_a_loop(spark, monkeypatch, stretch):
+    monkeypatch.setattr(budget, "STRETCH", stretch)
     rnd = random.Random(3)
     rows = [(g, i + 1, i < 2, rnd.randint(0, 90), rnd.randint(0, 20)) for g in "ab" for i in range(30)]
     df = spark.createDataFrame(rows, "g string, rank bigint, is_seed boolean, other bigint, cjk bigint")
     tokens = lambda o, c: math.ceil(o / 4) + math.ceil(c * 0.95)
-    for cap in (0, 30, 100, 250, 10_000):
+    for cap in (0, 30, 100, 250, 10_000) if stretch > 3 else (30, 250):
         got = {(r.g, r["rank"]): r.included for r in budget.greedy_fit(df, ["g"], cap, header=(10, 1), reserve=3).collect()}
         cutoff = {(r.g, r["rank"]) for r in budget.prefix_cut(df, ["g"], cap, header=(10, 1)).collect()}
         seeded = {(r.g, r["rank"]): (r.included, r.degraded) for r in budget.seeded_fit(df, ["g"], cap).collect()}
@@ -163,6 +189,18 @@ def test_budgets_match_a_loop(spark):
                 assert seeded[g, k] == (ok, degraded)
 
 
+def test_a_greedy_fit_of_a_million_blocks(spark):
+    """The first blocks of one group fill the budget; of the others only those that fit are looked at again."""
+    df = spark.range(1_000_000).select(F.lit("g").alias("g"), (F.col("id") + 1).alias("rank"), F.when(F.col("id") == 700_000, 8).otherwise(40 + F.col("id") % 50).alias("other"), F.lit(0).alias("cjk"))
+    got = [r["rank"] for r in budget.greedy_fit(df, ["g"], 1000).filter("included").collect()]
+    total, want = 0, []
+    for i in range(1_000_000):
+        size = 8 if i == 700_000 else 40 + i % 50
+        if total + size <= 4000:
+            total, want = total + size, [*want, i + 1]
+    assert sorted(got) == want and 700_001 in want
+
+
 def test_cochange_matches_the_loop(spark):
     rnd = random.Random(1)
     history = {f"s{i}": rnd.sample([f"f{j}" for j in range(12)], rnd.randint(1, 6)) for i in range(40)}
