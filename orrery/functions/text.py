@@ -42,6 +42,24 @@ def other_units(text: Column) -> Column:
     return F.when(_ascii(text), F.length(text)).otherwise(F.length(text) - cjk_chars(text) + astral)
 
 
+def with_sizes(df: DataFrame, text: Column, other: str = "other", cjk: str = "cjk") -> DataFrame:
+    """``df`` with ``other_units`` and ``cjk_chars`` of ``text``, which is computed and searched once a row.
+
+    Each step comes from a generator, so that the optimizer can't copy it into the places that use it.
+    """
+    once = lambda d, c: d.select("*", F.explode(F.array(F.struct(c))).alias("_x")).select(*[f"`{n}`" for n in d.columns], "_x.*")
+    rows = once(df, text.alias("_text"))
+    rows = once(rows, F.when(_ascii(F.col("_text")), "").otherwise(_beyond_ascii(F.col("_text"))).alias("_rest"))
+    rows = once(rows, F.length(F.regexp_replace("_rest", f"[^{CJK_SIZES}]+", "")).cast("bigint").alias("_cjk"))
+    astral = F.length(F.regexp_replace("_rest", r"[^\x{10000}-\x{1ffff}\x{2fffe}-\x{10ffff}]+", ""))
+    return rows.select(*[f"`{n}`" for n in df.columns if n not in (other, cjk)], (F.length("_text") - F.col("_cjk") + astral).cast("bigint").alias(other), F.col("_cjk").alias(cjk))
+
+
+def rstrip(text: Column) -> Column:
+    """Without the ASCII white space at its end."""
+    return F.rtrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def units_to_tokens(other: Column, cjk: Column) -> Column:
     return (F.ceil(other / F.lit(4.0)) + F.ceil(cjk * F.lit(CJK_TOKENS))).cast("bigint")
 

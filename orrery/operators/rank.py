@@ -1,6 +1,6 @@
 """Ranking files by references to their symbols from other files, with further signals on top.
 
-Each text is exploded once into its distinct words with counts. What the other files of a group say of a name is the
+Each text is cut once into its words, of which the names of the group are counted. What the other files of a group say of a name is the
 group's total less what the file says itself, so a name meets its total and its own count, both many-to-one, and no
 pair of a defining and a naming file is ever formed. Names outside ``[A-Za-z0-9_]`` can't be words; they are counted in
 the texts that have their longest word (``odd_counts``), and then are words like the others.
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions.text import is_generic_name, is_test_path, words
-from orrery.operators.skew import running_total
+from orrery.operators.skew import cut, few_bytes, running_total
 
 #: A scorer gives (keys, contribution) for the files it has something to say about.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -35,32 +35,60 @@ def _named(symbols: DataFrame, group: Sequence[str], file: str, generic: bool) -
     return rows.groupBy(*group, file, F.col("name").alias("word")).agg(F.count(F.lit(1)).alias("_times"))
 
 
-def odd_counts(files: DataFrame, symbols: DataFrame, counts: DataFrame, group: Sequence[str], file: str, text: str = "text") -> DataFrame:
-    """(group, file, word, n) of the names of the group with characters outside words (``$``, ``?``, ``!``).
+def name_counts(files: DataFrame, symbols: DataFrame, group: Sequence[str], file: str, text: str = "text") -> DataFrame:
+    """(group, file, word, n): how often each text names a symbol of its group, names of four characters and more.
 
-    A boundary is needed at each end: where the name's end isn't a word character, one must follow it. So the words of a
-    name are whole words of the text, and only texts with its longest one are searched, each once for all its names. A
-    name without any word must be a whole run of marks between two word characters.
+    The texts are read once: their words meet the names right where they are cut, by broadcast if the names are few
+    bytes, and what isn't a name is never shuffled. Written once, as rankings ask for it several times.
     """
     keys = [*group, file]
-    names = symbols.filter((F.length("name") >= 4) & ~F.col("name").rlike(WORD)).select(*group, "name").distinct()
+    names = cut(symbols.filter(F.length("name") >= 4).select(*group, "name").distinct())
     inner = F.array_sort(F.regexp_extract_all("name", F.lit("([A-Za-z0-9_]+)"), F.lit(1)), lambda a, b: F.length(b) - F.length(a))
-    keyed = names.withColumn("word", F.get(inner, 0))
-    asked = counts.join(keyed.filter("word is not null"), [*group, "word"]).groupBy(*keys).agg(F.collect_set("name").alias("_names"))
+    odd = names.filter(~F.col("name").rlike(WORD)).withColumn("word", F.get(inner, 0))
+    wanted = names.filter(F.col("name").rlike(WORD)).select(*group, F.col("name").alias("word"))
+    if odd.isEmpty():
+        return cut(_counts_of(files, keys, text, wanted, group))
+    asked = odd.filter("word is not null")
+    all_ = cut(_counts_of(files, keys, text, wanted.unionByName(asked.select(*group, "word")).distinct(), group))
+    plain = all_.join(F.broadcast(wanted) if few_bytes(wanted) else wanted, [*group, "word"], "left_semi")
+    return cut(plain.unionByName(odd_counts(files, odd, all_, group, file, text)))
+
+
+def _counts_of(files: DataFrame, keys: Sequence[str], text: str, wanted: DataFrame, group: Sequence[str]) -> DataFrame:
+    by = [*group, "word"]
+    if few_bytes(wanted):
+        rows = files.select(*keys, F.explode(words(F.col(text))).alias("word")).join(F.broadcast(wanted), by, "left_semi")
+        return rows.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    return word_counts(files, keys, text).join(wanted, by, "left_semi")
+
+
+def odd_counts(files: DataFrame, odd: DataFrame, counts: DataFrame, group: Sequence[str], file: str, text: str = "text") -> DataFrame:
+    """(group, file, word, n) of names with characters outside words (``$``, ``?``, ``!``).
+
+    ``odd`` holds (group, name, word), a name with its longest word, ``counts`` how often each text has that. A boundary
+    is needed at each end: where the name's end isn't a word character, one must follow it. So the words of a name are
+    whole words of the text, and only texts with its longest one are searched, each once for all its names. A name
+    without any word must be a whole run of marks between two word characters.
+    """
+    keys = [*group, file]
+    asked = counts.join(odd.filter("word is not null"), [*group, "word"]).groupBy(*keys).agg(F.collect_set("name").alias("_names"))
     word = lambda c: c.rlike("^[A-Za-z0-9_]")
     edge = lambda c, at: F.when(word(c), F.lit(f"(?{at}![A-Za-z0-9_])")).otherwise(F.lit(f"(?{at}=[A-Za-z0-9_])"))
     pattern = lambda n: F.concat(edge(F.substring(n, 1, 1), "<"), F.lit(r"\Q"), n, F.lit(r"\E"), edge(F.substring(n, -1, 1), ""))
     found = F.filter(F.transform("_names", lambda n: F.struct(n.alias("word"), F.regexp_count(F.col(text), pattern(n)).cast("bigint").alias("n"))), lambda x: x.n > 0)
     some = files.select(*keys, text).join(asked, keys).select(*keys, F.explode(found).alias("_x")).select(*keys, "_x.word", "_x.n")
+    bare = odd.filter("word is null").select(*group, F.col("name").alias("word"))
+    if bare.isEmpty():
+        return some
     marks = files.select(*keys, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=[A-Za-z0-9_])([^A-Za-z0-9_\s]{4,})(?=[A-Za-z0-9_])"), F.lit(1))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    return some.unionByName(marks.join(keyed.filter("word is null").select(*group, F.col("name").alias("word")), [*group, "word"], "left_semi"))
+    return some.unionByName(marks.join(bare, [*group, "word"], "left_semi"))
 
 
 def references(counts: DataFrame, symbols: DataFrame, group: Sequence[str], file: str, cap: int | None = COUNT_CAP, generic: bool = False) -> DataFrame:
     """(group, file, n > 0): how often the other files of the group name the symbols of ``file``.
 
     A symbol defined several times in a file counts as often; each other file counts a name at most ``cap`` times.
-    ``counts`` holds (group, file, word, n), one row per file and word. A word's total is one row per group and word,
+    ``counts`` holds (group, file, word, n), one row per file and word (``name_counts``). A word's total is one row per group and word,
     combined before its shuffle; a name that many files define meets it in a join whose skewed side is split at run time.
     """
     names = _named(symbols, group, file, generic)

@@ -49,9 +49,8 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def counts(f: DataFrame, s: DataFrame) -> DataFrame:
-    """(repo, doc_id, word, n), names that can't be words among them."""
-    n = rank.word_counts(f, ["repo", "doc_id"])
-    return n.unionByName(rank.odd_counts(f, s, n, GROUP, FILE))
+    """(repo, doc_id, word, n) of the names that the texts hold."""
+    return rank.name_counts(f, s, GROUP, FILE)
 
 
 def round6(df: DataFrame, *columns: str) -> DataFrame:
@@ -150,8 +149,7 @@ def _outlined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     """(texts, symbols of the table, counts), all by repository and path; the outlined files are named by the texts."""
     f = sources(spark, d).groupBy("repo", "rel").agg(F.min("text").alias("text"))
     s = cut(table(spark, d, "symbols").filter("repo is not null and rel is not null and name is not null").select("symbol_id", "repo", "rel", "name").distinct())
-    n = rank.word_counts(f, ["repo", "rel"])
-    return f, s, n.unionByName(rank.odd_counts(f, s, n, GROUP, "rel"))
+    return f, s, rank.name_counts(f, s, GROUP, "rel")
 
 
 @query
@@ -203,8 +201,8 @@ def query_contribution(spark: SparkSession, d: str) -> DataFrame:
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     """(repo, doc_id, rank, score, other, cjk): the ranked files with the sizes of their blocks."""
     f = sources(spark, d)
-    block = F.concat(F.lit("### "), "rel", F.lit("\n\n```\n"), F.regexp_replace("text", r"\s+\z", ""), F.lit("\n```\n\n"))
-    sized = f.select("repo", "doc_id", T.other_units(block).cast("bigint").alias("other"), T.cjk_chars(block).cast("bigint").alias("cjk"))
+    block = F.concat(F.lit("### "), "rel", F.lit("\n\n```\n"), T.rstrip(F.col("text")), F.lit("\n```\n\n"))
+    sized = T.with_sizes(f.select("repo", "doc_id", "rel", "text"), block).select("repo", "doc_id", "other", "cjk")
     return rank.ranked(_scores(spark, d, []), GROUP, ties()).select("repo", "doc_id", "rel", "score", "rank").join(sized, ["repo", "doc_id"])
 
 
@@ -212,7 +210,7 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 def repomap_prefix(spark: SparkSession, d: str) -> DataFrame:
     """How far an outline of each repository's files, most referenced first, reaches in 800 tokens."""
     line = F.concat(F.lit("- L"), F.col("line").cast("string"), F.lit(" "), "kind", F.lit(" `"), "name", "signature", F.lit("`\n"))
-    outlines = symbols(spark, d).withColumn("_l", line).groupBy("repo", "doc_id").agg(F.sum(T.other_units(F.col("_l"))).alias("_o"), F.sum(T.cjk_chars(F.col("_l"))).alias("_c"))
+    outlines = T.with_sizes(symbols(spark, d), line).groupBy("repo", "doc_id").agg(F.sum("other").alias("_o"), F.sum("cjk").alias("_c"))
     head = F.concat(F.lit("## "), "rel", F.lit("\n"))
     best = rank.top(_scores(spark, d, []), GROUP, ties(), 800).join(outlines, ["repo", "doc_id"], "left")
     sized = best.select("repo", "doc_id", "rank", (T.other_units(head) + F.coalesce("_o", F.lit(0))).alias("other"), (T.cjk_chars(head) + F.coalesce("_c", F.lit(0))).alias("cjk"))

@@ -79,19 +79,16 @@ def brute_reference(files, symbols):
     return out
 
 
-def counts_of(files, symbols):
-    n = rank.word_counts(files, ["repo", "rel"])
-    return n.unionByName(rank.odd_counts(files, symbols, n, ["repo"], "rel"))
-
-
-def test_reference_scores_match_brute_force(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_reference_scores_match_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(rank, "few_bytes", lambda df: few)
     rnd = random.Random(5)
     names = ["alpha", "beta_1", "main", "abc", "Delta", "x$yz", "wait?", "été1", "$run", "$?!$"]
     files = [(f"f{i}.py", " ".join(rnd.choice([*names, "alpha.", "xalpha", "Étre", "wait?z", "x$yz9", "a$run", "a$?!$b", "a$?!$$b"]) for _ in range(60))) for i in range(8)]
     symbols = {f"f{i}.py": [rnd.choice(names) for _ in range(rnd.randint(0, 13))] for i in range(8)}
     f = spark.createDataFrame([("r", *x) for x in files], "repo string, rel string, text string")
     s = spark.createDataFrame([("r", rel, n) for rel, ns in symbols.items() for n in ns], "repo string, rel string, name string")
-    got = rank.reference_scores(f, s, counts_of(f, s), ["repo"], "rel")
+    got = rank.reference_scores(f, s, rank.name_counts(f, s, ["repo"], "rel"), ["repo"], "rel")
     plain = {k: v for k, v in symbols.items()}
     assert {r.rel: r.reference for r in got.collect()} == brute_reference(files, {k: [n for n in v if n.isascii()] + [n for n in v if not n.isascii()] for k, v in plain.items()})
 
