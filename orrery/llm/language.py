@@ -11,7 +11,7 @@ Prose is what remains without code lines, fenced code, inline code, paths, ident
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Languages that are told apart unless others are named.
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ko", "ja")
 # Three-letter codes.
 CODES3 = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "kor": "ko", "jpn": "ja"}
+#: What a text or segment of too little confidence is called.
+UNKNOWN = "und"
 #: Least share of the prose for a language to be in a text.
 LEAST_SHARE = 0.15
 #: Bound of the training sample: labelled documents of each language, and their length in characters.
@@ -181,8 +184,9 @@ def segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 class Profiles:
     """Letter vectors, and the products of all trigrams with the prototypes of the languages."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        """``counts``: trigrams x languages of the training texts; a language without any is never found."""
+    def __init__(self, counts: np.ndarray, names: Sequence[str] = LANGUAGES) -> None:
+        """``counts``: trigrams x languages, called ``names``, of the training texts; a language without any is never found."""
+        self.names = tuple(names)
         vectors = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SIZE, DIMENSION))
         once, twice = np.roll(vectors, 1, axis=1), np.roll(vectors, 2, axis=1)
         seen, total = np.flatnonzero(counts.any(axis=1)), counts.sum(axis=0)
@@ -207,23 +211,23 @@ class Profiles:
         return np.add.reduceat(self.table[codes], first, axis=0) / np.sqrt(n)[:, None], n
 
 
-def trained(texts: list[str], labels: list[str], rounds: int = 3) -> Profiles:
+def trained(texts: list[str], labels: list[str], rounds: int = 3, names: Sequence[str] = LANGUAGES) -> Profiles:
     """Prototypes from labelled texts; after the first round each sentence counts for the language it is closest to.
 
     Labels may be wrong for some texts, as long as most of each language's are right.
     """
     doc, _, _, codes, first = segments(texts)
-    counts = np.zeros((SIZE**3, len(LANGUAGES)), np.float32)
+    counts = np.zeros((SIZE**3, len(names)), np.float32)
     if not len(first):
-        return Profiles(counts)
-    label = np.array([LANGUAGES.index(x) for x in labels])[doc]
+        return Profiles(counts, names)
+    label = np.array([list(names).index(x) for x in labels])[doc]
     seg = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(codes))))
     given = np.unique(label)
     for i in range(rounds):
         counts[:] = 0
         for l in given:
             counts[:, l] = np.bincount(codes[label[seg] == l], minlength=SIZE**3)
-        profiles = Profiles(counts)
+        profiles = Profiles(counts, names)
         if i + 1 < rounds:
             label = _best(*profiles.cosines(codes, first))[0]
     return profiles
@@ -256,12 +260,22 @@ def label_texts(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, ...]:
     weight = n + 2 * wide
     best, sure = _best(cosines, n)
     unsure = (n < SURE_TRIGRAMS) | (sure < SURE_MARGIN)
+    k = len(profiles.names)
+    short = unsure & (2 * wide > n)
+    if short.any():
+        # short sentences in wide scripts are judged together, those of a text that are closest to one language
+        group, of = np.unique(doc[short] * k + best[short], return_inverse=True)
+        together, size = np.zeros((len(group), k)), np.bincount(of, n[short])
+        np.add.at(together, of, cosines[short] * np.sqrt(n[short])[:, None])
+        one, margin = _best(together / np.sqrt(size)[:, None], size)
+        good = (size >= SURE_TRIGRAMS) & (margin >= SURE_MARGIN) & (one == group % k)
+        unsure[np.flatnonzero(short)[good[of]]] = False
     if unsure.any():
         # the document's sure sentences vote by weight; where there are none, the sum of all products decides
         docs = int(doc[-1]) + 1
-        votes = np.zeros((docs, len(LANGUAGES)))
+        votes = np.zeros((docs, k))
         np.add.at(votes, (doc[~unsure], best[~unsure]), weight[~unsure])
-        sums = np.zeros((docs, len(LANGUAGES)))
+        sums = np.zeros((docs, k))
         np.add.at(sums, doc, cosines * np.sqrt(n)[:, None])
         main = np.where(votes.any(axis=1), votes.argmax(axis=1), sums.argmax(axis=1))
         # among the languages that the document surely has, the closest; else the main one
@@ -281,23 +295,23 @@ def normal_label(lang: Column) -> Column:
     return F.when((head == "") | (head == "und"), None).otherwise(code)
 
 
-def profiles_of(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS) -> Profiles:
-    """Prototypes from at most ``per_language`` labelled texts of at most ``chars`` characters for each language.
+def profiles_of(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS, names: Sequence[str] = LANGUAGES) -> Profiles:
+    """Prototypes of the languages ``names`` from at most ``per_language`` labelled texts of at most ``chars`` characters for each language.
 
     The sample is the texts with the smallest hashes of their keys, so it depends on no order and no machine.
     """
     rows = documents.select(F.xxhash64(key).alias("_h"), normal_label(F.col(lang)).alias("_l"), F.col(text).alias("_t"))
-    rows = rows.filter(F.col("_l").isin(*LANGUAGES) & (F.length("_t") <= chars))
+    rows = rows.filter(F.col("_l").isin(*names) & (F.length("_t") <= chars))
     counts = dict(rows.groupBy("_l").count().collect())
     if not counts:
-        return trained([], [])
+        return trained([], [], names=names)
     share = F.lit(0.0)
     for l, n in counts.items():
         share = F.when(F.col("_l") == l, F.lit(min(1.0, (per_language * 1.2 + 20) / n))).otherwise(share)
     near = rows.filter(F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53)) < share)
     w = Window.partitionBy("_l").orderBy("_h", "_t")
     sample = near.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_language).orderBy("_l", "_n").select("_t", "_l").collect()
-    return trained([r[0] for r in sample], [r[1] for r in sample])
+    return trained([r[0] for r in sample], [r[1] for r in sample], names=names)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
@@ -312,9 +326,16 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
         yield at, texts
 
 
-def languages(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _named(profiles: Profiles, language: np.ndarray, confidence: np.ndarray, least: float) -> pa.Array:
+    names = np.array([*profiles.names, UNKNOWN], object)
+    return pa.array(names[np.where(confidence < least, len(names) - 1, language)], pa.string())
+
+
+def languages(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text", least_confidence: float = 0.0) -> DataFrame:
     """(key, language, share DOUBLE, confidence DOUBLE) of each language of each text's prose, whatever its share.
 
+    What has less than ``least_confidence`` is ``und``: in none of the languages, or in too few words to tell.
+
     A text without prose, a null and an empty text give no rows; equal rows give equal rows. Other columns are ignored.
     Texts stay in their partition.
     """
@@ -325,19 +346,19 @@ def languages(documents: DataFrame, profiles: Profiles, key: str = "doc_id", tex
         for batch in batches:
             for at, texts in _slices(batch):
                 doc, _, _, best, sure, weight = label_texts(texts, shared.value)
-                k = len(LANGUAGES)
+                k = len(shared.value.names)
                 mass = np.bincount(doc * k + best, weight, len(texts) * k).reshape(-1, k) if len(doc) else np.zeros((len(texts), k))
                 belief = np.bincount(doc * k + best, weight * sure, len(texts) * k).reshape(-1, k) if len(doc) else mass
                 d, l = np.nonzero(mass)
+                confidence = belief[d, l] / mass[d, l]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(d + at)), pa.array([LANGUAGES[i] for i in l], pa.string()),
-                     pa.array(mass[d, l] / mass.sum(axis=1)[d], pa.float64()), pa.array(belief[d, l] / mass[d, l], pa.float64())],
+                    [batch.column(0).take(pa.array(d + at)), _named(shared.value, l, confidence, least_confidence), pa.array(mass[d, l] / mass.sum(axis=1)[d], pa.float64()), pa.array(confidence, pa.float64())],
                     names=[key, "language", "share", "confidence"])
 
     return documents.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, language string, share double, confidence double")
 
 
-def language_segments(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
+def language_segments(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text", least_confidence: float = 0.0) -> DataFrame:
     """(key, segment_no INT from 1, start INT, end INT, language, confidence DOUBLE): stretches of prose in one language.
 
     Neighbouring sentences of one language are one segment; offsets count characters of the text. Texts as in ``languages``.
@@ -353,11 +374,11 @@ def language_segments(documents: DataFrame, profiles: Profiles, key: str = "doc_
                     continue
                 new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (best[1:] != best[:-1]))))
                 d = doc[new]
+                confidence = np.add.reduceat(sure * weight, new) / np.add.reduceat(weight, new)
                 first_of_doc = np.maximum.accumulate(np.where(np.concatenate(([True], d[1:] != d[:-1])), np.arange(len(d)), 0))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(d + at)), pa.array(np.arange(len(d)) - first_of_doc + 1, pa.int32()), pa.array(start[new], pa.int32()),
-                     pa.array(end[np.append(new[1:], len(doc)) - 1], pa.int32()), pa.array([LANGUAGES[i] for i in best[new]], pa.string()),
-                     pa.array(np.add.reduceat(sure * weight, new) / np.add.reduceat(weight, new), pa.float64())],
+                     pa.array(end[np.append(new[1:], len(doc)) - 1], pa.int32()), _named(shared.value, best[new], confidence, least_confidence), pa.array(confidence, pa.float64())],
                     names=[key, "segment_no", "start", "end", "language", "confidence"])
 
     return documents.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, segment_no int, start int, end int, language string, confidence double")

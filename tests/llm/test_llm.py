@@ -432,6 +432,24 @@ def test_training_is_bounded_and_ignores_order(spark):
     assert np.array_equal(a.table, b.table)
 
 
+def test_other_languages_and_a_least_confidence(spark):
+    texts = [(" ".join(SENTENCES[l][:3]), {"en": "x1", "de": "x2"}[l]) for l in ("en", "de") for _ in range(3)]
+    two = language.trained(*map(list, zip(*texts)), names=("x1", "x2"))
+    df = spark.createDataFrame([(1, SENTENCES["en"][3]), (2, SENTENCES["de"][3]), (3, SENTENCES["ja"][3])], "doc_id int, text string")
+    assert {r.doc_id: r.language for r in language.languages(df, two).filter("doc_id < 3").collect()} == {1: "x1", 2: "x2"}
+    assert {r.language for r in language.languages(df, two, least_confidence=1.01).collect()} == {"und"} == {r.language for r in language.language_segments(df, two, least_confidence=1.01).collect()}
+    rows = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(texts)], "doc_id int, text string, lang string").withColumn("lang", F.when(F.col("lang") == "x1", "en").otherwise("de"))
+    assert language.profiles_of(rows, names=("de", "en")).names == ("de", "en")
+
+
+def test_short_lines_in_a_wide_script_are_judged_together(profiles):
+    """Comments of a few syllables each, beside sentences in another language."""
+    lines = "\n".join([*SENTENCES["en"], *(f"// {w}" for s in SENTENCES["ko"] for w in s.rstrip(".").split(" "))])
+    _, _, _, best, _, weight = language.label_texts([lines], profiles)
+    share = weight[best == language.LANGUAGES.index("ko")].sum() / weight.sum()
+    assert share > 0.15 and {language.LANGUAGES[b] for b in best} == {"en", "ko"}
+
+
 # 3, whole values
 
 
