@@ -131,3 +131,9 @@ def stale(items: DataFrame, built: DataFrame, keys: Sequence[str], changed: str,
     """(keys) whose newest change is later than they were built. ``built`` holds (keys, built_at)."""
     newest = items.groupBy(*keys).agg(F.max(changed).alias("_changed"))
     return built.join(newest, list(keys)).filter(F.col("_changed") > F.col(built_at)).select(*keys, F.col("_changed").alias("changed_at"))
+
+
+def first_newer_of(items: DataFrame, built: DataFrame, keys: Sequence[str], path: str, changed: str, built_at: str) -> DataFrame:
+    """(keys, first): the first path, in order, of each key's items that changed after ``built`` (one row per key)."""
+    late = items.join(built.select(*keys, built_at), list(keys)).filter(F.col(changed) > F.col(built_at))
+    return late.groupBy(*keys).agg(F.min(path).alias("first")).filter("first is not null")

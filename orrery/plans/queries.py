@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
+from orrery.functions.counter import Counter, Exact
 from orrery.functions.glob import matches
 from orrery.operators import baseline, bm25, budget, cochange, detect, evaluate, health, lookup, outline, rank, rot, sections, select
 from orrery.operators.skew import cut
@@ -82,9 +83,38 @@ def stem_vocab(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("part", T.stem(F.col("part")).alias("stem"), "n")
 
 
+@query
+def head_lines(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document its first twelve lines are."""
+    return files(spark, d).select("doc_id", F.length(T.head_lines(F.col("text"), 12)).cast("bigint").alias("n_chars"))
+
+
+def count_words(text: str) -> int:
+    return len(text.split())
+
+
+@query
+def exact_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each source by an exact counter in place of the heuristic; here a token is a word."""
+    other, cjk = Exact(lambda: count_words).columns(F.col("text"))
+    return files(spark, d).groupBy("source").agg(F.sum(T.units_to_tokens(other, cjk)).cast("bigint").alias("tokens"))
+
+
 # outlines
 
 
+@query
+def source_extensions(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked files by extension."""
+    return sources(spark, d).groupBy(T.extension(F.col("rel")).alias("extension")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query
+def module_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All files of one module, of any type."""
+    return select.module_files(files(spark, d).drop("text"), MODULES, "core").select("doc_id", "rel")
+
+
 @query
 def outline_symbols(spark: SparkSession, d: str) -> DataFrame:
     return outline.symbols(files(spark, d), ["doc_id"])
@@ -95,6 +125,12 @@ def import_lines(spark: SparkSession, d: str) -> DataFrame:
     return outline.imports(files(spark, d), ["doc_id"]).select("doc_id", "specifier", "line").distinct()
 
 
+@query
+def import_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Relative imports of each file and the files that they name."""
+    return import_targets(spark, d).filter(F.col("specifier").startswith(".")).select("repo", "rel", "specifier", "line", "resolved").distinct()
+
+
 @query
 def import_targets(spark: SparkSession, d: str) -> DataFrame:
     """Imports with the file of the same repository that they name."""
@@ -139,6 +175,13 @@ def rank_explain(spark: SparkSession, d: str) -> DataFrame:
     return round6(rank.top(_scores(spark, d, [asked]).withColumn("score", F.round("score", 9)), GROUP, ties(), 20).drop("rel"), "score", "reference", "scorers")
 
 
+@query
+def query_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten files of each repository for a query, from which co-change starts."""
+    asked = bm25.contribution(_about(spark, d)).join(files(spark, d).select("doc_id", "repo"), "doc_id")
+    return rank.top(_scores(spark, d, [asked]).withColumn("score", F.round("score", 9)), GROUP, ties(), 10).select("repo", "doc_id", "rank")
+
+
 @query
 def elsewhere_top20(spark: SparkSession, d: str) -> DataFrame:
     own = sources(spark, d).filter(matches(F.col("rel"), MODULES["core"]))
@@ -167,6 +210,15 @@ def diff_expansion(spark: SparkSession, d: str) -> DataFrame:
     return round6(select.expansion(n, s, seeds, f, GROUP, "rel", "rel"), "score")
 
 
+@query
+def diff_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The changed files with their callers, each once."""
+    f, s, n = _outlined(spark, d)
+    seeds = s.filter(matches(F.col("rel"), DIFF)).select("repo", "rel").distinct()
+    callers = select.expansion(n, s, seeds, f, GROUP, "rel", "rel")
+    return seeds.withColumn("is_seed", F.lit(True)).unionByName(callers.select("repo", "rel", F.lit(False).alias("is_seed")))
+
+
 # relevance
 
 
@@ -223,6 +275,14 @@ def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
     return budget.greedy_fit(_blocks(spark, d), GROUP, 3000, header=(40, 0), reserve=50)
 
 
+@query
+def pack_explain(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 files of each repository and whether a pack of 3,000 tokens holds them."""
+    blocks = cut(_blocks(spark, d))
+    fitted = budget.greedy_fit(blocks, GROUP, 3000, header=(40, 0), reserve=50)
+    return blocks.filter("rank <= 20").join(fitted, ["repo", "rank"]).select("repo", "doc_id", "score", "rank", "included")
+
+
 @query
 def pack_seeded(spark: SparkSession, d: str) -> DataFrame:
     """Packs led by each repository's rules and repository maps, however these sources are spelled."""
@@ -346,6 +406,14 @@ def stale_maps(spark: SparkSession, d: str) -> DataFrame:
     return health.stale(docs.filter("source = 'code'").withColumnRenamed("updated_at", "changed"), built, GROUP, "changed", "updated_at").groupBy("repo").agg(F.unix_micros(F.max("changed_at")).alias("changed_at"))
 
 
+@query
+def stale_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first code file of each repository that is newer than its newest map."""
+    docs = table(spark, d, "documents").withColumn("source", T.normal_source(F.col("source")))
+    built = docs.filter("source = 'repo_map' and updated_at is not null").groupBy("repo").agg(F.max("updated_at").alias("built"))
+    return health.first_newer_of(docs.filter("source = 'code'"), built, GROUP, "rel", "updated_at", "built")
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
     packs = table(spark, d, "packs").filter("pack_id is not null")
     hits = health.secret_lines(packs, ["pack_id"], "content").distinct()
@@ -373,9 +441,36 @@ def check_summary(spark: SparkSession, d: str) -> DataFrame:
     return baseline.apply(results, baseline.entries(results.filter("line < 60"))).groupBy("name", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def check_failures(spark: SparkSession, d: str) -> DataFrame:
+    """What decides the exit code."""
+    results = _results(spark, d)
+    return spark.createDataFrame([(baseline.failures(baseline.apply(results, baseline.entries(results.filter("line < 60")))),)], "n_failures bigint")
+
+
 # rule documents
 
 
+@query
+def span_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What stands before the colon ahead of each span."""
+    return rot.backticks(files(spark, d), ["doc_id"]).filter("label <> ''").select("doc_id", "line", "span_no", "text", "label")
+
+
+@query
+def span_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Spans that, as commands, may not end by themselves or are left out by the settings."""
+    spans = rot.backticks(files(spark, d), ["doc_id"])
+    return spans.filter(rot.non_terminating_reason(F.col("text"), F.col("label"), ["import"]).isNotNull()).select("doc_id", "line", "span_no", "text")
+
+
+@query
+def missing_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Spans that look like a path and name none of the files."""
+    f = files(spark, d)
+    return rot.missing_paths(rot.backticks(f, ["doc_id"]), f.filter("rel is not null").select("rel")).select("doc_id", "line", "span_no", "text")
+
+
 @query
 def fence_strip(spark: SparkSession, d: str) -> DataFrame:
     kept = F.filter(rot.strip_fences(F.col("text")), lambda l: l != "")
@@ -416,6 +511,14 @@ def section_budget(spark: SparkSession, d: str) -> DataFrame:
     return sections.within_budget(sections.search(s, "token", ["section_id"], 20), ["section_id"], 4000).select("section_id", "rank", "tokens")
 
 
+@query
+def section_context(spark: SparkSession, d: str) -> DataFrame:
+    """What an answer of 8,000 tokens to a search holds, its header counted."""
+    s = table(spark, d, "sections").select("section_id", "heading", "body").distinct()
+    head = Counter().sizes('<!-- sections for "token" -->\n')
+    return sections.within_budget(sections.search(s, "token", ["section_id"], 20), ["section_id"], 8000, head).select("section_id", "rank", "tokens")
+
+
 # lookup, evaluation, detection
 
 
@@ -462,6 +565,17 @@ def graded_answers(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.pass_rates(graded).select("profile", "n", F.round("rate", 6).alias("rate"))
 
 
+@query
+def answer_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Each section as an answer is shown in a report."""
+    return table(spark, d, "sections").select("section_id", evaluate.clip(F.col("body")).alias("answer")).distinct()
+
+
+@query
+def pass_percent(spark: SparkSession, d: str) -> DataFrame:
+    return graded_answers(spark, d).select("profile", evaluate.percent(F.col("rate")).alias("percent"))
+
+
 @query
 def module_detect(spark: SparkSession, d: str) -> DataFrame:
     return detect.modules(table(spark, d, "commits").filter("rel is not null").select("repo", "rel").distinct(), GROUP)

@@ -242,6 +242,29 @@ found AS (
 _DUPLICATES = rf"""s AS (SELECT DISTINCT repo || '/' || rel AS path, name, regexp_replace(signature, '\s+', '', 'g') AS sig FROM symbols WHERE top_level AND length(name) >= 4 AND NOT regexp_matches(name, '^__.+__$') AND NOT regexp_matches(repo || '/' || rel, {_q(_TEST)})),
 g AS (SELECT name, sig FROM s WHERE sig <> '' GROUP BY ALL HAVING count(*) >= 2), f AS (SELECT DISTINCT name, path FROM s JOIN g USING (name, sig))"""
 _NAMED_ELSEWHERE = "r AS (SELECT DISTINCT s.repo, s.doc_id FROM symbols_of s JOIN mentions m ON m.repo = s.repo AND m.name = s.name AND m.doc_id <> s.doc_id)"
+# the text before each span, and the label in it
+_CUT = r"""
+pieces AS (SELECT doc_id, n::INT AS line, string_split(line, '`') AS p FROM kept WHERE contains(line, '`')),
+spanned AS (SELECT doc_id, line, p, unnest(list_filter(range(2, len(p)), lambda i: i % 2 = 0)) AS i FROM pieces),
+before AS (SELECT doc_id, line, (row_number() OVER (PARTITION BY doc_id, line ORDER BY i) - 1)::INT AS span_no, p[i] AS text, array_to_string(list_slice(p, 1, i - 1), '`') AS b FROM spanned WHERE p[i] <> ''),
+cut AS (SELECT doc_id, line, span_no, text, CASE WHEN contains(b, ':') THEN trim(regexp_replace(regexp_extract(regexp_extract(b, '([^·]*)$', 1), '^(.*):[^:]*$', 1), '^[-*\s]+', '')) ELSE '' END AS label FROM before)
+"""
+_RUNS_ON = r"(?i)(--watch\b|(^|\s)-w(\s|$)|\b(watch|serve|dev|start)\b)"
+_IMPORTS_OF = _IMPORTS.replace("doc_id, rel,", "repo, rel,").replace("FROM documents)", "FROM (SELECT repo, rel, min(text) AS text FROM documents WHERE rel IS NOT NULL GROUP BY ALL))")
+
+
+def _normal(path: str) -> str:
+    return f"list_reduce(list_prepend('', string_split({path}, '/')), lambda a, s: CASE WHEN s IN ('.', '') THEN a WHEN s = '..' THEN CASE WHEN a = '' OR regexp_matches(a, '(^|/)\\.\\.$') THEN ltrim(a || '/..', '/') ELSE regexp_replace(a, '(^|/)[^/]+$', '') END WHEN a = '' THEN s ELSE a || '/' || s END)"
+
+
+_RESOLVED = rf"""
+placed AS (SELECT *, CASE WHEN contains(rel, '/') THEN regexp_extract(rel, '^(.*)/[^/]*$', 1) || '/' ELSE '' END AS here, regexp_extract(specifier, '^(\.+)', 1) AS dots, regexp_extract(specifier, '^\.+(.*)', 1) AS rest FROM found WHERE specifier LIKE '.%'),
+based AS (SELECT *, {_normal("here || specifier")} AS t, {_normal("here || repeat('../', length(dots) - 1) || replace(rest, '.', '/')")} AS p FROM placed),
+tried AS (SELECT *, CASE WHEN rel LIKE '%.py' THEN CASE WHEN rest <> '' THEN [p || '.py', p || '/__init__.py'] ELSE [ltrim(p || '/__init__.py', '/')] END
+  ELSE CASE WHEN regexp_matches(t, '[^/]\.[^./]*$') THEN [t] ELSE [] END || list_transform({list(('.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.py', '.go', '.rs'))}, lambda e: t || e) || list_transform({list(('.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.py', '.go', '.rs'))}, lambda e: t || '/index' || e) || [t || '/__init__.py'] END AS c FROM based),
+there AS (SELECT repo, list(DISTINCT rel) AS rels FROM documents WHERE rel IS NOT NULL GROUP BY repo),
+named AS (SELECT tried.*, list_filter(c, lambda x: list_contains(rels, x))[1] AS resolved FROM tried JOIN there USING (repo))
+"""
 _SOURCE = r"regexp_replace(regexp_replace(lower(source), '^[\s_-]+|[\s_-]+$', '', 'g'), '[\s_-]+', '_', 'g')"
 
 SQL: dict[str, str] = {
@@ -332,4 +355,29 @@ t AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, dir) AS k
 m AS (SELECT repo, regexp_replace(regexp_extract(dir, '[^/]*$'), '[^A-Za-z0-9_-]', '-', 'g') AS module, dir, n, k FROM t)
 SELECT repo, module, dir || '/**' AS glob, n AS n_files FROM m QUALIFY row_number() OVER (PARTITION BY repo, module ORDER BY k) = 1""",
     "module_match_counts": f"SELECT unnest(['core', 'checks', 'web']) AS module, unnest([count(*) FILTER (regexp_matches(rel, '{_CORE}')), count(*) FILTER (regexp_matches(rel, '{_CHECKS}')), count(*) FILTER (regexp_matches(rel, '{_WEB}'))]) AS n_files FROM documents",
+    "head_lines": "SELECT doc_id, length(array_to_string(list_slice(string_split(text, chr(10)), 1, 12), chr(10))) AS n_chars FROM documents",
+    "exact_tokens": r"SELECT source, sum(len(list_filter(regexp_split_to_array(text, '[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '')))::BIGINT AS tokens FROM documents GROUP BY source",
+    "source_extensions": rf"SELECT regexp_extract(rel, '(\.[^./]*)$', 1) AS extension, count(*) AS n_files FROM documents WHERE {SOURCE} GROUP BY ALL",
+    "module_scan": f"SELECT doc_id, rel FROM documents WHERE regexp_matches(rel, '{_CORE}')",
+    "query_seeds": f"SELECT repo, doc_id, rank FROM ({_WITH_QUERY}) WHERE rank <= 10",
+    "diff_selection": rf"""WITH {_TABLE_MENTIONS},
+seeds AS (SELECT DISTINCT repo, rel FROM symbols WHERE regexp_matches(rel, '\.(py|ts|js|go|tsx)$')),
+names AS (SELECT DISTINCT repo, name FROM symbols SEMI JOIN seeds USING (repo, rel) WHERE NOT {_GENERIC}),
+t AS (SELECT m.repo, m.rel, sum(m.n) AS n FROM mentions m JOIN names USING (repo, name) ANTI JOIN seeds ON seeds.repo = m.repo AND seeds.rel = m.rel GROUP BY ALL),
+n AS (SELECT repo, rel, n * CASE WHEN regexp_matches(rel, {_q(_TEST)}) THEN 0.2::DOUBLE ELSE 1 END AS score FROM t)
+SELECT repo, rel, true AS is_seed FROM seeds UNION ALL SELECT repo, rel, false FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY repo ORDER BY score DESC, rel COLLATE en) <= 10)""",
+    "pack_explain": f"WITH RECURSIVE {_BLOCKS}, {_greedy('true', 40, 3000, 50, 'blocks')} SELECT repo, doc_id, score, rank, included FROM blocks JOIN walk USING (repo, rank) WHERE rank <= 20",
+    "stale_first": f"WITH d AS (SELECT *, {_SOURCE} AS s FROM documents), b AS (SELECT repo, max(updated_at) AS built FROM d WHERE s = 'repo_map' GROUP BY repo) SELECT repo, min(rel) AS first FROM d JOIN b USING (repo) WHERE s = 'code' AND updated_at > built GROUP BY repo HAVING min(rel) IS NOT NULL",
+    "check_failures": f"WITH {_RESULTS} SELECT count(*) FILTER (level = 'fail') AS n_failures FROM applied",
+    "span_labels": rf"WITH {_SPANS}, {_CUT} SELECT doc_id, line, span_no, text, label FROM cut WHERE label <> ''",
+    "span_commands": rf"WITH {_SPANS}, {_CUT} SELECT doc_id, line, span_no, text FROM cut WHERE contains(lower(text), 'import') OR contains(lower(label), 'import') OR regexp_matches(text, {_q(_RUNS_ON)}) OR regexp_matches(label, {_q(_RUNS_ON)})",
+    "missing_paths": rf"""WITH {_SPANS}, {_CUT},
+there AS (SELECT DISTINCT array_to_string(list_slice(string_split(rel, '/'), 1, n), '/') AS p FROM documents, unnest(range(1, 50)) t(n) WHERE rel IS NOT NULL AND n <= len(string_split(rel, '/')))
+SELECT doc_id, line, span_no, text FROM cut WHERE NOT regexp_matches(text, '\s') AND NOT regexp_matches(text, '(?i)^[a-z]+://') AND NOT regexp_matches(text, '[<>]') AND (contains(text, '/') OR regexp_matches(text,
+  '[^/]\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|kt|cs|rb|php|swift|c|h|cc|cpp|hpp|json|yaml|yml|md|toml|lock|txt|cfg|ini|env|sh|sql)$')) AND regexp_replace(regexp_replace(text, '^\./', ''), '/$', '') NOT IN (SELECT p FROM there)""",
+    "section_context": f"""WITH {_SECTION}, top AS (SELECT section_id, body, row_number() OVER (ORDER BY score DESC, section_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20),
+t AS (SELECT section_id, rank, {_tokens(f"30 + sum({_other('body')}) OVER (ORDER BY rank)", f"sum({_cjk('body')}) OVER (ORDER BY rank)")} AS tokens FROM top) SELECT * FROM t WHERE tokens <= 8000""",
+    "answer_clips": r"SELECT DISTINCT section_id, left(regexp_replace(body, '[ \t\n\x0b\f\r]+', ' ', 'g'), 80) AS answer FROM sections",
+    "pass_percent": "WITH once AS (SELECT DISTINCT section_id, repo, body FROM sections) SELECT repo AS profile, floor(round(avg((contains(lower(coalesce(body, '')), 'token') OR contains(lower(coalesce(body, '')), 'snapshot'))::INT), 6) * 100 + 0.5)::INT AS percent FROM once GROUP BY repo",
+    "import_resolved": rf"""WITH {_IMPORTS_OF}, {_RESOLVED} SELECT DISTINCT repo, rel, specifier, line, resolved FROM named""",
 }
