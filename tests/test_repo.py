@@ -203,3 +203,18 @@ def test_stream_of_commits(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     commits.maintain(stream, seeds, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert {r.rel: r.together for r in commits.read(spark, str(tmp_path / "out")).collect()} == {"b": 6, "c0": 3, "c1": 3}
+
+
+def test_stream_of_commits_in_parts(spark, tmp_path):
+    """Commits whose files come in several batches, some again, one of which grows too large."""
+    from orrery.operators import cochange
+
+    rows = [("r", f"s{i}", i, f) for i in range(5) for f in ("a", "b", f"c{i}")] + [("r", "s4", 4, f"x{i}") for i in range(3)]
+    schema = "repo string, sha string, commit_ord int, rel string"
+    for part in (rows[0::3], rows[1::3] + rows[0:4], rows[2::3]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seeds = spark.createDataFrame([("r", "a"), ("r", "c1")], "repo string, rel string")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    commits.maintain(stream, seeds, str(tmp_path / "out"), str(tmp_path / "cp"), bulk=4).awaitTermination(180)
+    whole = cochange.seed_sums(cochange.window_commits(spark.createDataFrame(rows, schema), bulk=4), seeds)
+    assert {r.rel: r.together for r in commits.read(spark, str(tmp_path / "out")).collect()} == {r.rel: r.together for r in whole.collect()}
