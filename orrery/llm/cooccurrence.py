@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.skew import cut, few_bytes, hot_keys, hot_rows, lookup, partitions, running_total
+from orrery.operators.skew import cut, few_bytes, hot_keys, lookup, partitions, running_total
 
-#: Files in a list of one row, of commits that hold a hot share of all rows.
-BLOCK = 4096
+#: Rows of a commit beyond which its files are listed in blocks of about so many.
+LARGE, BLOCK = 40_000, 4096
 #: Pair codes a task holds before it sorts them into a run.
 RUN = 1 << 21
 RUN_SCHEMA = "code bigint, n bigint"
@@ -107,18 +107,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def baskets(named: DataFrame, max_files: int | None) -> DataFrame:
     """(repo, sha, block, rels, k): the distinct files of each commit of at most ``max_files``, ``k`` in number.
 
-    A commit is one row (block 0) unless it holds a hot share of all rows. Such commits, found by partial counts, are
-    made distinct in tasks of their own and parted into blocks of about ``BLOCK`` files by a hash of the file, so that
-    no list grows with the data.
+    A commit is one row (block 0) unless it has more than ``LARGE`` rows. Such commits, found by partial counts, are made
+    distinct in tasks of their own and parted into blocks of about ``BLOCK`` files by a hash of the file, so that no
+    list grows with the data, however large a commit is.
     """
     keys = ["repo", "sha"]
-    hot = hot_rows(named, keys, 10 * BLOCK)
-    few = named if hot is None else named.join(F.broadcast(hot), keys, "left_anti")
+    large = cut(named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LARGE).select(*keys))
+    some = not large.isEmpty()
+    side = lambda df: F.broadcast(df) if few_bytes(df) else df
+    few = named.join(side(large), keys, "left_anti") if some else named
     out = few.groupBy(*keys).agg(F.collect_set("rel").alias("rels")).select(*keys, F.lit(0).alias("block"), "rels", F.size("rels").cast("bigint").alias("k"))
-    if hot is not None:
-        many = cut(named.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys, "rel").agg(F.count(F.lit(1)).alias("_seen")))
-        sizes = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
-        sized = many.join(F.broadcast(sizes), keys)  # one row per hot commit
+    if some:
+        many = cut(named.join(side(large), keys, "left_semi").groupBy(*keys, "rel").agg(F.count(F.lit(1)).alias("_seen")))
+        sized = many.join(side(many.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))), keys)
         block = F.pmod(F.xxhash64("rel"), F.greatest(F.lit(1), F.ceil(F.col("k") / BLOCK))).cast("int")
         out = out.unionByName(sized.groupBy(*keys, block.alias("block"), "k").agg(F.collect_list("rel").alias("rels")))
     return out if max_files is None else out.filter(F.col("k") <= max_files)

@@ -79,6 +79,7 @@ def test_pairs_of_commits_of_any_size(spark, monkeypatch):
     want = brute_pairs(rows, 10**9)
     for block, run in ((4096, 1 << 21), (20, 1 << 21), (4096, 1000), (20, 50)):
         monkeypatch.setattr(cooccurrence, "BLOCK", block)
+        monkeypatch.setattr(cooccurrence, "LARGE", 10 * block)
         monkeypatch.setattr(cooccurrence, "RUN", run)
         got = {(r.repo, r.rel_a, r.rel_b): (r.n_ab, r.n_a, r.n_b, r.n_commits) for r in cooccurrence.pairs(df).collect()}
         assert got == want
