@@ -182,7 +182,7 @@ def _mixed(spark: SparkSession, d: str, how: str) -> tuple[DataFrame, DataFrame,
     the plain temperature until the weights have the targets' entropy, "targets" takes the largest budget that needs no
     exponent.
     """
-    goals = table(spark, d, "mix_targets").collect()
+    goals = table(spark, d, "mix_targets").filter("source is not null and target_share is not null").collect()
     targets, repeats = {r["source"]: r["target_share"] for r in goals}, {r["source"]: r["max_repeats"] for r in goals}
     documents = spread(table(spark, d, "documents").select("doc_id", mixing.normal_source(F.col("source")).alias("source"), "text"))
     sized = cut(sizing.token_counts(documents.filter(F.col("source").isin(*targets))))

@@ -367,6 +367,13 @@ def test_mixing_selection(spark):
     assert [r.s for r in names] == ["commit_log", "code", None, None]
 
 
+def test_mixing_of_nothing(spark):
+    none = spark.createDataFrame([], "id int, source string, n int")
+    assert mixing.select(none, "id", "source", "n", {}, {}, {}).count() == 0 and mixing.select(none, "id", "source", "n", {"a": 10.0}, {}, {"a": 2}).count() == 0
+    some = spark.createDataFrame([(1, "a", None), (2, "a", 0), (3, None, 4)], "id int, source string, n int")
+    assert mixing.select(some, "id", "source", "n", {"a": 10.0}, {"a": 0}, {"a": 2}).count() == 0
+
+
 @pytest.mark.parametrize("block", [1, 64])
 def test_a_long_document_closes_no_permutation(spark, monkeypatch, block):
     monkeypatch.setattr(mixing, "BLOCK", block)
