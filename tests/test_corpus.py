@@ -104,6 +104,22 @@ def test_a_name_in_many_files_forms_no_pairs(spark):
     assert alone.count() == 0 and rank.references(counts.limit(0), files.withColumn("name", F.lit("x")).limit(0), ["repo"], "rel").count() == 0
 
 
+def test_nulls_and_empty_tables_in_names_and_sizes(spark):
+    from orrery.functions import text as T
+
+    f = spark.createDataFrame([("r", "a.py", None), ("r", "b.py", ""), ("r", "c.py", "name_1 name_1 $odd"), (None, "d.py", "name_1")], "repo string, rel string, text string").withColumn("n", F.lit("clash"))
+    s = spark.createDataFrame([("r", "a.py", "name_1"), ("r", "a.py", None), ("r", "b.py", "x$odd"), (None, "d.py", "name_1")], "repo string, rel string, name string")
+    assert [tuple(r) for r in rank.name_counts(f, s, ["repo"], "rel").select("repo", "rel", "word", "n").collect()] == [("r", "c.py", "name_1", 2)]
+    assert rank.name_counts(f.limit(0), s, ["repo"], "rel").count() == rank.name_counts(f, s.limit(0), ["repo"], "rel").count() == 0
+    blocks = f.select(F.lit("g").alias("g"), F.monotonically_increasing_id().alias("rank"), "text")
+    sized = T.with_sizes(blocks, F.col("text"))
+    assert {r.text: (r.other, r.cjk) for r in sized.collect()} == {None: (None, None), "": (0, 0), "name_1 name_1 $odd": (18, 0), "name_1": (6, 0)}
+    assert budget.greedy_fit(sized, ["g"], 5).filter("included").count() == 2 and budget.greedy_fit(sized.limit(0), ["g"], 5).count() == 0
+    wide = spark.createDataFrame([("a値😀𠀀",)], "t string")
+    assert T.with_sizes(wide, F.col("t")).select("other", "cjk").first() == wide.select(T.other_units(F.col("t")), T.cjk_chars(F.col("t"))).first() == (3, 2)
+    assert [r.t for r in spark.createDataFrame([(" a \t\r\n\x0b",), ("",), (None,)], "t string").select(T.rstrip(F.col("t")).alias("t")).collect()] == [" a", "", None]
+
+
 def test_ties_stand_by_path_as_a_person_sorts(spark):
     paths = ["B", "_x", "a-b", "a/b", "aB", "a_b", "ab", "b", None]
     df = spark.createDataFrame([("r", p, i, 1.0) for i, p in enumerate(paths)], "repo string, rel string, id int, score double")
